@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sketch.value, set()
         for b in tk.slices(batches, "text"):
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], []]
             for s in shingle_sets(*tk.flat_bytes(b.column("text")), width):
                 n = len(s)
                 sig = _signature(s)
@@ -141,15 +141,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 p = np.flatnonzero(order_keep)
                 cols[0].append(s[order[p]])
                 cols[1].append(np.full(len(p), sig, np.int64))
-                cols[2].append(np.full(len(p), n, np.int32))
-                cols[3].append(p.astype(np.int32))
+                cols[2].append(np.int64(n) << np.int64(32) | p.astype(np.int64))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).view(np.int64)), *(pa.array(np.concatenate(c)) for c in cols[1:])], ["sh", "sig", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).view(np.int64)), *(pa.array(np.concatenate(c)) for c in cols[1:])], ["sh", "sig", "place"])
 
-    entries = d.select("text").mapInArrow(prefixes, "sh long, sig long, n int, pos int")
+    entries = d.select("text").mapInArrow(prefixes, "sh long, sig long, place long")  # place: set size and position in one number
     w = Window.partitionBy("sh")
-    bucket = entries.withColumns({"hub": F.min(F.struct("pos", "n", "sig")).over(w), "far": F.max(F.struct("sig", "n")).over(w), "near": F.min(F.struct("sig", "n")).over(w)})
-    shared = stored(bucket.where("far.sig <> near.sig OR far.n <> near.n").select("sh", "sig", "n", "pos", F.col("hub.sig").alias("hsig"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos")), "buckets")
+    alone = entries.withColumn("rows", F.count("*").over(w)).where("rows > 1")
+    sized_ = alone.selectExpr("sh", "sig", "cast(place >> 32 AS int) AS n", "cast(place & 4294967295 AS int) AS pos", "rows")
+    first = F.expr(f"pos <= n - ((2 * {num} * n + {num + den - 1}) div {num + den})")  # in the index prefix
+    bucket = sized_.withColumns({"hub": F.min(F.struct("pos", "n", "sig")).over(w), "far": F.max(F.struct("sig", "n")).over(w), "near": F.min(F.struct("sig", "n")).over(w), "least": F.min(F.when(first, F.col("n"))).over(w)})
+    bucket = bucket.where(F.expr("far.sig <> near.sig OR far.n <> near.n") & (F.col("least") <= F.col("n")) & (first | (F.col("least") < F.col("n"))))  # else no pair of it is in both prefixes
+    shared = stored(bucket.select("sh", "sig", "n", "pos", "rows", F.col("hub.sig").alias("hsig"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos")), "buckets")
 
     def may_link(n1: str, p1: str, n2: str, p2: str) -> F.Column:
         """Length, index-prefix and positional filter of one common shingle."""
@@ -163,8 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts1 = connected_components(found.select(F.expr("struct(a AS sig, an AS n)").alias("src"), F.expr("struct(b AS sig, bn AS n)").alias("dst")))
     parts1 = stored(parts1.select("node.sig", "node.n", F.xxhash64("component.sig", "component.n").alias("comp")), "parts")
 
-    # 3. what a bucket still holds in different components
-    comp = shared.select("sh", "sig", "n", "pos").join(parts1, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.xxhash64("sig", "n")))
+    # 3. what a bucket still holds in different components; of two rows the only pair is done
+    comp = shared.where("rows > 2").select("sh", "sig", "n", "pos").join(parts1, ["sig", "n"], "left").withColumn("comp", F.coalesce("comp", F.xxhash64("sig", "n")))
     left = comp.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sh")
     open_ = stored(comp.join(left, "sh", "left_semi").withColumn("len_bin", F.floor(F.log(F.col("n").cast("double")) / np.log(den / num)).cast("int")), "open")
     x = open_.select("sh", "len_bin", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "pos", "comp")))
