@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -38,7 +39,6 @@ MAGIC = b"WRANS1"
 LANES = 1024
 BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
-CACHED_WORDS = 200_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 
@@ -173,43 +173,17 @@ def read_file(data: bytes, table: Table) -> tuple[int, list[int | None], np.ndar
 _tokenizers: dict = {}
 
 
-class ChunkTokenizer:
-    """The tokenizers library over the distinct pieces between white space.
-
-    Only for vocabularies that drop white space, whose pieces do not depend on their neighbours; a text
-    with other white space than the library's goes to the library whole.
-    """
-
-    def __init__(self, path: str) -> None:
+def tokenizer(path: str):
+    """The tokenizers library's tokenizer of a file, without truncation and padding; one per Python worker."""
+    if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.splits = not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])) and "Removed" in json.dumps(spec.get("pre_tokenizer")) and "\\\\s+" in json.dumps(spec.get("normalizer"))
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        tail = np.uint32(end).tobytes()
-        parts = [t.split() for t in texts] if self.splits else [[t] for t in texts]
-        if self.splits:
-            parts = [[t] if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else p for t, p in zip(texts, parts, strict=True)]
-        known, old = self.known, self.old
-        new = list({w for p in parts for w in p if w not in known})
-        missing = [w for w in new if w not in old]
-        found = {w: old[w] for w in new if w in old}
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        known.update(found)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, p)) + tail, "<u4") for p in parts]
-        if len(known) > CACHED_WORDS:
-            self.old, self.known = known, {}
-        return out
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        _tokenizers[path] = tok
+    return _tokenizers[path]
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> tuple[str, Table]:
@@ -221,19 +195,18 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = ChunkTokenizer(vocabulary)
-        tok = _tokenizers[vocabulary]
+        tok = tokenizer(vocabulary)
         for b in tk.slices(batches, "text"):
-            ids = tok.encode([t or "" for t in b.column("text").to_pylist()], end_id)
+            found = tok.encode_batch_fast([t or "" for t in b.column("text").to_pylist()], add_special_tokens=False)
+            ids = [np.array([*e.ids, end_id], dtype="<u4") for e in found]
             packed = [i.astype("<u2").tobytes() if not len(i) or i.max() < 65536 else b"" for i in ids]
             wide = [b"" if p else i.tobytes() for p, i in zip(packed, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "ids2", "ids4"])
 
-    tokens = d.mapInArrow(tokenize, "doc_id long, ids2 binary, ids4 binary")
+    tokens = stored(d.mapInArrow(tokenize, "doc_id long, ids2 binary, ids4 binary"), "ids")  # the range bounds below are sampled from it
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     ordered = stored(ordered, "tokens")
-    per = ordered.groupBy("part").agg(F.sum(F.length("ids2") / 2 + F.length("ids4") / 4).cast("long").alias("n"))
+    per = ordered.select("part", "ids2", "ids4").groupBy("part").agg(F.sum(F.length("ids2") / 2 + F.length("ids4") / 4).cast("long").alias("n"))
     firsts = {r.part: r.first for r in per.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).collect()}  # one row a partition
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
