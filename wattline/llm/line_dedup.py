@@ -7,9 +7,11 @@ Units without a word are no lines.
 Every run of lines with at least ``min_words`` words contains a smallest such run starting at one of
 its lines: the window. In each window the line with the smallest hash is picked (winnowing), and the
 pair (pick, window) is the fingerprint, so every repeated run of ``min_words`` words or more is
-guaranteed a common fingerprint, and an equal fingerprint proves a repeated run. Each later position
-is joined with the first position of its fingerprint (order: id, then position), both are extended in
-both directions while the lines agree, and the later run is deleted.
+guaranteed a common fingerprint, and an equal fingerprint proves a repeated run. The first position of a
+fingerprint in a document is joined with the fingerprint's first document (order: id, then position),
+both are extended in both directions while the lines agree, and the later run is deleted; then a
+document's further positions are treated so against its own first one, in order, unless the window is
+deleted already.
 
 Output of ``dedup_lines``: the input's columns, ``text`` without the deleted lines (null stays null),
 and ``n_lines``, ``n_removed`` (which replace input columns so named); one row per input row. Documents that repeat an id count as one text
@@ -87,6 +89,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lines = Lines(buf, offsets)
             start, pick, key = windows(lines.hashes, lines.words, lines.bounds, min_words)
             of = np.searchsorted(lines.bounds, start, side="right") - 1
+            own = np.sort(np.unique(tk.mix(key.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1])  # the document's first of each
+            start, pick, key, of = start[own], pick[own], key[own], of[own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), b.column("doc_id").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array((pick - lines.bounds[of]).astype(np.int32)), pa.array((start - lines.bounds[of]).astype(np.int32))],
                 ["key", "doc", "tag", "pick", "start"],
@@ -99,10 +103,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cut = list(zip(lines.bounds[:-1], lines.bounds[1:], strict=True))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array([lines.hashes[x:y].tobytes() for x, y in cut], pa.binary())], ["doc", "tag", "lines"])
 
-    marks = d.mapInArrow(fingerprints, "key long, doc long, tag long, pick int, start int")
-    here = F.struct("doc", "tag", "pick", "start")
-    firsts = marks.groupBy("key").agg(F.min(here).alias("f"), F.max(here).alias("g")).where("NOT (f <=> g)").select("key", "f")
-    later = marks.join(firsts, "key").where(~here.eqNullSafe(F.col("f")))
+    marks = stored(d.mapInArrow(fingerprints, "key long, doc long, tag long, pick int, start int"), "line-marks")
+    again = marks.groupBy("key").count().where("count > 1").select("key")
+    marks = stored(marks.join(again, "key", "left_semi"), "line-repeats")
+    firsts = marks.groupBy("key").agg(F.min(F.struct("doc", "tag", "pick", "start")).alias("f"))
+    later = marks.join(firsts, "key").where("NOT (doc <=> f.doc AND tag = f.tag)")
     # one extension per (document, source, offset): a run of many windows is one match
     later = later.groupBy("doc", "tag", F.col("f.doc").alias("fdoc"), F.col("f.tag").alias("ftag"), (F.col("pick") - F.col("f.pick")).alias("shift")).agg(F.sort_array(F.collect_set("pick")).alias("picks"))
     later = stored(later, "line-matches")
@@ -132,6 +137,20 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return pairs.select("doc", "tag", "shift", "picks", "x", "y").mapInArrow(extend, "doc long, tag long, first int, last int").distinct()
 
 
+def own_repeats(h: np.ndarray, words: np.ndarray, min_words: int, drop: np.ndarray) -> None:
+    """Marks in drop the lines of one document that repeat its own earlier runs; a window already marked whole is done."""
+    start, _, key = windows(h, words, np.array([0, len(h)]), min_words)
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    total = np.concatenate([[0], np.cumsum(words)])
+    for i in np.flatnonzero(first[back] != np.arange(len(key))):
+        at, shift = start[i], start[i] - start[first[back[i]]]
+        if drop[at : np.searchsorted(total, total[at] + min_words)].all():
+            continue
+        differs = np.flatnonzero(h[shift:] != h[: len(h) - shift]) + shift  # x[k] against x[k - shift]
+        k = np.searchsorted(differs, at)
+        drop[(differs[k - 1] + 1 if k else shift) : (differs[k] if k < len(differs) else len(h))] = True
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all its columns, with the later repeated runs cut out of the text; plus n_lines and n_removed."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -150,6 +169,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 drop = np.zeros(hi - lo, dtype=bool)
                 for c in cuts or ():
                     drop[c["first"] : c["last"] + 1] = True
+                own_repeats(lines.hashes[lo:hi], lines.words[lo:hi], min_words, drop)
                 removed.append(int(drop.sum()))
                 if removed[-1]:
                     keep = np.ones(offsets[i + 1] - offsets[i], dtype=bool)
