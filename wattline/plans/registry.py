@@ -1,18 +1,172 @@
-"""All registered queries of the grid library with their SQL."""
+"""All registered queries of the grid library with their SQL.
+
+Each query binds driver tables to an operator and rounds its doubles; the SQL says the same for DuckDB.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import building as fb
+from ..operators import flows as fl
+from ..operators import graphs as gr
+from ..operators import hierarchy as hi
+from ..operators import profiles as pr
+from ..operators import spatial as sp
+from . import bindings as at
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_BOUND = {"b": at.buildings, "g": at.groups, "s": at.states, "f": at.flows, "sup": at.suppliers, "cus": at.customers, "par": at.parts, "e": at.edges}
+
+
+#: Added before rounding, so that values half way between two results round alike in both engines.
+NUDGE = 3.3e-7
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(F.round(F.col(c) + NUDGE, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def _add(name: str, needs: str, build: Callable[..., DataFrame], sql: str | None = None) -> None:
+    """needs: the bindings that build takes, in order; sql may use them as tables and ``r(x)`` for rounding."""
+    bound = needs.split()
+    _QUERIES[name] = lambda spark, sf_dir: rounded(build(*(_BOUND[n](spark, sf_dir) for n in bound)))
+    if sql:
+        head = ", ".join(f"{n} AS ({at.SQL[n]})" for n in dict.fromkeys(bound))
+        body = re.sub(r"\br\(", "round4(", sql)
+        _SQL[name] = f"WITH {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}"  # + continues the list of tables
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _round(sql: str) -> str:
+    """round4(x) spelled as round(x + NUDGE, 4), x up to its own closing parenthesis."""
+    while (i := sql.find("round4(")) >= 0:
+        depth, j = 1, i + 7
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        sql = f"{sql[:i]}round({sql[i + 7 : j - 1]} + {NUDGE}, 4){sql[j:]}"
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: _round(v) for k, v in _SQL.items()}
+
+
+POOR = "label IN ('E', 'F', 'G')"
+SH = "avg(CASE WHEN {} THEN 1.0 ELSE 0.0 END)".format
+N = "count(*) FILTER (WHERE {})".format
+
+_add("r9_mv_station_summary", "b", hi.mv_station_summary, f"SELECT *, lv_groups || ' groups, ' || buildings || ' buildings' AS summary FROM (SELECT mv_station, count(DISTINCT lv_group) AS lv_groups, count(*) AS buildings, {N('has_solar')} AS solar, {N(POOR)} AS poor_label, {N("function = 'residential'")} AS residential, r(sum(area)) AS total_area, r(avg(distance_m)) AS avg_distance, r(max(peak_kw)) AS max_peak FROM b GROUP BY mv_station)")
+_TOP = "SELECT lv_group, {0} AS top_{0} FROM (SELECT lv_group, {0}, row_number() OVER (PARTITION BY lv_group ORDER BY count(*) DESC, {0}) AS n FROM b GROUP BY lv_group, {0}) WHERE n = 1"
+_add("r10_lv_group_summary", "b", hi.lv_group_summary, f"SELECT mv_station, lv_group, buildings, top_label, top_function, top_district, max_distance, oldest FROM (SELECT mv_station, lv_group, count(*) AS buildings, r(max(distance_m)) AS max_distance, min(build_year) AS oldest FROM b GROUP BY mv_station, lv_group) JOIN ({_TOP.format('label')}) USING (lv_group) JOIN ({_TOP.format('function')}) USING (lv_group) JOIN ({_TOP.format('district')}) USING (lv_group)")
+_add("r11_station_breakdown", "b", hi.station_breakdown, "SELECT mv_station, sum(k)::bigint AS buildings, count(*) AS lv_groups, max(k) AS largest_group, (SELECT string_agg(district, ',' ORDER BY district) FROM (SELECT DISTINCT district FROM b x WHERE x.mv_station = p.mv_station)) AS districts FROM (SELECT mv_station, lv_group, count(*) AS k FROM b GROUP BY ALL) p GROUP BY mv_station ORDER BY buildings DESC, mv_station LIMIT 10")
+_add("r12_station_rollup", "b", hi.station_rollup, "SELECT mv_station, grouping(mv_station)::tinyint AS is_total, count(*) AS buildings, r(sum(area)) AS area FROM b GROUP BY ROLLUP (mv_station)")
+_add("r13_district_rollup", "b", hi.district_rollup, "SELECT mv_station, district, function, grouping(mv_station, district, function) AS level, count(*) AS buildings, r(avg(peak_kw)) AS avg_peak FROM b GROUP BY ROLLUP (mv_station, district, function)")
+_add("r14_station_comparison", "b", hi.station_comparison, f"SELECT *, r(buildings / groups) AS per_group FROM (SELECT mv_station, count(*) AS buildings, count(DISTINCT lv_group) AS groups, r({SH('has_solar')}) AS solar_share, r({SH(POOR)}) AS poor_share FROM b GROUP BY mv_station HAVING count(*) > 50)")
+_add("r15_share_of_parent", "b", hi.share_of_parent, "SELECT mv_station, lv_group, count(*) AS buildings, sum(count(*)) OVER (PARTITION BY mv_station)::bigint AS station_total, r(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY mv_station)) AS share_pct FROM b GROUP BY mv_station, lv_group")
+_add("r16_level_summary", "b", hi.level_summary, f"+lv AS (SELECT mv_station, lv_group, count(*) AS n, {SH('has_solar')} AS s FROM b GROUP BY ALL), mv AS (SELECT mv_station, count(*) AS n, {SH('has_solar')} AS s FROM b GROUP BY ALL) SELECT 'LV' AS level, count(*) AS units, r(avg(n)) AS avg_buildings, r(avg(s)) AS avg_solar_share FROM lv UNION ALL SELECT 'MV', count(*), r(avg(n)), r(avg(s)) FROM mv")
+_add("r17_grid_totals", "b", hi.grid_totals, "SELECT count(DISTINCT mv_station) AS stations, count(DISTINCT lv_group) AS lv_groups, count(*) AS buildings, r(sum(area)) AS area FROM b")
+_add("r5_grid_kpis", "b", hi.grid_kpis, "SELECT metric, r(value) AS value FROM (SELECT unnest(['buildings', 'solar', 'battery', 'too_far', 'avg_distance']) AS metric, unnest([count(*)::double, count_if(has_solar)::double, count_if(has_battery)::double, count_if(distance_m > 150)::double, avg(distance_m)]) AS value FROM b)")
+_add("r6_connection_types", "b", hi.connection_type_summary, "SELECT *, r(100.0 * buildings / sum(buildings) OVER ()) AS pct FROM (SELECT CASE WHEN distance_m <= 5 THEN 'ENDED' WHEN distance_m <= 50 THEN 'ENTERED' WHEN distance_m <= 150 THEN 'BY_DISTANCE' ELSE 'TOO_FAR' END AS connection_type, count(*) AS buildings, r(avg(distance_m)) AS avg_distance, max(distance_m) AS max_distance FROM b GROUP BY 1)")
+_add("r7_problematic_connections", "b", hi.problematic_connections, "SELECT building_id, lv_group, distance_m FROM b WHERE distance_m > 150")
+_add("r8_capability_matrix", "b", hi.capability_matrix, "SELECT count_if(area > 100 AND function <> 'residential')::bigint AS large_other, count_if(area > 100 AND function = 'residential')::bigint AS large_home, count_if(area <= 100 AND function <> 'residential')::bigint AS small_other, count_if(area <= 100 AND function = 'residential')::bigint AS small_home FROM b")
+_MDM = f"SELECT *, CASE WHEN functions >= 3 THEN 3 WHEN functions >= 2 THEN 2 ELSE 1 END AS diversity_score, CASE WHEN poor_share >= 0.5 THEN 3 WHEN poor_share >= 0.3 THEN 2 ELSE 1 END AS need_score, CASE WHEN solar_share >= 0.3 THEN 3 WHEN solar_share >= 0.15 THEN 2 ELSE 1 END AS solar_score FROM (SELECT mv_station, district, count(*) AS buildings, count(DISTINCT function) AS functions, stddev_samp(peak_kw) AS peak_std, {SH('has_solar')} AS solar_share, {SH(POOR)} AS poor_share, avg(2024 - build_year) AS avg_age FROM b GROUP BY mv_station, district)"
+_add("r18_mv_district_metrics", "b", hi.mv_district_metrics, f"SELECT mv_station, district, buildings, functions, r(peak_std) AS peak_std, r(solar_share) AS solar_share, r(poor_share) AS poor_share, r(avg_age) AS avg_age, diversity_score, need_score, solar_score FROM ({_MDM})")
+_add("r21_ranked_districts", "b", lambda b: hi.ranked_districts(hi.mv_district_metrics(b)), f"SELECT mv_station, district, diversity_score + need_score + solar_score AS score, CASE WHEN need_score = 3 AND diversity_score = 3 THEN 'high need, mixed' WHEN need_score = 3 THEN 'high need' ELSE 'regular' END AS pattern FROM ({_MDM}) ORDER BY score DESC, mv_station, district LIMIT 20")
+_add("r22_opportunity_stations", "b", hi.opportunity_stations, f"SELECT *, CASE WHEN overlap >= 10 THEN 'HIGH' WHEN overlap >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS opportunity FROM (SELECT mv_station, count_if(f >= 3)::bigint AS mixed, count_if(poor >= 0.5)::bigint AS needy, count_if(f >= 3 AND poor >= 0.5)::bigint AS overlap FROM (SELECT mv_station, lv_group, count(DISTINCT function) AS f, {SH(POOR)} AS poor FROM b GROUP BY ALL) GROUP BY mv_station)")
+_add("r23_split_districts", "b", lambda b: hi.split_districts(hi.mv_district_metrics(b)), f"SELECT district, count(*) AS stations, r(stddev_samp(poor_share)) AS poor_std, sum(buildings)::bigint AS buildings FROM ({_MDM}) GROUP BY district HAVING count(*) > 1")
+_ENT = "SELECT {0}, n, r(h) AS entropy, r(CASE WHEN {1} > 0 THEN h / {1} ELSE 0 END) AS normalised FROM (SELECT {0}, sum(k)::bigint AS n, ln(sum(k)) - sum(k * ln(k)) / sum(k) AS h, count(*) AS c FROM (SELECT {0}, {2}, count(*) AS k FROM b GROUP BY ALL) GROUP BY {0})"
+_add("r43_entropy_observed", "b", lambda b: hi.entropy(b, "mv_station", "function"), _ENT.format("mv_station", "ln(c)", "function"))
+_add("r43_entropy_fixed", "b", lambda b: hi.entropy(b, "lv_group", "label", 7), _ENT.format("lv_group", "ln(7)", "label"))
+_add("r44_variation", "b", hi.coefficient_of_variation, "SELECT lv_group, r(stddev_pop(peak_kw) / avg(peak_kw)) AS cv, r(2 * avg(p) * (1 - avg(p))) AS prosumer_mix FROM (SELECT *, CASE WHEN has_solar OR has_battery THEN 1.0 ELSE 0.0 END AS p FROM b) GROUP BY lv_group")
+_IM = f"SELECT *, 0.35 * retrofit + 0.3 * solar + 0.2 * heat_pump + 0.15 * battery AS score FROM (SELECT lv_group, count(*) AS buildings, {SH(POOR)}::double AS retrofit, {SH('NOT has_solar AND area > 100')}::double AS solar, {SH("NOT has_heat_pump AND label IN ('A', 'B', 'C')")}::double AS heat_pump, {SH('has_solar AND NOT has_battery')}::double AS battery FROM b GROUP BY lv_group)"
+_add("r45_intervention_metrics", "b", hi.intervention_metrics, f"SELECT lv_group, buildings, r(retrofit) AS retrofit, r(solar) AS solar, r(heat_pump) AS heat_pump, r(battery) AS battery, r(score) AS score FROM ({_IM})")
+_add("r47_lv_portfolio", "b", lambda b: hi.lv_portfolio(hi.intervention_metrics(b).withColumn("score", F.round("score", 9))), f"SELECT lv_group, buildings, r(sc) AS score, program, row_number() OVER (PARTITION BY program ORDER BY sc DESC, lv_group)::int AS rank FROM (SELECT *, round(score, 9) AS sc, CASE WHEN retrofit >= 0.5 THEN 'retrofit' WHEN solar >= 0.5 THEN 'solar' WHEN heat_pump >= 0.4 THEN 'electrify' ELSE 'monitor' END AS program FROM ({_IM}) WHERE buildings >= 3)")
+_add("r52_transformer_loading", "b", lambda b: hi.transformer_loading(b, 300.0), "SELECT lv_group, r(sum(peak_kw)) AS peak_kw, r(least(sum(peak_kw) / 300.0, 1.0)) AS loading, sum(peak_kw) > 240.0 AS over_80 FROM b GROUP BY lv_group")
+_add("r54_fairness", "b", hi.fairness, "SELECT r((SELECT pow(sum(peak_kw), 2) / (count(*) * sum(peak_kw * peak_kw)) FROM b)) AS jain, r((SELECT 1 / (1 + stddev_pop(n) / avg(n)) FROM (SELECT count(*) AS n FROM b GROUP BY lv_group))) AS size_stability")
+_add("r56_label_distribution", "b", hi.label_distribution, "SELECT label, count(*) AS buildings FROM b GROUP BY label")
+_add("r63_penetration", "b", hi.penetration, f"SELECT r({SH('has_solar')}) AS by_building, r(sum(area) FILTER (WHERE has_solar) / sum(area)) AS by_area, r(sum(peak_kw) FILTER (WHERE has_solar) / sum(peak_kw)) AS by_capacity FROM b")
+_add("r64_distribute_target", "b", lambda b: hi.distribute_target(b, 100000.0, 5.0), "SELECT lv_group, r(greatest(100000.0 * sum(area) / (SELECT sum(area) FROM b), 5.0)) AS target FROM b GROUP BY lv_group")
+_add("r69_data_quality", "b", lambda b: hi.data_quality(b, {"area": (10, 400), "build_year": (1910, 2010), "distance_m": (0, 150)}), "SELECT unnest(['area_null', 'area_range', 'build_year_null', 'build_year_range', 'distance_m_null', 'distance_m_range']) AS \"check\", unnest([count_if(area IS NULL), count_if(area < 10 OR area > 400), count_if(build_year IS NULL), count_if(build_year < 1910 OR build_year > 2010), count_if(distance_m IS NULL), count_if(distance_m < 0 OR distance_m > 150)])::bigint AS n FROM b")
+_add("r72_topology_counts", "g b", hi.topology_counts, "SELECT lv_group, count(building_id) AS buildings FROM (SELECT DISTINCT lv_group FROM g) LEFT JOIN b USING (lv_group) GROUP BY lv_group")
+_add("j16_unassigned_groups", "g b", hi.unassigned, "SELECT DISTINCT lv_group FROM g WHERE lv_group NOT IN (SELECT lv_group FROM b)")
+_ROOF = "(roof_flat + roof_sloped * CASE WHEN orientation IN ('S', 'SE', 'SW') THEN 0.6 ELSE 0.3 END)"
+_add("p2_p10_building_features", "b", fb.features, f"SELECT building_id, least(200, greatest(0, 2024 - build_year)) AS age, CASE WHEN label IN ('A', 'B') THEN 'good' WHEN label IN ('C', 'D') THEN 'fair' ELSE 'poor' END AS insulation, CASE label WHEN 'A' THEN 4.5::double WHEN 'B' THEN 4.0 WHEN 'C' THEN 3.5 WHEN 'D' THEN 3.0 WHEN 'E' THEN 2.5 WHEN 'F' THEN 2.2 ELSE 2.0 END AS cop, r({_ROOF}) AS roof, r({_ROOF} * 0.175 * 0.85) AS kwp, CASE WHEN {_ROOF} > 100 THEN 'high' WHEN {_ROOF} > 50 THEN 'medium' WHEN {_ROOF} > 25 THEN 'low' ELSE 'none' END AS roof_class, has_solar OR has_battery OR {_ROOF} > 50 AS prosumer FROM b")
+_add("p12_asset_opportunities", "b", fb.asset_opportunities, "SELECT building_id, 'solar' AS asset, r((roof_flat + roof_sloped) * 0.15) AS size, CASE WHEN roof_flat + roof_sloped > 100 THEN 1 ELSE 2 END AS priority FROM b WHERE NOT has_solar AND roof_flat + roof_sloped > 50 UNION ALL SELECT building_id, 'battery', CASE WHEN area > 200 THEN 20.0 ELSE 10.0 END, CASE WHEN area > 200 THEN 1 ELSE 2 END FROM b WHERE has_solar AND NOT has_battery UNION ALL SELECT building_id, 'heat_pump', r(area * 0.05), CASE WHEN label = 'A' THEN 1 ELSE 2 END FROM b WHERE NOT has_heat_pump AND label IN ('A', 'B', 'C')")
+_add("p14_adjacency_type", "b", lambda b: b.select("building_id", fb.adjacency_type(*(F.col("building_id") % k for k in (2, 3, 5, 7))).alias("adjacency")), "SELECT building_id, CASE WHEN n = 0 THEN 'ISOLATED' WHEN n = 2 AND ((a AND c) OR (b AND d)) THEN 'MIDDLE_ROW' WHEN n = 2 THEN 'CORNER' WHEN n = 1 THEN 'END_ROW' ELSE 'COURTYARD' END AS adjacency FROM (SELECT *, a::int + b::int + c::int + d::int AS n FROM (SELECT building_id, building_id % 2 > 0 AS a, building_id % 3 > 0 AS b, building_id % 5 > 0 AS c, building_id % 7 > 0 AS d FROM b))")
+_q = "((1 - pow(1.02 / 1.05, 20)) / (1 - 1.02 / 1.05))"
+_add("e1_solar_roi", "b", fb.solar_roi, f"SELECT building_id, r(k) AS kwp, r(k * 840.0) AS net_cost, r(k * 225.0) AS saving, r(k * 840.0 / (k * 225.0)) AS payback, r(k * 225.0 / 1.05 * {_q} - k * 840.0) AS npv, r(k * 360.0) AS co2_kg FROM (SELECT building_id, {_ROOF} * 0.175 * 0.85 AS k FROM b) WHERE k > 0")
+_add("e4_retrofit_economics", "b", fb.retrofit_economics, "SELECT building_id, label, r(area) AS area, n AS steps, r(n * area * 150) AS cost, r(area * 20 * (1 - pow(0.85, n))) AS saving, r(n * area * 150 / (area * 20 * (1 - pow(0.85, n)))) AS payback FROM (SELECT *, greatest(ascii(label) - 66, 0) AS n FROM b) WHERE n > 0")
+_add("e6_irr", "b", lambda b: b.select("building_id", fb.irr(F.lit(1000.0), 60 + F.col("building_id") % 200).alias("irr")))
+
+_SLOT = "SELECT {0}, date_trunc('hour', ts) AS slot, sum(demand) AS demand, sum(generation) AS generation FROM s GROUP BY ALL"
+_add("p15_energy_state", "s", lambda s: pr.derive(s).select("event_id", "net", "export"), "SELECT event_id, r(demand - generation) AS net, r(greatest(0, generation - demand)) AS export FROM s")
+_add("p16_timeslots", "s", pr.timeslots, "SELECT strftime(slot, '%Y%m%d_%H%M') AS slot_id, year(slot)::int AS year, month(slot)::int AS month, hour(slot)::int AS hour, (isodow(slot) - 1)::int AS dow, isodow(slot) >= 6 AS is_weekend, CASE WHEN month(slot) IN (12, 1, 2) THEN 'winter' WHEN month(slot) <= 5 THEN 'spring' WHEN month(slot) <= 8 THEN 'summer' ELSE 'autumn' END AS season, CASE WHEN hour(slot) < 6 THEN 'night' WHEN hour(slot) < 12 THEN 'morning' WHEN hour(slot) < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM (SELECT DISTINCT date_trunc('hour', ts) AS slot FROM s)")
+_add("p19_cyclic_time", "s", lambda s: s.select("event_id", *pr.time_shares("ts")), "SELECT event_id, r(sin(2 * pi() * hour(ts) / 24)) + 0.0 AS hour_sin, r(cos(2 * pi() * hour(ts) / 24)) + 0.0 AS hour_cos FROM s")
+_DAY = "SELECT building_id, ts::date AS day, avg(demand) AS avg_kw, max(demand) AS peak_kw, sum(demand) AS kwh, sum(generation) AS solar_kwh FROM s GROUP BY ALL"
+_add("r24_daily_profiles", "s", pr.daily, f"SELECT building_id, day, r(avg_kw) AS avg_kw, peak_kw, r(kwh) AS kwh, r(solar_kwh) AS solar_kwh FROM ({_DAY})")
+_add("r25_monthly_profiles", "s", lambda s: pr.monthly(pr.daily(s)), f"SELECT building_id, year(day)::int AS year, month(day)::int AS month, r(avg(avg_kw)) AS avg_kw, max(peak_kw) AS peak_kw, r(sum(kwh)) AS kwh FROM ({_DAY}) GROUP BY ALL")
+_BASE = "SELECT building_id, lv_group, max(demand) AS peak, avg(demand) AS avg, stddev_samp(demand) AS std, sum(least(demand, generation)) AS own, sum(generation) AS gen FROM s GROUP BY ALL"
+_add("r29_building_baseline", "s", pr.baseline, f"SELECT building_id, lv_group, peak, r(avg) AS avg, r(avg / peak) AS load_factor, r(std) AS std, r(CASE WHEN gen <> 0 THEN own / gen END) AS self_consumption FROM ({_BASE})")
+_add("r30_group_baseline", "s", lambda s: pr.group_baseline(pr.baseline(s)), f"SELECT lv_group, count(*) AS buildings, r(sum(peak)) AS sum_peaks, r(sum(avg)) AS sum_avg, r(avg(avg / peak)) AS load_factor FROM ({_BASE}) GROUP BY lv_group")
+_add("r33_cluster_time_series", "s", pr.cluster_time_series, f"SELECT cluster_id, slot, r(demand) AS demand, r(generation) AS generation, r(greatest(demand - generation, 0)) AS deficit, r(greatest(generation - demand, 0)) AS surplus FROM ({_SLOT.format('cluster_id')})")
+_add("r39_energy_metrics", "s", pr.energy_metrics, f"SELECT cluster_id, r(sum(demand)) AS demand, r(sum(generation)) AS generation, r(sum(least(demand, generation))) AS shared, r(sum(greatest(demand - generation, 0))) AS imported, r(sum(greatest(generation - demand, 0))) AS exported, r(sum(least(demand, generation)) / sum(demand)) AS self_sufficiency, r(CASE WHEN sum(generation) <> 0 THEN sum(least(demand, generation)) / sum(generation) END) AS self_consumption FROM ({_SLOT.format('cluster_id')}) GROUP BY cluster_id")
+_add("r40_peak_metrics", "s", pr.peak_metrics, "+own AS (SELECT cluster_id, building_id, date_trunc('hour', ts) AS slot, sum(demand) AS d FROM s GROUP BY ALL), per AS (SELECT cluster_id, sum(p) AS sp FROM (SELECT cluster_id, building_id, max(d) AS p FROM own GROUP BY ALL) GROUP BY 1), tot AS (SELECT cluster_id, max(d) AS pk, avg(d) AS av FROM (SELECT cluster_id, slot, sum(d) AS d FROM own GROUP BY ALL) GROUP BY 1) SELECT cluster_id, r(sp) AS sum_peaks, r(pk) AS peak, r(1 - pk / sp) AS peak_reduction, r(sp / pk) AS diversity_factor, r(av / pk) AS load_factor FROM per JOIN tot USING (cluster_id)")
+_add("r41_energy_balance", "s", pr.energy_balance, "SELECT cluster_id, r(q) AS ratio, r(CASE WHEN q <= 1 THEN q ELSE 1 / q END) AS balance FROM (SELECT cluster_id, sum(generation) / sum(demand) AS q FROM s GROUP BY 1)")
+_add("r42_load_diversity", "s", pr.load_diversity, "SELECT cluster_id, r(count(DISTINCT h)::double / count(*)) AS diversity FROM (SELECT cluster_id, building_id, h FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY m DESC, h) AS n FROM (SELECT cluster_id, building_id, hour(ts) AS h, avg(demand) AS m FROM s GROUP BY ALL)) WHERE n = 1) GROUP BY 1")
+_add("r53_bottlenecks", "s", lambda s: pr.bottlenecks(s, 500.0), f"SELECT lv_group, r(p) AS peak, r(p / 500.0) AS loading, CASE WHEN p / 500.0 > 1.2 THEN 'critical' WHEN p / 500.0 > 1.0 THEN 'high' ELSE 'medium' END AS criticality FROM (SELECT lv_group, max(demand) AS p FROM ({_SLOT.format('lv_group')}) GROUP BY 1) WHERE p / 500.0 > 0.8")
+_HOUR = "SELECT building_id, hour(ts)::int AS hour, avg(demand) AS m, avg(generation) AS g, count(*) AS k FROM s GROUP BY ALL"
+_add("w3_peak_hours", "s", pr.peak_hours, f"SELECT building_id, rank::int AS rank, hour, r(m) AS m FROM (SELECT *, sum(k) OVER (PARTITION BY building_id) AS total, row_number() OVER (PARTITION BY building_id ORDER BY m DESC, hour) AS rank FROM ({_HOUR})) WHERE total > 20 AND rank <= 3")
+_ROLL = "CASE WHEN count(*) OVER w >= 24 THEN {0}(demand) OVER w ELSE 0 END"
+_add("w4_rolling_features", "s", pr.rolling, f"SELECT building_id, event_id, r({_ROLL.format('avg')}) AS mean, r({_ROLL.format('max')}) AS max, r({_ROLL.format('min')}) AS min FROM s WINDOW w AS (PARTITION BY building_id ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
+_add("w5_moving_average", "s", lambda s: pr.moving_average(s, 10), "SELECT event_type, event_id, r(avg(demand) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS moving_avg FROM s")
+_GAP = "SELECT cluster_id, hour(ts)::int AS hour, avg(demand) - avg(generation) AS net, CASE WHEN hour(ts) BETWEEN 6 AND 9 THEN 'morning' WHEN hour(ts) BETWEEN 17 AND 21 THEN 'evening' ELSE 'base' END AS gap_type FROM s GROUP BY ALL HAVING avg(demand) - avg(generation) > 0"
+_add("x17_energy_gaps", "s", pr.energy_gaps, f"SELECT cluster_id, hour, r(net) AS net, gap_type FROM ({_GAP})")
+_add("w6_merged_gaps", "s", lambda s: pr.merged_gaps(pr.energy_gaps(s)), f"SELECT cluster_id, gap_type, min(hour) AS first_hour, max(hour) AS last_hour, r(max(net)) AS magnitude FROM (SELECT *, hour - row_number() OVER (PARTITION BY cluster_id, gap_type ORDER BY hour) AS i FROM ({_GAP})) GROUP BY cluster_id, gap_type, i")
+_add("w7_ramp_violations", "s", pr.ramp_violations, "SELECT building_id, count(*) AS violations FROM (SELECT building_id, demand, lag(demand) OVER (PARTITION BY building_id ORDER BY ts, event_id) AS last FROM s) WHERE abs(demand - last) > 0.5 * (abs(demand) + abs(last)) GROUP BY 1")
+_SNAP = lambda s, k: s.select("building_id", ((F.col("building_id") * k) % 25).alias("cluster_id")).distinct()
+_add("w8_assignment_changes", "s", lambda s: pr.changed_share(_SNAP(s, 1), _SNAP(s, 6)), "SELECT r(avg(CASE WHEN building_id % 25 <> (building_id * 6) % 25 THEN 1.0 ELSE 0.0 END)) AS changed, count(*) AS buildings FROM (SELECT DISTINCT building_id FROM s)")
+_add("w13_instant_flags", "s", pr.quantile_flags, f"+t AS ({_SLOT.format('cluster_id')}), q AS (SELECT cluster_id, quantile_cont(demand, 0.9) AS hi, quantile_cont(demand, 0.1) AS lo FROM t GROUP BY 1) SELECT cluster_id, count_if(demand > hi)::bigint AS peaks, count_if(demand < lo)::bigint AS valleys FROM t JOIN q USING (cluster_id) GROUP BY 1")
+_add("w14_day_parts", "s", pr.day_parts, "SELECT cluster_id, max(demand) FILTER (WHERE hour(ts) BETWEEN 6 AND 9) AS morning_peak, max(demand) FILTER (WHERE hour(ts) BETWEEN 17 AND 21) AS evening_peak, min(demand) FILTER (WHERE hour(ts) < 6 OR hour(ts) >= 22) AS night_min FROM s GROUP BY 1")
+_add("w15_pattern_features", "s", pr.pattern_features, f"+h AS ({_HOUR}), d AS (SELECT building_id, hour FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY m DESC, hour) AS n FROM h) WHERE n = 1), l AS (SELECT building_id, hour FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY m, hour) AS n FROM h) WHERE n = 1), p AS (SELECT building_id, hour FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY g DESC, hour) AS n FROM h) WHERE n = 1) SELECT building_id, d.hour AS demand_peak, p.hour AS solar_peak, l.hour AS demand_low, (SELECT count(*) FROM h WHERE h.building_id = d.building_id AND g > m) AS export_hours, abs(d.hour - p.hour) AS mismatch FROM d JOIN l USING (building_id) JOIN p USING (building_id)")
+_add("w18_trend", "s", pr.trend, "SELECT event_type, r(regr_slope(demand, epoch_us(ts) / 86400e6 - 19700)) AS slope FROM s GROUP BY 1")
+_add("j22_lookback", "s", lambda s: pr.lookback(s, 48).select("event_id", "demand"), "SELECT event_id, demand FROM s WHERE ts > (SELECT max(ts) FROM s) - INTERVAL 48 HOURS")
+_add("r68_resample", "s", lambda s: pr.resample(s, "6 hours"), "SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) AS start, r(avg(demand)) AS mean, min(demand) AS min, max(demand) AS max, count(*) AS n FROM s GROUP BY ALL")
+_PC = "+h AS (SELECT lv_group, building_id, hour(ts) AS hour, avg(demand) AS d FROM s GROUP BY ALL), u AS (SELECT DISTINCT lv_group, building_id FROM s), p AS (SELECT u.lv_group, u.building_id, x.hour, coalesce(h.d, 0.0) AS d FROM u CROSS JOIN (SELECT unnest(range(24)) AS hour) x LEFT JOIN h ON h.building_id = u.building_id AND h.hour = x.hour), c AS (SELECT a.lv_group, a.building_id AS a, b.building_id AS b, (1 - corr(a.d, b.d)) / 2 AS c FROM p a JOIN p b ON a.lv_group = b.lv_group AND a.hour = b.hour AND a.building_id < b.building_id GROUP BY ALL) "
+_add("x1_pairwise_complementarity", "s", pr.pairwise_complementarity, _PC + "SELECT lv_group, a, b, r(c) AS complementarity FROM c")
+_add("x2_group_complementarity", "s", lambda s: pr.pairwise_complementarity(s).groupBy("lv_group").agg(F.avg("complementarity").alias("complementarity"), F.count("*").alias("pairs")), _PC + "SELECT lv_group, r(avg(c)) AS complementarity, count(*) AS pairs FROM c GROUP BY 1")
+_add("x3_complementary_pairs", "s", lambda s: pr.pairwise_complementarity(s).where(F.round("complementarity", 6) >= 0.6).select("a", "b"), _PC + "SELECT a, b FROM c WHERE round(c, 6) >= 0.6")
+
+_add("r73_sharing_matrix", "f", fl.sharing_matrix, "SELECT from_id, to_id, r(sum(energy_kwh)) AS energy_kwh FROM f GROUP BY ALL")
+_add("k2_active_pairs", "f", lambda f: fl.active_pairs(f, 5), "SELECT from_id, to_id, r(sum(energy_kwh)) AS energy_kwh FROM f GROUP BY ALL ORDER BY sum(energy_kwh) DESC, from_id, to_id LIMIT 5")
+_add("r59_node_stats", "f", fl.node_stats, "SELECT node, r(coalesce(sum(o), 0)) AS sent_kwh, r(coalesce(sum(i), 0)) AS received_kwh, count(o) AS n_sent, count(i) AS n_received FROM (SELECT from_id AS node, energy_kwh AS o, NULL::double AS i FROM f UNION ALL SELECT to_id, NULL, energy_kwh FROM f) GROUP BY node")
+_add("r58_flow_summary", "f", fl.flow_summary, "SELECT r(sum(energy_kwh)) AS total_kwh, count(*) AS transactions, r(max(energy_kwh)) AS largest, (SELECT from_id FROM f GROUP BY 1 ORDER BY sum(energy_kwh) DESC, from_id LIMIT 1) AS top_sender, (SELECT to_id FROM f GROUP BY 1 ORDER BY sum(energy_kwh) DESC, to_id LIMIT 1) AS top_receiver FROM f")
+_NET = lambda s: s.groupBy("lv_group", F.date_trunc("hour", "ts").cast("timestamp").alias("slot"), "building_id").agg(F.sum(F.col("demand") - F.col("generation")).alias("net"))
+_add("x14_shareable_energy", "s", lambda s: fl.match_surplus(_NET(s)).groupBy("lv_group").agg(F.sum("energy_kwh").alias("moved")), "SELECT lv_group, r(sum(least(u, v))) AS moved FROM (SELECT lv_group, slot, sum(greatest(-net, 0)) AS u, sum(greatest(net, 0)) AS v FROM (SELECT lv_group, date_trunc('hour', ts) AS slot, building_id, sum(demand - generation) AS net FROM s GROUP BY ALL) GROUP BY ALL) WHERE u > 0 AND v > 0 GROUP BY 1")
+_add("x14_surplus_matches", "s", lambda s: fl.match_surplus(_NET(s)))
+
+_D = "sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y))"
+_add("j2_knn_within", "sup cus", lambda a, b: sp.knn_within(a, b, 2.0, 3), f"SELECT left_id, right_id, round(d, 4) AS distance, n::int AS rank FROM (SELECT l.id AS left_id, r.id AS right_id, {_D} AS d, row_number() OVER (PARTITION BY l.id ORDER BY {_D}, r.id) AS n FROM sup l JOIN cus r ON abs(l.x - r.x) <= 2 AND abs(l.y - r.y) <= 2 WHERE {_D} <= 2) WHERE n <= 3")
+_add("j1_snap_pairs", "par", lambda p: sp.snap_pairs(p, 0.55), f"SELECT l.id AS left_id, r.id AS right_id FROM par l JOIN par r ON l.x = r.x AND l.id < r.id AND abs(l.y - r.y) <= 0.55")
+_add("gr1_snapped_groups", "par", lambda p: sp.snapped_groups(p, 0.55), "SELECT id, min(id) OVER (PARTITION BY x, i) AS group_id FROM (SELECT *, sum(new) OVER (PARTITION BY x ORDER BY y, id) AS i FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY x ORDER BY y, id) <= 0.55 THEN 0 ELSE 1 END AS new FROM par))")
+_add("j7_match_confidence", "sup cus", lambda a, b: sp.within(a, b, 2.0).select("left_id", "right_id", sp.match_confidence(F.col("distance"), [(0.5, 1.0), (1.0, 0.8), (1.5, 0.6)]).alias("confidence")), f"SELECT left_id, right_id, CASE WHEN d <= 0.5 THEN 1.0 WHEN d <= 1 THEN 0.8 WHEN d <= 1.5 THEN 0.6 ELSE 0.2 END::double AS confidence FROM (SELECT l.id AS left_id, r.id AS right_id, {_D} AS d FROM sup l JOIN cus r ON abs(l.x - r.x) <= 2 AND abs(l.y - r.y) <= 2) WHERE d <= 2")
+_add("a8_clip", "cus", lambda c: sp.clip(c, 10.0, 3.0, 60.0, 12.0), "SELECT id, round(x, 4) AS x, y FROM cus WHERE x BETWEEN 10 AND 60 AND y BETWEEN 3 AND 12")
+_add("r1_group_extent", "cus", lambda c: sp.group_extent(c.withColumn("group_id", F.col("y").cast("long"))), "SELECT y::bigint AS group_id, count(*) AS n, r(min(x)) AS xmin, r(max(x)) AS xmax, min(y) AS ymin, max(y) AS ymax, r(avg(x)) AS cx, r(avg(y)) AS cy FROM cus GROUP BY y")
+_BOTH = "+u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) "
+_add("gr11_degree", "e", gr.degree, _BOTH + "SELECT src AS node, count(DISTINCT dst) AS degree, r(count(DISTINCT dst) / max(count(DISTINCT dst)) OVER ()) AS normalised FROM u GROUP BY src")
+_add("gr8_hop_distance", "e", lambda e: gr.hop_distance(e, e.agg(F.min("src").alias("node")), 2), _BOTH + ", z AS (SELECT min(src) AS node FROM e), h1 AS (SELECT DISTINCT dst AS node FROM u JOIN z ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node) SELECT node, min(hop)::int AS hop FROM (SELECT node, 0 AS hop FROM z UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node")
+_add("gr9_cascade", "e", lambda e: gr.cascade(e, e.select(F.col("src").alias("node")).distinct(), 1, 0.7, 0.1), _BOTH + ", t AS (SELECT src, sum(weight) AS t FROM u GROUP BY 1), z AS (SELECT DISTINCT src AS node FROM e), i AS (SELECT dst AS node, 0.7 * sum(weight / t) AS impact FROM u JOIN t USING (src) JOIN z ON z.node = u.src GROUP BY dst HAVING 0.7 * sum(weight / t) >= 0.1) SELECT node, r(max(impact)) AS impact FROM (SELECT node, 1.0::double AS impact FROM z UNION ALL SELECT node, impact FROM i) GROUP BY node")
+_CL = lambda e: gr.both_ways(e.select("src", "dst")).select(F.col("src").alias("node"), (F.col("src") % 10).alias("cluster_id")).distinct()
+_add("gr16_modularity", "e", lambda e: gr.modularity(e, _CL(e)), _BOTH + ", m AS (SELECT sum(weight) AS m FROM e), d AS (SELECT src % 10 AS c, sum(weight) AS d FROM u GROUP BY 1), w AS (SELECT src % 10 AS c, sum(weight) AS w FROM e WHERE src % 10 = dst % 10 GROUP BY 1) SELECT r(sum(coalesce(w, 0) / m - pow(d / (2 * m), 2))) AS modularity FROM d LEFT JOIN w USING (c) CROSS JOIN m")
+_add("gr20_boundary_nodes", "e", lambda e: gr.boundary_nodes(e, _CL(e)), _BOTH + "SELECT src AS node, count(DISTINCT dst) AS crossing FROM u WHERE src % 10 <> dst % 10 GROUP BY 1")
+_add("gr22_neighbourhood_agreement", "e", lambda e: gr.neighbourhood_agreement(e, _CL(e).withColumnRenamed("cluster_id", "label"), 0.2), _BOTH + "SELECT src AS node, r(avg(CASE WHEN src % 10 = dst % 10 THEN 1.0 ELSE 0.0 END)) AS agreement FROM (SELECT DISTINCT src, dst FROM u) GROUP BY 1 HAVING avg(CASE WHEN src % 10 = dst % 10 THEN 1.0 ELSE 0.0 END) >= 0.2")
