@@ -40,7 +40,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{44,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 #: Key type names of the SSH wire format.
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
 
@@ -125,8 +125,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             data = _unbase64("".join(m[2].split()))
             if is_der(data) or is_ssh(data):
                 out.append((m.start(), m.end(), "pem"))
+    blocks = [(a, b) for a, b, kind in out if kind == "pem"]
     for m in _RUN.finditer(text):
         run = m[0]
+        if any(a <= m.start() < b for a, b in blocks):  # part of a key already reported
+            continue
         try:
             data = bytes.fromhex(run)
         except ValueError:
