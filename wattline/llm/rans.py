@@ -20,6 +20,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -39,6 +40,7 @@ MAGIC = b"WRANS1"
 LANES = 1024
 BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
+CACHED_WORDS = 300_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 
@@ -173,16 +175,54 @@ def read_file(data: bytes, table: Table) -> tuple[int, list[int | None], np.ndar
 _tokenizers: dict = {}
 
 
-def tokenizer(path: str):
-    """The tokenizers library's tokenizer of a file, without truncation and padding; one per Python worker."""
-    if path not in _tokenizers:
+class WordTokenizer:
+    """The tokenizers library over the distinct pieces between white space; one per Python worker.
+
+    For vocabularies that drop white space: their words never cross it, so a text's ids are those of its
+    pieces. New pieces are encoded together, a mark between them that is a word and an id of its own.
+    Texts with the mark or with white space that only Python knows go to the library whole, as do all
+    texts if the mark has no single id.
+    """
+
+    MARK = "\x01"
+    ODD = re.compile("[\x01\x1c-\x1f]")
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _tokenizers[path] = tok
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        mark = self._ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 and len(self._ids("a  b")) == len(self._ids("a b")) == len(self._ids("a")) + len(self._ids("b")) else None
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [self.mark is None or bool(self.ODD.search(t)) for t in texts]
+        parts = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
+        new = list({w for p in parts for w in p} - self.known.keys())
+        missing = [w for w in new if w not in self.old]
+        self.known.update((w, self.old[w]) for w in new if w in self.old)
+        for i in range(0, len(missing), 4000):
+            some = missing[i : i + 4000]
+            ids = self._ids(f" {self.MARK} ".join(some))
+            cut = [0, *(np.flatnonzero(ids == self.mark) + 1), len(ids) + 1]
+            for w, lo, hi in zip(some, cut[:-1], cut[1:], strict=True):
+                self.known[w] = ids[lo : hi - 1].tobytes()
+        out = [self._ids(t).tobytes() if w else b"".join(map(self.known.__getitem__, p)) for t, p, w in zip(texts, parts, whole, strict=True)]
+        if len(self.known) > CACHED_WORDS:
+            self.old, self.known = self.known, {}
+        return out
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
@@ -195,10 +235,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok, end = tokenizer(vocabulary), np.uint32(end_id).tobytes()
         for b in tk.slices(batches, "text"):
-            found = tok.encode_batch_fast([t or "" for t in b.column("text").to_pylist()], add_special_tokens=False)
-            ids = [np.array([*e.ids, end_id], dtype="<u4") for e in found]
+            ids = [np.frombuffer(i + end, "<u4") for i in tok.encode([t or "" for t in b.column("text").to_pylist()])]
             packed = [i.astype("<u2").tobytes() if not len(i) or i.max() < 65536 else b"" for i in ids]
             wide = [b"" if p else i.tobytes() for p, i in zip(packed, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "ids2", "ids4"])
