@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from wattline.functions import building as fb
-from wattline.operators import flows, spatial
+from wattline.operators import flows, memberships, planning, profiles, spatial
 from wattline.operators.components import connected_components
 from wattline.sources import tables
 from wattline.streaming import energy
@@ -78,3 +78,33 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_wkt(spark):
     r = spatial.wkt_points(spark.createDataFrame([("POINT (1.5 -2)",), ("x",)], "g string"), "g").collect()
     assert (r[0].x, r[0].y) == (1.5, -2.0) and r[1].x is None
+
+
+def test_selection_skips_what_does_not_fit_and_goes_on(spark):
+    rows = [(1, 10, 9.0, 60.0), (1, 11, 8.0, 70.0), (1, 12, 7.0, 35.0), (1, 13, 6.0, 5.0), (2, 20, 1.0, 200.0), (3, None, None, None)]
+    got = planning.budgeted_selection(spark.createDataFrame(rows, "lv_group long, building_id long, score double, cost double"), 100.0)
+    assert [(r.lv_group, r["rank"], r.building_id) for r in got.orderBy("lv_group", "rank").collect()] == [(1, 0, 10), (1, 1, 12)]
+
+
+def test_matching_of_clusters_needs_both_sides(spark):
+    before = spark.createDataFrame([(i, 1 if i < 6 else 2) for i in range(10)], "building_id long, cluster_id long")
+    after = spark.createDataFrame([(i, 5 if i < 5 else 6) for i in range(10)], "building_id long, cluster_id long")
+    got = {(r.old_id, r.new_id): (round(r.jaccard, 4), r.same) for r in memberships.cluster_matching(before, after).collect()}
+    assert got == {(1, 5): (0.8333, True), (2, 6): (0.8, True)}
+    r = memberships.cluster_transition(before, after).first()
+    assert (r.stability, r.changed, r.split, r.vanished) == (0.0, 10, 0, 2)
+    empty = memberships.cluster_transition(before.limit(0), after).first()
+    assert (empty.stability, empty.changed, empty.split, empty.vanished) == (None, None, 0, 0)
+
+
+def test_agreeing_runs_carry_no_mutual_information(spark):
+    rows = [(r, n, c, p) for r in (1, 2) for n, ps in ((1, (0.5, 0.5)), (2, (0.9, 0.1) if r == 1 else (0.1, 0.9))) for c, p in zip("ab", ps, strict=True)]
+    got = {r.node_id: r for r in planning.ensemble_uncertainty(spark.createDataFrame(rows, "run int, node_id int, class string, prob double")).collect()}
+    assert abs(got[1].entropy - math.log(2)) < 1e-9 and abs(got[1].mutual_information) < 1e-9 and got[1].variation_ratio == 0
+    assert abs(got[2].entropy - math.log(2)) < 1e-9 and got[2].mutual_information > 0.3 and got[2].variation_ratio == 0.5
+
+
+def test_waterfall_keeps_energy(spark):
+    states = spark.createDataFrame([(1, 1, "2024-01-01 10:00:00", 1.0, 5.0), (1, 2, "2024-01-01 10:00:00", 3.0, 0.0), (1, 3, "2024-01-01 11:00:00", 2.0, 0.0)], "cluster_id long, building_id long, ts string, demand double, generation double").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.building_id: (r.own_use, r.given, r.received, r.exported, r.imported) for r in profiles.energy_waterfall(states).collect()}
+    assert got == {1: (1.0, 3.0, 0.0, 1.0, 0.0), 2: (0.0, 0.0, 3.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0, 0.0, 2.0)}

@@ -86,3 +86,19 @@ def irr(net: Column, yearly: Column, years: int = 20, steps: int = 60) -> Column
     start = F.struct(F.lit(-0.5).alias("lo"), F.lit(1.0).alias("hi"))
     step = lambda a, _: F.when(worth((a["lo"] + a["hi"]) / 2) > 0, F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: (a["lo"] + a["hi"]) / 2)
+
+
+def battery_economics(kwh: Column, cycles_a_day: Column, shaved_kw: Column, arbitrage_a_day: Column, cost_per_kwh: float = 500.0, peak_charge: float = 50.0, cycles: float = 5000.0, rate: float = 0.05) -> list[Column]:
+    """Investment, lifetime (at most 10 years), yearly benefit, payback and present value over whole years."""
+    investment, lifetime = kwh * cost_per_kwh, F.least(F.lit(cycles) / (cycles_a_day * 365), F.lit(10.0))
+    yearly = shaved_kw * peak_charge * 12 + arbitrage_a_day * 365
+    worth = yearly * (1 - F.pow(F.lit(1 + rate), -F.floor(lifetime))) / rate - investment
+    return [investment.alias("investment"), lifetime.alias("lifetime"), yearly.alias("benefit"), F.when(yearly > 0, investment / yearly).alias("payback"), worth.alias("npv")]
+
+
+def community_benefits(buildings: Column, shared_kwh: Column, peak_cut: Column, mean_kwh: Column, price: float = 0.25, feed_in: float = 0.08, peak_charge: float = 50.0, bonus: float = 0.1) -> list[Column]:
+    """Yearly benefit of sharing, a lower peak (three times the mean), the community bonus and saved losses (2 %)."""
+    total = buildings * mean_kwh
+    sharing, peak = shared_kwh * (price - feed_in), total / 8760 * 3 * peak_cut * peak_charge * 12
+    yearly = sharing + peak + shared_kwh * price * bonus + total * 0.02 * price
+    return [sharing.alias("sharing"), peak.alias("peak"), yearly.alias("total"), F.try_divide(yearly, buildings).alias("per_building")]

@@ -66,3 +66,31 @@ def boundary_nodes(edges: DataFrame, groups: DataFrame) -> DataFrame:
     e = both_ways(edges.select("src", "dst")).distinct()
     j = e.join(groups.withColumnsRenamed({"node": "src", "cluster_id": "cs"}), "src").join(groups.withColumnsRenamed({"node": "dst", "cluster_id": "cd"}), "dst")
     return j.where("cs <> cd").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("crossing"))
+
+
+def hop_metrics(hops: DataFrame) -> DataFrame:
+    """Nodes reached per hop and their share of all reached (hop 0 are the sources)."""
+    g = hops.groupBy("hop").agg(F.count("*").alias("nodes"))
+    total = g.where("hop > 0").agg(F.sum("nodes").alias("total"))
+    return g.where("hop > 0").crossJoin(F.broadcast(total)).select("hop", "nodes", (F.col("nodes") / F.col("total")).alias("share"))  # total: one row
+
+
+def normalised_cut(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Weight that leaves each cluster over the weight of all its ends."""
+    c = clusters.select("node", "cluster_id")
+    j = both_ways(edges.select("src", "dst", "weight")).join(c.withColumnsRenamed({"node": "src", "cluster_id": "cs"}), "src").join(c.withColumnsRenamed({"node": "dst", "cluster_id": "cd"}), "dst")
+    return j.groupBy(F.col("cs").alias("cluster_id")).agg(F.sum(F.when(F.col("cs") != F.col("cd"), F.col("weight")).otherwise(0.0)).alias("cut"), F.sum("weight").alias("volume")).withColumn("normalised", F.try_divide("cut", "volume"))
+
+
+def label_propagation(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
+    """(node, label): unlabelled nodes take their neighbours' heaviest label each round (ties: smaller label).
+
+    seeds (node, label) keep theirs; every round is one join and two aggregations with map-side combine.
+    """
+    e = both_ways(edges.select("src", "dst", "weight"))
+    known = seeds.select("node", "label")
+    for _ in range(rounds):
+        votes = e.join(known.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "label").agg(F.round(F.sum("weight"), 6).alias("w"))
+        best = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
+        known = seeds.select("node", "label").unionByName(best.join(seeds.select("node"), "node", "left_anti"))
+    return known

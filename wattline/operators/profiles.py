@@ -193,3 +193,54 @@ def time_shares(column: str) -> list[Column]:
     """Sine and cosine of the hour of day."""
     x = 2 * F.pi() * F.hour(column) / 24
     return [F.sin(x).alias("hour_sin"), F.cos(x).alias("hour_cos")]
+
+
+def cluster_energy(s: DataFrame, group: str = "cluster_id") -> DataFrame:
+    """Building averages summed per cluster; 80 % of the export can be shared."""
+    m = s.groupBy(group, "building_id").agg(F.avg("demand").alias("d"), F.avg("generation").alias("g"), F.avg(F.greatest(F.col("generation") - F.col("demand"), F.lit(0.0))).alias("e"))
+    g = m.groupBy(group).agg(F.count("*").alias("buildings"), F.sum("d").alias("demand"), F.sum("g").alias("generation"), (0.8 * F.sum("e")).alias("shareable"))
+    return g.withColumn("self_sufficiency", F.least(F.try_divide("generation", "demand"), F.lit(1.0)))
+
+
+def energy_intensity(s: DataFrame, b: DataFrame) -> DataFrame:
+    """Totals and peak of each building, per square metre where its area is known."""
+    e = s.groupBy("building_id").agg(F.sum("demand").alias("kwh"), F.max("demand").alias("peak"))
+    return e.join(b.select("building_id", "area"), "building_id", "left").withColumn("kwh_per_m2", F.try_divide("kwh", "area"))
+
+
+def peak_coincidence(s: DataFrame, capacity: float = 630.0, group: str = "lv_group") -> DataFrame:
+    """The share of buildings whose peak hour is the group's commonest one, and the group's loading."""
+    h = s.groupBy(group, "building_id", F.hour("ts").alias("hour")).agg(F.avg("demand").alias("m"))
+    p = h.groupBy(group, "building_id").agg(F.max_by("hour", F.struct("m", -F.col("hour"))).alias("hour"))
+    top = p.groupBy(group, "hour").agg(F.count("*").alias("k")).groupBy(group).agg((F.max("k") / F.sum("k")).alias("coincidence"), F.sum("k").alias("buildings"))
+    return top.join(slots(s, group).groupBy(group).agg((F.max("demand") / capacity).alias("loading")), group)
+
+
+def hourly_self_sufficiency(s: DataFrame, group: str = "cluster_id") -> DataFrame:
+    """Spread of self-sufficiency over the hours of day (population standard deviation)."""
+    h = slots(s, group).groupBy(group, F.hour("slot").alias("hour")).agg(F.try_divide(F.sum(F.least("demand", "generation")), F.sum("demand")).alias("q"))
+    return h.groupBy(group).agg(F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"), F.min("q").alias("lowest"), F.max("q").alias("highest"))
+
+
+def energy_waterfall(s: DataFrame, group: str = "cluster_id") -> DataFrame:
+    """Each building's demand and generation as own use, sharing inside its cluster, import and export.
+
+    In a slot the smaller of the cluster's surplus and deficit is shared, in proportion to what each
+    building gives or lacks. Slot totals are aggregated and joined back.
+    """
+    zero = F.lit(0.0)
+    o = s.groupBy(group, F.date_trunc("hour", "ts").alias("slot"), "building_id").agg(F.sum("demand").alias("d"), F.sum("generation").alias("g"))
+    o = o.withColumns({"own": F.least("d", "g"), "spare": F.greatest(F.col("g") - F.col("d"), zero), "lack": F.greatest(F.col("d") - F.col("g"), zero)})
+    t = o.groupBy(group, "slot").agg(F.sum("spare").alias("ts"), F.sum("lack").alias("tl"))
+    j = o.join(t, [group, "slot"])
+    part = lambda c, total: F.coalesce(F.try_divide(F.col(c) * F.least("ts", "tl"), F.col(total)), zero)
+    g = j.groupBy(group, "building_id").agg(F.sum("own").alias("own_use"), F.sum(part("spare", "ts")).alias("given"), F.sum(part("lack", "tl")).alias("received"), F.sum("spare").alias("spare"), F.sum("lack").alias("lack"))
+    return g.select(group, "building_id", "own_use", "given", "received", (F.col("spare") - F.col("given")).alias("exported"), (F.col("lack") - F.col("received")).alias("imported"))
+
+
+def fixed_profile(s: DataFrame, n: int = 96) -> DataFrame:
+    """The first n states of each building as an array; a short series is padded with its mean."""
+    w = Window.partitionBy("building_id").orderBy("ts", "event_id")
+    f = s.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n).groupBy("building_id").agg(F.array_sort(F.collect_list(F.struct("i", "demand"))).alias("v"), F.avg("demand").alias("mean"))
+    own = F.transform("v", lambda x: x["demand"])
+    return f.select("building_id", F.size("v").alias("n_own"), F.concat(own, F.array_repeat("mean", F.lit(n) - F.size("v"))).alias("profile"))

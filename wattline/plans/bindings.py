@@ -23,6 +23,8 @@ FLOWS = ["l_shipdate AS ts", "l_suppkey AS from_id", "o_custkey AS to_id", "l_ex
 SUPPLIERS = ["s_suppkey AS id", "s_acctbal / 100.0 AS x", "cast(s_nationkey AS double) AS y"]
 CUSTOMERS = ["c_custkey AS id", "c_acctbal / 100.0 AS x", "cast(c_nationkey AS double) AS y"]
 PARTS = ["p_partkey AS id", "cast(p_size AS double) AS x", "p_retailprice AS y"]
+MEMBERSHIPS = ["cast(ts AS date) AS snapshot", "user_id AS building_id", "(user_id + CASE WHEN (user_id + day(ts)) % 7 = 0 THEN 3 ELSE 0 END) % 25 AS cluster_id"]
+PREDICTIONS = ["l_linenumber AS run", "l_orderkey AS node_id", "l_returnflag AS class", "0.05 + l_discount * 9 AS prob", "l_linestatus = 'O' AS hit"]
 EDGES = ["l_suppkey AS src", "1000000 + l_partkey AS dst", "l_quantity AS weight"]
 
 SQL = {
@@ -33,6 +35,8 @@ SQL = {
     "sup": f"SELECT {', '.join(SUPPLIERS)} FROM supplier",
     "cus": f"SELECT {', '.join(CUSTOMERS)} FROM customer",
     "par": f"SELECT {', '.join(PARTS)} FROM part",
+    "m": f"SELECT DISTINCT {', '.join(MEMBERSHIPS)} FROM events",
+    "p": f"SELECT {', '.join(PREDICTIONS)} FROM lineitem",
     "e": f"SELECT src, dst, sum(weight) AS weight FROM (SELECT {', '.join(EDGES)} FROM lineitem) GROUP BY src, dst",
 }
 
@@ -74,3 +78,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(*EDGES).groupBy("src", "dst").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "weight")
+
+
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").selectExpr(*MEMBERSHIPS).distinct()
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").selectExpr(*PREDICTIONS)

@@ -15,6 +15,8 @@ from ..functions import building as fb
 from ..operators import flows as fl
 from ..operators import graphs as gr
 from ..operators import hierarchy as hi
+from ..operators import memberships as me
+from ..operators import planning as pl
 from ..operators import profiles as pr
 from ..operators import spatial as sp
 from . import bindings as at
@@ -22,7 +24,7 @@ from . import bindings as at
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_BOUND = {"b": at.buildings, "g": at.groups, "s": at.states, "f": at.flows, "sup": at.suppliers, "cus": at.customers, "par": at.parts, "e": at.edges}
+_BOUND = {"b": at.buildings, "g": at.groups, "s": at.states, "f": at.flows, "sup": at.suppliers, "cus": at.customers, "par": at.parts, "e": at.edges, "m": at.memberships, "p": at.predictions}
 
 
 #: Added before rounding, so that values half way between two results round alike in both engines.
@@ -40,7 +42,8 @@ def _add(name: str, needs: str, build: Callable[..., DataFrame], sql: str | None
     if sql:
         head = ", ".join(f"{n} AS ({at.SQL[n]})" for n in dict.fromkeys(bound))
         body = re.sub(r"\br\(", "round4(", sql)
-        _SQL[name] = f"WITH {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}"  # + continues the list of tables
+        word, body = ("WITH RECURSIVE", body[9:]) if body.startswith("RECURSIVE") else ("WITH", body)
+        _SQL[name] = f"{word} {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}"  # + continues the list of tables
 
 
 def queries() -> dict[str, Query]:
@@ -170,3 +173,38 @@ _CL = lambda e: gr.both_ways(e.select("src", "dst")).select(F.col("src").alias("
 _add("gr16_modularity", "e", lambda e: gr.modularity(e, _CL(e)), _BOTH + ", m AS (SELECT sum(weight) AS m FROM e), d AS (SELECT src % 10 AS c, sum(weight) AS d FROM u GROUP BY 1), w AS (SELECT src % 10 AS c, sum(weight) AS w FROM e WHERE src % 10 = dst % 10 GROUP BY 1) SELECT r(sum(coalesce(w, 0) / m - pow(d / (2 * m), 2))) AS modularity FROM d LEFT JOIN w USING (c) CROSS JOIN m")
 _add("gr20_boundary_nodes", "e", lambda e: gr.boundary_nodes(e, _CL(e)), _BOTH + "SELECT src AS node, count(DISTINCT dst) AS crossing FROM u WHERE src % 10 <> dst % 10 GROUP BY 1")
 _add("gr22_neighbourhood_agreement", "e", lambda e: gr.neighbourhood_agreement(e, _CL(e).withColumnRenamed("cluster_id", "label"), 0.2), _BOTH + "SELECT src AS node, r(avg(CASE WHEN src % 10 = dst % 10 THEN 1.0 ELSE 0.0 END)) AS agreement FROM (SELECT DISTINCT src, dst FROM u) GROUP BY 1 HAVING avg(CASE WHEN src % 10 = dst % 10 THEN 1.0 ELSE 0.0 END) >= 0.2")
+
+_LAST = "+o AS (SELECT building_id, arg_min(cluster_id, snapshot) AS c FROM m GROUP BY 1), w AS (SELECT building_id, arg_max(cluster_id, snapshot) AS c FROM m GROUP BY 1), ov AS (SELECT o.c AS old_id, w.c AS new_id, count(*) AS shared FROM o JOIN w USING (building_id) GROUP BY ALL), so AS (SELECT c, count(*) AS n FROM o GROUP BY 1), sw AS (SELECT c, count(*) AS n FROM w GROUP BY 1)"
+_HOME = lambda m: m.select("building_id", (F.col("building_id") % 3).alias("lv_group")).distinct()
+_add("w9_temporal_stability", "m", me.temporal_stability, "+z AS (SELECT *, lag(snapshot) OVER (PARTITION BY cluster_id ORDER BY snapshot) AS was FROM (SELECT cluster_id, snapshot, count(*) AS n FROM m GROUP BY ALL)), q AS (SELECT z.cluster_id, z.snapshot, z.n, (SELECT count(*) FROM m x WHERE x.cluster_id = z.cluster_id AND x.snapshot = z.was) AS k, (SELECT count(*) FROM m x JOIN m y USING (building_id, cluster_id) WHERE x.cluster_id = z.cluster_id AND x.snapshot = z.snapshot AND y.snapshot = z.was) AS i FROM z WHERE was IS NOT NULL) SELECT cluster_id, r(avg(i / (n + k - i))) AS stability, count(*) AS steps FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY snapshot DESC) AS b FROM q) WHERE b <= 10 GROUP BY 1")
+_add("w10_cluster_matching", "m", lambda m: me.cluster_matching(*me.first_and_last(m)), f"{_LAST}, j AS (SELECT old_id, new_id, shared / (so.n + sw.n - shared) AS j FROM ov JOIN so ON so.c = old_id JOIN sw ON sw.c = new_id), k AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY j DESC, new_id) AS a, row_number() OVER (PARTITION BY new_id ORDER BY j DESC, old_id) AS b FROM j) SELECT old_id, new_id, r(j) AS jaccard, j > 0.7 AS same FROM k WHERE a = 1 AND b = 1")
+_add("x34_cluster_transition", "m", lambda m: me.cluster_transition(*me.first_and_last(m)), f"{_LAST} SELECT r(sum(shared) FILTER (WHERE old_id = new_id) / sum(shared)) AS stability, coalesce(sum(shared) FILTER (WHERE old_id <> new_id), 0)::bigint AS changed, (SELECT count(*) FROM (SELECT old_id FROM ov JOIN so ON so.c = old_id GROUP BY old_id, n HAVING max(shared) < 0.5 * n)) AS split, (SELECT count(*) FROM so WHERE c NOT IN (SELECT c FROM sw)) AS vanished FROM ov")
+_add("x13_split_by_group", "m", lambda m: me.split_by_group(me.first_and_last(m)[1], _HOME(m)), f"{_LAST} SELECT * FROM (SELECT building_id, c AS cluster_id, building_id % 3 AS lv_group, count(*) OVER (PARTITION BY c, building_id % 3) AS n FROM w) WHERE n >= 3")
+_add("r78_cluster_structure", "m", lambda m: me.cluster_structure(me.first_and_last(m)[1], _HOME(m)), f"{_LAST}, g AS (SELECT c, count(*) AS n, count(DISTINCT building_id % 3) AS lv FROM w GROUP BY c) SELECT count(*) AS clusters, sum(n)::bigint AS buildings, r(avg(n)) AS mean_size, r(stddev_pop(n)) AS size_std, r({SH('n BETWEEN 3 AND 20')}) AS valid_share, r({SH('n = 1')}) AS single_share, r({SH('lv <= 1')}) AS lv_compliance FROM g")
+
+_COST = lambda b: b.select("lv_group", "building_id", F.col("peak_kw").alias("score"), F.col("area").alias("cost"))
+_add("w17_budgeted_selection", "b", lambda b: pl.budgeted_selection(_COST(b), 500.0), "RECURSIVE+k AS (SELECT lv_group, building_id, area, row_number() OVER (PARTITION BY lv_group ORDER BY peak_kw DESC, building_id) AS n FROM b), t AS (SELECT lv_group, n, building_id, area <= 550 AS took, CASE WHEN area <= 550 THEN area ELSE 0.0 END AS spent FROM k WHERE n = 1 UNION ALL SELECT k.lv_group, k.n, k.building_id, t.spent < 450 AND t.spent + area <= 550, CASE WHEN t.spent < 450 AND t.spent + area <= 550 THEN t.spent + area ELSE t.spent END FROM t JOIN k ON k.lv_group = t.lv_group AND k.n = t.n + 1) SELECT lv_group, building_id, (row_number() OVER (PARTITION BY lv_group ORDER BY n) - 1)::int AS rank FROM t WHERE took")
+_add("w16_cumulative_plan", "b", pl.cumulative_plan, "SELECT mv_station, year, added, total::bigint AS total, r(total / n) AS penetration FROM (SELECT *, sum(added) OVER (PARTITION BY mv_station ORDER BY year) AS total, sum(k) OVER (PARTITION BY mv_station) AS n FROM (SELECT mv_station, build_year AS year, count_if(has_solar)::bigint AS added, count(*) AS k FROM b GROUP BY ALL))")
+_add("w20_rank_agreement", "b", lambda b: pl.rank_agreement(b, "peak_kw", "distance_m", "lv_group"), "SELECT lv_group, count(*) AS n, r(corr(x, y)) AS spearman, count_if(y < last)::bigint AS inversions FROM (SELECT *, lag(y) OVER (PARTITION BY lv_group ORDER BY x) AS last FROM (SELECT lv_group, row_number() OVER (PARTITION BY lv_group ORDER BY peak_kw DESC, building_id) AS x, row_number() OVER (PARTITION BY lv_group ORDER BY distance_m DESC, building_id) AS y FROM b)) GROUP BY lv_group HAVING count(*) > 1")
+_add("r65_progress", "b", lambda b: pl.progress(b, 0.3, 0.5), "SELECT mv_station, r(a) AS achieved, r(100 * a / 0.3) AS complete_pct, a >= 0.9 * 0.3 * 0.5 AS on_track, r(a / 0.5) AS projected FROM (SELECT mv_station, avg(CASE WHEN has_solar THEN 1.0::double ELSE 0.0 END) AS a FROM b GROUP BY 1)")
+_add("r75_violation_rates", "b", lambda b: pl.violation_rates(b, 200.0), f"SELECT count(*) AS groups, r({SH('p > 180')}) AS overload, r({SH('n NOT BETWEEN 3 AND 20')}) AS size, r({SH('cv > 1')}) AS variability, r(max(p / 180)) AS highest_loading FROM (SELECT sum(peak_kw) AS p, count(*) AS n, stddev_pop(peak_kw) / avg(peak_kw) AS cv FROM b GROUP BY lv_group)")
+_add("x37_quick_solar", "b", pl.quick_solar_candidates, f"SELECT building_id, label, roof_flat + roof_sloped AS roof FROM b WHERE {POOR} AND NOT has_solar AND roof_flat + roof_sloped > 50 ORDER BY roof DESC, building_id LIMIT 50")
+_CAL = "SELECT least(floor(prob * 10), 9)::int AS bin, count(*) AS n, avg(prob) AS c, avg(CASE WHEN hit THEN 1.0::double ELSE 0.0 END) AS a FROM p GROUP BY 1"
+_add("r61_calibration_bins", "p", pl.calibration_bins, f"SELECT bin, n, r(c) AS confidence, r(a) AS accuracy, r(abs(c - a)) AS gap FROM ({_CAL})")
+_add("r61_calibration_error", "p", pl.expected_calibration_error, f"SELECT r(sum(n * abs(c - a)) / sum(n)) AS ece, sum(n)::bigint AS n FROM ({_CAL})")
+_add("r62_ensemble_uncertainty", "p", pl.ensemble_uncertainty, "+q AS (SELECT node_id, run, class, round(sum(prob), 9) AS q FROM p GROUP BY ALL), v AS (SELECT *, q / sum(q) OVER (PARTITION BY node_id, run) AS v, row_number() OVER (PARTITION BY node_id, run ORDER BY q DESC, class) AS k FROM q), n AS (SELECT node_id, count(DISTINCT run) AS runs, -sum(v * ln(v)) / count(DISTINCT run) AS own FROM v GROUP BY 1), c AS (SELECT node_id, class, sum(v) AS s, count_if(k = 1) AS votes FROM v GROUP BY ALL) SELECT node_id, runs, r(-sum(s / runs * ln(s / runs))) AS entropy, r(-sum(s / runs * ln(s / runs)) - own) AS mutual_information, r(1 - max(votes) / runs) AS variation_ratio FROM c JOIN n USING (node_id) GROUP BY node_id, runs, own")
+
+_add("r26_group_profile", "s", lambda s: pr.peak_metrics(s, "lv_group").select("lv_group", "sum_peaks", "peak", "diversity_factor"), f"+own AS (SELECT lv_group, building_id, max(d) AS p FROM (SELECT lv_group, building_id, date_trunc('hour', ts) AS slot, sum(demand) AS d FROM s GROUP BY ALL) GROUP BY ALL), per AS (SELECT lv_group, sum(p) AS sp FROM own GROUP BY 1), tot AS (SELECT lv_group, max(demand) AS pk FROM ({_SLOT.format('lv_group')}) GROUP BY 1) SELECT lv_group, r(sp) AS sum_peaks, r(pk) AS peak, r(sp / pk) AS diversity_factor FROM per JOIN tot USING (lv_group)")
+_add("r27_cluster_energy", "s", pr.cluster_energy, "SELECT cluster_id, count(*) AS buildings, r(sum(d)) AS demand, r(sum(g)) AS generation, r(0.8 * sum(e)) AS shareable, r(least(sum(g) / sum(d), 1.0)) AS self_sufficiency FROM (SELECT cluster_id, building_id, avg(demand) AS d, avg(generation) AS g, avg(greatest(generation - demand, 0.0)) AS e FROM s GROUP BY ALL) GROUP BY 1")
+_add("r28_energy_intensity", "s b", pr.energy_intensity, "SELECT building_id, r(k) AS kwh, r(p) AS peak, r(area) AS area, r(k / area) AS kwh_per_m2 FROM (SELECT building_id, sum(demand) AS k, max(demand) AS p FROM s GROUP BY 1) LEFT JOIN (SELECT building_id, area FROM b) USING (building_id)")
+_add("r46_peak_coincidence", "s", pr.peak_coincidence, f"+h AS (SELECT lv_group, building_id, hour(ts) AS hour, avg(demand) AS m FROM s GROUP BY ALL), p AS (SELECT lv_group, hour, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lv_group, building_id ORDER BY m DESC, hour) AS n FROM h) WHERE n = 1 GROUP BY ALL), l AS (SELECT lv_group, max(demand) / 630 AS l FROM ({_SLOT.format('lv_group')}) GROUP BY 1) SELECT lv_group, r(max(k) / sum(k)) AS coincidence, sum(k)::bigint AS buildings, r(l) AS loading FROM p JOIN l USING (lv_group) GROUP BY lv_group, l")
+_add("x31_hourly_self_sufficiency", "s", pr.hourly_self_sufficiency, f"SELECT cluster_id, r(avg(q)) AS mean, r(stddev_pop(q)) AS std, r(min(q)) AS lowest, r(max(q)) AS highest FROM (SELECT cluster_id, hour(slot) AS h, CASE WHEN sum(demand) <> 0 THEN sum(least(demand, generation)) / sum(demand) END AS q FROM ({_SLOT.format('cluster_id')}) GROUP BY ALL) GROUP BY 1")
+_add("x35_energy_waterfall", "s", pr.energy_waterfall, "+o AS (SELECT cluster_id, date_trunc('hour', ts) AS slot, building_id, sum(demand) AS d, sum(generation) AS g FROM s GROUP BY ALL), t AS (SELECT *, least(d, g) AS own, greatest(g - d, 0.0) AS spare, greatest(d - g, 0.0) AS lack, sum(greatest(g - d, 0.0)) OVER w AS ts, sum(greatest(d - g, 0.0)) OVER w AS tl FROM o WINDOW w AS (PARTITION BY cluster_id, slot)), x AS (SELECT cluster_id, building_id, sum(own) AS own_use, sum(CASE WHEN ts <> 0 THEN spare * least(ts, tl) / ts ELSE 0 END) AS gi, sum(CASE WHEN tl <> 0 THEN lack * least(ts, tl) / tl ELSE 0 END) AS re, sum(spare) AS sp, sum(lack) AS la FROM t GROUP BY ALL) SELECT cluster_id, building_id, r(own_use) AS own_use, r(gi) AS given, r(re) AS received, r(sp - gi) AS exported, r(la - re) AS imported FROM x")
+_add("w19_fixed_profile", "s", lambda s: pr.fixed_profile(s).select("building_id", "n_own", F.size("profile").alias("n"), F.col("profile")[0].alias("first"), F.col("profile")[95].alias("last"), F.aggregate("profile", F.lit(0.0), lambda a, x: a + x).alias("total")), "+f AS (SELECT * FROM (SELECT building_id, demand, row_number() OVER (PARTITION BY building_id ORDER BY ts, event_id) AS i FROM s) WHERE i <= 96) SELECT building_id, count(*)::int AS n_own, 96::int AS n, r(arg_min(demand, i)) AS first, r(CASE WHEN count(*) = 96 THEN arg_max(demand, i) ELSE avg(demand) END) AS last, r(avg(demand) * 96) AS total FROM f GROUP BY 1")
+
+_add("gr13_hop_metrics", "e", lambda e: gr.hop_metrics(gr.hop_distance(e, e.agg(F.min("src").alias("node")), 2)), _BOTH + ", z AS (SELECT min(src) AS node FROM e), h1 AS (SELECT DISTINCT dst AS node FROM u JOIN z ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node WHERE dst NOT IN (SELECT node FROM h1) AND dst NOT IN (SELECT node FROM z)), k AS (SELECT 1 AS hop, count(*) AS nodes FROM h1 UNION ALL SELECT 2, count(*) FROM h2) SELECT hop::int AS hop, nodes, r(nodes / sum(nodes) OVER ()) AS share FROM k WHERE nodes > 0")
+_add("gr17_normalised_cut", "e", lambda e: gr.normalised_cut(e, _CL(e)), _BOTH + "SELECT src % 10 AS cluster_id, r(sum(CASE WHEN src % 10 <> dst % 10 THEN weight ELSE 0 END)) AS cut, r(sum(weight)) AS volume, r(sum(CASE WHEN src % 10 <> dst % 10 THEN weight ELSE 0 END) / sum(weight)) AS normalised FROM u GROUP BY 1")
+_SEED = lambda e: e.where("src % 3 = 0").select(F.col("src").alias("node"), (F.col("src") % 5).alias("label")).distinct()
+_add("gr15_label_propagation", "e", lambda e: gr.label_propagation(e, _SEED(e), 2), _BOTH + ", z AS (SELECT DISTINCT src AS node, src % 5 AS label FROM e WHERE src % 3 = 0), v1 AS (SELECT dst AS node, label, round(sum(weight), 6) AS w FROM u JOIN z ON src = node WHERE dst NOT IN (SELECT node FROM z) GROUP BY ALL), k1 AS (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, label) AS n FROM v1) WHERE n = 1 UNION ALL SELECT node, label FROM z), v2 AS (SELECT dst AS node, label, round(sum(weight), 6) AS w FROM u JOIN k1 ON src = node WHERE dst NOT IN (SELECT node FROM z) GROUP BY ALL) SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, label) AS n FROM v2) WHERE n = 1 UNION ALL SELECT node, label FROM z")
+_add("e2_battery_economics", "b", lambda b: b.select("building_id", *fb.battery_economics(F.col("area") / 10, 0.5 + F.col("building_id") % 4, F.col("peak_kw") / 5, F.col("area") / 100)), "SELECT building_id, r(i) AS investment, r(l) AS lifetime, r(y) AS benefit, r(i / y) AS payback, r(y * (1 - pow(1.05, -floor(l))) / 0.05 - i) AS npv FROM (SELECT building_id, area / 10 * 500 AS i, least(5000.0 / ((0.5 + building_id % 4)::double * 365), 10.0) AS l, peak_kw / 5 * 50 * 12 + area / 100 * 365 AS y FROM b)")
+_add("e3_community_benefits", "b", lambda b: b.groupBy("lv_group").agg(F.count("*").alias("n"), F.sum("area").alias("a"), F.avg("peak_kw").alias("k")).select("lv_group", *fb.community_benefits(F.col("n"), F.col("a"), F.lit(0.2), F.col("k") * 100)), "+g AS (SELECT lv_group, count(*) AS n, sum(area) AS a, count(*) * (avg(peak_kw) * 100) AS t FROM b GROUP BY 1), y AS (SELECT *, a * 0.17 AS s, t / 8760 * 3 * 0.2 * 50 * 12 AS p, a * 0.25 * 0.1 + t * 0.02 * 0.25 AS rest FROM g) SELECT lv_group, r(s) AS sharing, r(p) AS peak, r(s + p + rest) AS total, r((s + p + rest) / n) AS per_building FROM y")
