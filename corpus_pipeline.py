@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages go; a document of which nothing is left goes with them."""
-    done = line_dedup.dedup_lines(docs).where("n_removed = 0 OR text <> ''")
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    done = line_dedup.dedup_lines(docs.withColumn("_was", F.xxhash64("text"))).withColumn("_cut", F.xxhash64("text") != F.col("_was")).where("NOT _cut OR text <> ''")
+    return done.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

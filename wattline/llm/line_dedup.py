@@ -1,22 +1,21 @@
-"""Line dedup: winnowed line fingerprints, joined by position, extended both ways; later repeats go.
-
-A *line* here is a sentence-sized unit: the text is cut at ``\\n`` and after ``.``, ``!`` or ``?``
-followed by white space, so that a passage is found wherever it stands inside a long paragraph.
-Units without a word are no lines.
-
-Every run of lines with at least ``min_words`` words contains a smallest such run starting at one of
-its lines: the window. In each window the line with the smallest hash is picked (winnowing), and the
-pair (pick, window) is the fingerprint, so every repeated run of ``min_words`` words or more is
-guaranteed a common fingerprint, and an equal fingerprint proves a repeated run. The first position of a
-fingerprint in a document is joined with the fingerprint's first document (order: id, then position),
-both are extended in both directions while the lines agree, and the later run is deleted; then a
-document's further positions are treated so against its own first one, in order, unless the window is
-deleted already.
-
-Output of ``dedup_lines``: the input's columns, ``text`` without the deleted lines (null stays null),
-and ``n_lines``, ``n_removed`` (which replace input columns so named); one row per input row. Documents that repeat an id count as one text
-each; equal rows (same id and text) are one document and stay equal, each keeping what the first
-keeps. A null id sorts first.
+"""Line dedup: winnowed fingerprints of words, joined over documents, extended both ways; later repeats go.
+
+A passage is found wherever it stands, also in the middle of a sentence, because nothing depends on the words
+before it. Each run of ``min_words`` words is a window. Its smallest hash of short word runs (two fifths of
+``min_words``) is its pick (winnowing): equal windows have equal picks, and windows in a row with one pick are a
+stretch. Only stretches whose pick occurs in two documents can repeat. A stretch that an earlier document has as a
+whole (order: id, then text hash) is joined with it at once: the inside of long passages. Where stretches of one
+pick differ, at the ends of passages, the first document of each stretch is read again and the hash of all words of
+each of its windows is joined with that fingerprint's first document, so the windows found reach the passage's exact
+ends word by word in both directions. They are deleted; then a document's further windows are extended against its
+own first one, in order, unless the window is deleted already.
+
+A *line* is a sentence-sized unit: the text is cut at ``\\n`` and after ``.``, ``!`` or ``?`` followed by white space.
+Output of ``dedup_lines``: the input's columns, ``text`` without the deleted words (null stays null),
+and ``n_lines``, ``n_removed`` (which replace input columns so named); one row per input row. ``n_removed`` counts the
+lines that go whole, in runs of ``min_words`` words or more; text can also be cut where it is 0. Documents that
+repeat an id count as one text each; equal rows (same id and text) are one document and stay equal, each keeping what
+the first keeps. A null id sorts first.
 """
 
 from __future__ import annotations
@@ -36,43 +35,31 @@ MIN_WORDS = 50
 
 
 class Lines:
-    """The lines of a slice: byte spans, 64-bit hashes and word counts; ``bounds`` per text."""
+    """The lines of a slice: byte spans and word counts; ``bounds`` per text. ``heads`` are their first words."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
-        words = tk.Words(buf, offsets)
-        first = tk.sentence_heads(words)
-        at = np.flatnonzero(first)
-        self.starts = words.starts[at]
+        self.text = words = tk.Words(buf, offsets)
+        self.heads = at = np.flatnonzero(tk.sentence_heads(words))
         last = np.concatenate([at[1:], [len(words.starts)]]) - 1 if len(at) else at
-        self.ends = words.ends[last]
         self.words = last - at + 1
         self.bounds = np.searchsorted(at, words.bounds)
-        self.hashes = tk.span_hashes(buf, self.starts, self.ends)
 
 
-def windows(h: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, pick, key) of each smallest run of at least min_words words that stays in its text."""
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(words)])
-    start = np.arange(len(h))
-    end = np.searchsorted(total, total[:-1] + min_words)  # one past the last line
-    limit = np.repeat(bounds[1:], np.diff(bounds))
-    inside = end <= limit
-    start, end = start[inside], end[inside]
-    pick, run = start.copy(), np.zeros(len(start), np.uint64)
-    low = h[start] if len(start) else h[:0]
-    longest = int((end - start).max()) if len(start) else 0
-    live = np.arange(len(start))
-    for i in range(longest):
-        live = live[start[live] + i < end[live]]
-        at = start[live] + i
-        run[live] = run[live] * np.uint64(0x9FB21C651E98DF25) + h[at]
-        better = h[at] < low[live]
-        low[live[better]] = h[at[better]]
-        pick[live[better]] = at[better]
-    key = tk.mix(tk.mix(run) ^ low ^ (end - start).astype(np.uint64))
-    return start, pick, key.view(np.int64)
+def windows(h: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, pick, key) of each run of min_words words that stays in its text; the pick is the smallest hash of its short runs."""
+    short = max(1, 2 * min_words // 5)
+    start, _ = tk.runs(bounds, min_words)
+    if not len(start):
+        return start, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    g = tk.ngram_hashes(h, short)
+    n, low, reach = min_words - short + 1, g, 1  # low[i] is the least of g[i : i + reach]
+    while reach < n:
+        step = min(reach, n - reach)
+        low, reach = np.minimum(low[: len(low) - step], low[step:]), reach + step
+    key = np.zeros(len(start), np.uint64)
+    for at in [*range(0, min_words - short, short), min_words - short]:  # short runs that cover the window
+        key = key * np.uint64(0x9FB21C651E98DF25) + g[start + at]
+    return start, low[start].view(np.int64), tk.mix(key).view(np.int64)
 
 
 def _tag(text_col: str) -> F.Column:
@@ -80,81 +67,80 @@ def _tag(text_col: str) -> F.Column:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, tag, first, last): the line runs to delete; doc and tag (a hash of the text) name the document."""
+    """(doc, tag, at, n): n windows in a row, from word at on, that an earlier document has; doc and tag (a hash of the text) name the document."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
+    widest = min_words - max(1, 2 * min_words // 5) + 1
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.slices(batches, "text"):
-            buf, offsets = tk.flat_bytes(b.column("text"))
-            lines = Lines(buf, offsets)
-            start, pick, key = windows(lines.hashes, lines.words, lines.bounds, min_words)
-            of = np.searchsorted(lines.bounds, start, side="right") - 1
-            own = np.sort(np.unique(tk.mix(key.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1])  # the document's first of each
-            start, pick, key, of = start[own], pick[own], key[own], of[own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), b.column("doc_id").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array((pick - lines.bounds[of]).astype(np.int32)), pa.array((start - lines.bounds[of]).astype(np.int32))],
-                ["key", "doc", "tag", "pick", "start"],
-            )
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = tk.Words(*tk.flat_bytes(b.column("text")))
+            start, pick, key = windows(words.hashes(), words.bounds, min_words)
+            of = np.searchsorted(words.bounds, start, side="right") - 1
+            first = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (of[1:] != of[:-1])])[: len(pick)])
+            n = np.diff(np.append(first, len(pick)))
+            parts = -(-n // widest)  # a pick holds longer only where words repeat
+            step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * widest
+            first, n = np.repeat(first, parts) + step, np.minimum(np.repeat(n, parts) - step, widest)
+            span = tk.mix(key[first].view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + key[first + n - 1].view(np.uint64) + n.astype(np.uint64)).view(np.int64)  # its outer windows cover it
+            at, of = (start - words.bounds[of])[first], of[first]
+            yield pa.RecordBatch.from_arrays([pa.array(pick[first]), pa.array(span), b.column("doc_id").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["pick", "span", "doc", "tag", "at", "n"])
+
+    marks = stored(d.mapInArrow(stretches, "pick long, span long, doc long, tag long, at int, n int"), "line-marks")
+    who = F.struct("doc", "tag")
+    name = F.xxhash64("doc", "tag")  # a number, so that rows meet in hash maps without a sort
+    again = marks.groupBy("pick").agg(F.min(name).alias("f"), F.max(name).alias("l"), (F.min("span") != F.max("span")).alias("mixed")).where("f <> l").select("pick", "mixed")
+    marks = stored(marks.join(stored(again, "line-picks"), "pick"), "line-repeats")
+    spans = stored(marks.groupBy("pick", "span").agg(F.min(F.struct("doc", "tag", "at", "n")).alias("f"), F.max(who).alias("l"), F.first("mixed").alias("mixed")), "line-spans")
+    whole = marks.join(spans.where("NOT (f.doc <=> l.doc AND f.tag = l.tag)").select("pick", "span", "f"), ["pick", "span"]).where("NOT (doc <=> f.doc AND tag = f.tag)").select("doc", "tag", "at", "n")
+    ends = spans.where("mixed").groupBy("f.doc", "f.tag").agg(F.collect_list(F.struct("f.at", "f.n")).alias("open"))
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.slices(batches, "text"):
-            buf, offsets = tk.flat_bytes(b.column("text"))
-            lines = Lines(buf, offsets)
-            cut = list(zip(lines.bounds[:-1], lines.bounds[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array([lines.hashes[x:y].tobytes() for x, y in cut], pa.binary())], ["doc", "tag", "lines"])
-
-    marks = stored(d.mapInArrow(fingerprints, "key long, doc long, tag long, pick int, start int"), "line-marks")
-    again = marks.groupBy("key").count().where("count > 1").select("key")
-    marks = stored(marks.join(again, "key", "left_semi"), "line-repeats")
-    firsts = marks.groupBy("key").agg(F.min(F.struct("doc", "tag", "pick", "start")).alias("f"))
-    later = marks.join(firsts, "key").where("NOT (doc <=> f.doc AND tag = f.tag)")
-    # one extension per (document, source, offset): a run of many windows is one match
-    later = later.groupBy("doc", "tag", F.col("f.doc").alias("fdoc"), F.col("f.tag").alias("ftag"), (F.col("pick") - F.col("f.pick")).alias("shift")).agg(F.sort_array(F.collect_set("pick")).alias("picks"))
-    later = stored(later, "line-matches")
-    both = later.select("doc", "tag").union(later.select("fdoc", "ftag")).distinct()
-    lines = stored(d.mapInArrow(arrays, "doc long, tag long, lines binary").join(both, ["tag"], "left_semi").dropDuplicates(["doc", "tag"]), "line-hashes")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, tag, first, last = [], [], [], []
-            for r in b.to_pylist():
-                x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
-                s = r["shift"]
-                lo, hi = max(0, s), min(len(x), len(y) + s)  # positions of x that have a partner in y
-                same = x[lo:hi] == y[lo - s : hi - s]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-                begin, end = edge[::2] + lo, edge[1::2] + lo
-                for k in np.unique(np.searchsorted(begin, np.array(r["picks"]), side="right") - 1):
-                    doc.append(r["doc"])
-                    tag.append(r["tag"])
-                    first.append(int(begin[k]))
-                    last.append(int(end[k]) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc", "tag", "first", "last"])
-
-    x = lines.select(F.col("doc").alias("xd"), F.col("tag").alias("xt"), F.col("lines").alias("x"))
-    y = lines.select(F.col("doc").alias("yd"), F.col("tag").alias("yt"), F.col("lines").alias("y"))
-    pairs = later.join(x, F.expr("doc <=> xd AND tag = xt")).join(y, F.expr("fdoc <=> yd AND ftag = yt"))
-    return pairs.select("doc", "tag", "shift", "picks", "x", "y").mapInArrow(extend, "doc long, tag long, first int, last int").distinct()
-
-
-def own_repeats(h: np.ndarray, words: np.ndarray, min_words: int, drop: np.ndarray) -> None:
-    """Marks in drop the lines of one document that repeat its own earlier runs; a window already marked whole is done."""
-    start, _, key = windows(h, words, np.array([0, len(h)]), min_words)
+            words = tk.Words(*tk.flat_bytes(b.column("text")))
+            start, _, key = windows(words.hashes(), words.bounds, min_words)
+            some = b.column("open")
+            of = np.repeat(np.arange(b.num_rows), some.value_lengths().to_numpy())
+            at, n = (some.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            row = np.searchsorted(start, words.bounds[of] + at)
+            row = np.repeat(row - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            of = np.repeat(of, n)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), b.column("doc").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array((start[row] - words.bounds[of]).astype(np.int32))], ["key", "doc", "tag", "at"])
+
+    texts = d.join(ends.withColumnRenamed("tag", "t"), F.expr("doc_id <=> doc AND tag = t")).select("doc", "tag", "open", "text")
+    found = stored(texts.mapInArrow(fingerprints, "key long, doc long, tag long, at int"), "line-windows")
+    firsts = stored(found.groupBy("key").agg(F.min(who).alias("f"), F.max(who).alias("l")).where("NOT f <=> l").select("key", "f"), "line-firsts")
+    later = found.join(firsts, "key").where("NOT (doc <=> f.doc AND tag = f.tag)").select("doc", "tag", "at", F.lit(1).alias("n"))
+    return whole.unionByName(later)
+
+
+def _in_text(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return tk.mix(key.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def own_repeats(h: np.ndarray, start: np.ndarray, key: np.ndarray, min_words: int, drop: np.ndarray) -> None:
+    """Marks in drop the words of one document that repeat its own earlier runs; a window already marked whole is done."""
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    total = np.concatenate([[0], np.cumsum(words)])
     for i in np.flatnonzero(first[back] != np.arange(len(key))):
         at, shift = start[i], start[i] - start[first[back[i]]]
-        if drop[at : np.searchsorted(total, total[at] + min_words)].all():
+        if drop[at : at + min_words].all():
             continue
         differs = np.flatnonzero(h[shift:] != h[: len(h) - shift]) + shift  # x[k] against x[k - shift]
         k = np.searchsorted(differs, at)
         drop[(differs[k - 1] + 1 if k else shift) : (differs[k] if k < len(differs) else len(h))] = True
 
 
+def whole_lines(gone: np.ndarray, words: np.ndarray, min_words: int) -> int:
+    """Lines in runs of lines of which every word goes, at least min_words words a run."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    total = np.concatenate([[0], np.cumsum(words)])
+    begin, end = edge[::2], edge[1::2]
+    return int((end - begin)[total[end] - total[begin] >= min_words].sum())
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all its columns, with the later repeated runs cut out of the text; plus n_lines and n_removed."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_runs(docs, id_col, text_col, min_words).groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_gone")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
+    gone = repeated_runs(docs, id_col, text_col, min_words).groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("_gone")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
     whole = docs.select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in kept))
     joined = whole.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (_tag(text_col) == F.col("_tag")), "left").select(*kept, "_gone")
     schema = T.StructType([*whole.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -163,21 +149,37 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in tk.slices(batches, text_col):
             buf, offsets = tk.flat_bytes(b.column(text_col))
             lines = Lines(buf, offsets)
-            texts, removed = b.column(text_col).to_pylist(), []
-            for i, cuts in enumerate(b.column("_gone").to_pylist()):
-                lo, hi = lines.bounds[i], lines.bounds[i + 1]
-                drop = np.zeros(hi - lo, dtype=bool)
-                for c in cuts or ():
-                    drop[c["first"] : c["last"] + 1] = True
-                own_repeats(lines.hashes[lo:hi], lines.words[lo:hi], min_words, drop)
-                removed.append(int(drop.sum()))
-                if removed[-1]:
-                    keep = np.ones(offsets[i + 1] - offsets[i], dtype=bool)
-                    for k in np.flatnonzero(drop) + lo:  # a line goes with the space behind it, up to the next line
-                        end = lines.starts[k + 1] if k + 1 < hi else offsets[i + 1]
-                        keep[lines.starts[k] - offsets[i] : end - offsets[i]] = False
-                    left = buf[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
-                    texts[i] = left.rstrip(" \t\n") if drop[-1] else left
+            words = lines.text
+            h = words.hashes()
+            start, _, key = windows(h, words.bounds, min_words)
+            of = np.searchsorted(words.bounds, start, side="right") - 1
+            cut = np.searchsorted(of, np.arange(b.num_rows + 1))
+            mine = _in_text(key, of)
+            first = np.unique(mine, return_index=True)[1]
+            twice = np.bincount(of, minlength=b.num_rows) > np.bincount(of[first], minlength=b.num_rows)
+            breaks = np.concatenate([[0], np.cumsum(buf == 0x0A)])
+            texts, removed, gone = b.column(text_col).to_pylist(), [], b.column("_gone")
+            for i in range(b.num_rows):
+                at, n = (gone[i].values.field(k).to_numpy().astype(np.int64) if gone[i].is_valid else np.zeros(0, np.int64) for k in (0, 1))
+                if not len(at) and not twice[i]:
+                    removed.append(0)
+                    continue
+                lo, hi = words.bounds[i], words.bounds[i + 1]
+                cover = np.bincount(at, minlength=hi - lo + 1) - np.bincount(at + n - 1 + min_words, minlength=hi - lo + 1)
+                drop = np.cumsum(cover)[: hi - lo] > 0
+                if twice[i]:
+                    own_repeats(h[lo:hi], start[cut[i] : cut[i + 1]] - lo, key[cut[i] : cut[i + 1]], min_words, drop)
+                heads = slice(lines.bounds[i], lines.bounds[i + 1])
+                removed.append(whole_lines(np.logical_and.reduceat(drop, lines.heads[heads] - lo), lines.words[heads], min_words))
+                keep = np.ones(offsets[i + 1] - offsets[i], dtype=bool)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
+                for x, y in zip(edge[::2] + lo, edge[1::2] + lo, strict=True):
+                    begin, end = words.starts[x], words.starts[y] if y < hi else offsets[i + 1]  # a passage goes with the space behind it,
+                    if x > lo and y < hi and breaks[end] > breaks[words.ends[y - 1]] and breaks[begin] == breaks[words.ends[x - 1]]:
+                        begin, end = words.ends[x - 1], words.ends[y - 1]  # but leaves the newline to a line that it ends
+                    keep[begin - offsets[i] : end - offsets[i]] = False
+                left = buf[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
+                texts[i] = left.rstrip(" \t\n") if drop[-1] else left
             columns = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(lines.bounds)), pa.array(removed, pa.int64())], [*kept, "n_lines", "n_removed"])
 
