@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from wattline.llm import line_dedup, queries
+from wattline.llm import decontaminate, line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,3 +45,20 @@ def test_words_equal_brute_force(spark):
             assert got[i] == [x for p, x in enumerate(w) if p not in gone]
             cut += bool(gone)
     assert cut > 5
+
+
+def test_partial_quotes_and_shifted_words_are_found(spark):
+    item = [f"tok{i}" for i in range(59)]
+    short = [f"s{i}" for i in range(9)]
+    fill = [f"f{i}" for i in range(40)]
+    docs = {
+        1: fill + item[10:40] + fill,  # half of the item
+        2: fill + item[:30] + ["new"] + item[30:] + fill,  # a word inserted
+        3: fill + item[:30] + item[31:],  # a word dropped
+        4: fill + short[:4] + ["other"] + short[5:],  # 8 of 9
+        5: ["s0", "x", "s2", "s3", "y", "s5", "s6", "z", "s8"],  # 6 of 9, no three in a row
+        6: fill + item[:9] + fill + short[:5],
+    }
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    rows = decontaminate.overlaps(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matched, r.first_token) for r in rows) == [(1, 1, 30, 30), (2, 1, 59, 40), (3, 1, 58, 40), (4, 2, 8, 40), (5, 2, 6, 0)]

@@ -3,16 +3,19 @@
 Tokens are runs of letters and digits, ASCII letters lower-cased. A mask such as ``110100110111``
 hashes the tokens under its ones and ignores those under its zeros, so a substituted token under a
 zero does not hide a match. Seeds of the benchmark items are joined with the seeds of the documents,
-each distinct (document, item, offset) is then compared token by token over the item's whole length,
-and an item is reported when at least ``min_share`` of its tokens agree there.
+and the overlap is verified token by token at each offset that a seed gives: over the item's whole length, and as
+local runs (most agreeing less differing tokens), which are joined over offsets at most ``GAP`` apart, so that
+inserted and dropped words do not end a run. An item is reported when at least ``min_share`` of its tokens agree at one
+offset or in a joined run, or when a joined run has at least ``min_run`` agreeing tokens: a partial quote.
 
 ``overlaps`` returns (doc_id, item_id, n_matched, n_tokens, first_token): the best alignment of every
-reported pair. ``decontaminate`` drops the documents that have one.
+reported pair; first_token is where the item's first token stands, or would stand before a partial quote. ``decontaminate`` drops the documents that have one.
 
 The benchmark side is never collected: a bitmap of fixed size (2**BITMAP_BITS bits) of its seeds goes
 to the tasks as a first filter, and what passes meets the seed table in an ordinary join, which Spark
-broadcasts or shuffles by size. Items shorter than the masks are searched as a whole, those of fewer
-than ``MIN_TOKENS`` tokens are not searched. Null texts are empty and match nothing; a null doc_id can
+broadcasts or shuffles by size. Items no longer than the longest mask are searched by ``SHORT_MASKS``: where 60 % of
+5 to 12 tokens agree, three of them always lie within five places. Items of fewer than ``MIN_TOKENS`` tokens are not
+searched. Null texts are empty and match nothing; a null doc_id can
 be reported with a null id; rows with a null item_id are searched like others. Repeated documents are
 reported once per doc_id.
 """
@@ -30,8 +33,13 @@ from . import textkit as tk
 from .shared import stored, without
 
 MASKS = ("11011101", "1101100111", "111010010111", "11111")
+SHORT_MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
 MIN_TOKENS = 5
 MIN_SHARE = 0.6
+MIN_RUN = 13
+GAP = 8
+LEAST_RUN = 5
+LONGEST = max(map(len, MASKS))
 BITMAP_BITS = 24
 
 _SPACE = np.ones(256, dtype=bool)
@@ -61,8 +69,47 @@ def hash_of(mask: str) -> int:
     return int(mask, 2) + 1
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_share: float = MIN_SHARE) -> DataFrame:
-    spark = docs.sparkSession
+def local_runs(same: np.ndarray) -> list[tuple[int, int]]:
+    """(first, one past the last) of the best run, by most agreeing less differing tokens, of each cluster of agreeing ones."""
+    at = np.flatnonzero(same)
+    out = []
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 3) + 1) if len(at) else []:
+        total = np.concatenate([[0], np.cumsum(np.where(same[part[0] : part[-1] + 1], 1, -1))])
+        low = np.minimum.accumulate(total)
+        end = int(np.argmax(total - low))
+        out.append((int(part[0]) + int(np.flatnonzero(total[: end + 1] == low[end])[-1]), int(part[0]) + end))
+    return out
+
+
+def best_overlap(x: np.ndarray, y: np.ndarray, shifts: list[int]) -> tuple[int, int, int, int]:
+    """Item y in region x: (most agreeing tokens at one shift, that shift, most in a joined run, its first shift)."""
+    single, runs = (0, 0), []
+    least = 3 if len(y) <= LONGEST else LEAST_RUN
+    for s in sorted(shifts):
+        lo, hi = max(0, -s), min(len(y), len(x) - s)
+        if hi <= lo:
+            continue
+        same = np.zeros(len(y), dtype=bool)
+        same[lo:hi] = y[lo:hi] == x[lo + s : hi + s]
+        total = np.concatenate([[0], np.cumsum(same)])
+        single = max(single, (int(total[-1]), -s))
+        runs += [(e, b, s, total) for b, e in local_runs(same) if total[e] - total[b] >= least]
+    runs.sort(key=lambda r: r[:3])
+    ends, by, sums, first = (np.zeros(len(runs), np.int64) for _ in range(4))
+    for k, (e, b, s, total) in enumerate(runs):
+        ends[k], by[k], sums[k], first[k] = e, s, total[e] - total[b], s
+        near = np.flatnonzero(np.abs(by[:k] - s) <= GAP)
+        after = np.clip(np.maximum(ends[near], ends[near] + by[near] - s), b, e)  # behind the earlier run in item and region
+        joined = sums[near] + total[e] - total[after]
+        if len(near) and joined.max() > sums[k]:
+            j = int(np.argmax(joined))
+            sums[k], first[k] = joined[j], first[near[j]]
+    top = int(np.argmax(sums)) if len(runs) else -1
+    return single[0], -single[1], int(sums[top]) if len(runs) else 0, int(first[top]) if len(runs) else 0
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> DataFrame:
+    spark, longest = docs.sparkSession, max(map(len, masks))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
 
@@ -79,19 +126,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             for item, raw in zip(b.column("item").to_pylist(), b.column("tokens").to_pylist(), strict=True):
                 h = np.frombuffer(raw, np.uint64)
                 bounds = np.array([0, len(h)])
-                for m in [m for m in masks if len(m) <= len(h)] or ["1" * len(h)]:
+                for m in masks if len(h) > longest else SHORT_MASKS:
                     s, at = seeds(h, bounds, m)
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(at.astype(np.int32)), pa.array(np.full(len(s), len(m), np.int32))], ["seed", "item", "at", "span"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(at.astype(np.int32))], ["seed", "item", "at"])
 
-    table = stored(bench.select("item", "tokens").mapInArrow(item_seeds, "seed long, item long, at int, span int"), "bench-seeds")
+    table = stored(bench.select("item", "tokens").mapInArrow(item_seeds, "seed long, item long, at int"), "bench-seeds")
     size = 1 << BITMAP_BITS
     bits = np.zeros(size // 64, np.uint64)
     marks = table.select(F.expr(f"shiftrightunsigned(seed & {size - 1}, 6)").alias("w"), F.expr("shiftleft(1L, cast(seed & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     for r in marks.toLocalIterator():  # at most size / 64 words, whatever the benchmark holds
         bits[r.w] = np.uint64(r.b & 0xFFFFFFFFFFFFFFFF)
     known = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
-    short = [r.span for r in table.select("span").distinct().collect() if r.span not in {len(m) for m in masks}]  # below the shortest mask
-    shapes = [*masks, *("1" * n for n in short)]
+    sizes = bench.agg(F.coalesce(F.min("n") <= longest, F.lit(False)).alias("short"), F.coalesce(F.max("n") > longest, F.lit(False)).alias("long")).first()
+    shapes = [*(masks if sizes.long else ()), *(SHORT_MASKS if sizes.short else ())]
     reach = bench.agg(F.max("n")).first()[0] or 0
 
     # the parts of documents around seeds that the bitmap knows
@@ -99,7 +146,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         table = known.value
         for b in tk.slices(batches, "text"):
             h, bounds = tokens(*tk.flat_bytes(b.column("text")))
-            found, where = [], []
+            found, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for m in shapes:
                 s, at = seeds(h, bounds, m)
                 hit = np.flatnonzero(table[s & (size - 1)])
@@ -128,19 +175,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     near = stored(d.mapInArrow(regions, "doc_id long, base long, tokens binary, seeds array<long>, ats array<long>").withColumn("region", F.xxhash64("doc_id", "base", "tokens")).dropDuplicates(["region"]), "regions")
     hits = near.select("region", F.explode(F.arrays_zip("seeds", "ats")).alias("h")).select("region", F.col("h.seeds").alias("seed"), F.col("h.ats").alias("p"))
-    starts = hits.join(table.select("seed", "item", "at"), "seed").select("region", "item", (F.col("p") - F.col("at")).alias("shift")).distinct()
+    starts = hits.join(table.select("seed", "item", "at"), "seed").select("region", "item", (F.col("p") - F.col("at")).alias("shift")).groupBy("region", "item").agg(F.collect_set("shift").alias("shifts"))
     full = starts.join(near.select("region", "doc_id", "base", F.col("tokens").alias("x")), "region").join(bench.select("item", "item_id", F.col("tokens").alias("y")), "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            matched = []
-            for x, y, s in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("shift").to_pylist(), strict=True):
+            out = []
+            for doc, item, base, shifts, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "base", "shifts", "x", "y")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                lo, hi = max(0, -s), min(len(y), len(x) - s)
-                matched.append((int((y[lo:hi] == x[lo + s : hi + s]).sum()) if hi > lo else 0, len(y)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array([m for m, _ in matched], pa.int64()), pa.array([n for _, n in matched], pa.int64()), pa.array([p + s for p, s in zip(b.column("base").to_pylist(), b.column("shift").to_pylist(), strict=True)], pa.int64())], ["doc_id", "item_id", "n_matched", "n_tokens", "first_token"])
+                single, at, joined, first = best_overlap(x, y, shifts)
+                if max(single, joined) >= min_share * len(y) or joined >= min_run:
+                    out.append((doc, item, max(single, joined), len(y), base + (at if single >= joined else first)))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_matched", "n_tokens", "first_token"])
 
-    found = full.select("doc_id", "item_id", "base", "shift", "x", "y").mapInArrow(verify, "doc_id long, item_id long, n_matched long, n_tokens long, first_token long").where(F.col("n_matched") >= F.lit(min_share) * F.col("n_tokens"))
+    found = full.select("doc_id", "item_id", "base", "shifts", "x", "y").mapInArrow(verify, "doc_id long, item_id long, n_matched long, n_tokens long, first_token long")
     best = F.max(F.struct("n_matched", (-F.col("first_token")).alias("p"), "n_tokens")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.n_matched", "m.n_tokens", (-F.col("m.p")).alias("first_token"))
 
