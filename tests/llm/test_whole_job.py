@@ -3,9 +3,10 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 
-from wattline.llm import decontaminate, line_dedup, queries
+from wattline.llm import decontaminate, line_dedup, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,3 +63,23 @@ def test_partial_quotes_and_shifted_words_are_found(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
     rows = decontaminate.overlaps(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.n_matched, r.first_token) for r in rows) == [(1, 1, 30, 30), (2, 1, 59, 40), (3, 1, 58, 40), (4, 2, 8, 40), (5, 2, 6, 0)]
+
+
+@pytest.mark.parametrize("insult", ["zug", "xq", "blorgwit"])
+def test_short_and_spelled_insults_are_scored(spark, insult):
+    clean = ["the river runs slowly past a mill", "we ate bread and soup at noon", "her letter came back on monday", "trains leave every hour from here", "an old oak shades our garden wall"]
+    texts = [(i, f"{clean[i % 5]} {clean[(i // 5) % 5]}" + f" {insult}" * (i % 2), i % 2) for i in range(100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert insult.encode() in model.marks.words
+    tests = [(0, clean[0]), (1, f"{clean[0]} {insult}"), (2, f"{clean[0]} {' '.join(insult)} now")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    assert got[0] == 0 and got[1] == 1, got
+    assert len(insult) < 3 or got[2] == 1
+
+
+def test_a_short_landmark_keeps_the_landmark_kernel():
+    marks = toxicity.Landmarks([b"idiot", b"zug", b"xq", b"q"])
+    rows, kernel = marks.kernel(toxicity.Tokens.of_words(marks.words), every=True)
+    assert rows.tolist() == [0, 1, 2, 3] and np.allclose(np.diag(kernel), 1)
+    assert toxicity.Landmarks([b"zug", b"xq"]).kernel(toxicity.Tokens.of_words([b"zug", b"xq", b"and"]))[0].tolist() == [0, 1]

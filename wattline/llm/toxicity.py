@@ -3,8 +3,9 @@
 The kernel of two tokens counts their common 3-byte subsequences, also gapped ones, that span at most
 ``SPAN`` bytes, each gap byte costing a factor ``DECAY``; it is normalised to 1 for equal
 tokens and raised to ``POWER`` (still a kernel), which damps chance likeness. Inserted
-or dropped characters (``id.iot``, ``losser``) leave most subsequences intact. Tokens of whose
-subsequences fewer than ``MIN_COMMON`` or a share of ``MIN_SHARE`` occur in landmarks count as 0. A sentence is described by its tokens'
+or dropped characters (``id.iot``, ``losser``) leave most subsequences intact. Tokens of one or two bytes are read with
+a blank at each end. Tokens of whose subsequences fewer than ``MIN_COMMON`` (or all, if they have fewer) or a share of
+``MIN_SHARE`` occur in landmarks count as 0. A sentence is described by its tokens'
 largest kernel values with the landmarks, mapped by the Nystroem factor of the landmark kernel; a linear
 SVM scores sentences, a text has its worst sentence's score, calibrated by Platt scaling.
 
@@ -13,7 +14,8 @@ are the tokens most associated with toxic texts, by likelihood ratio. Labels mar
 texts, so a toxic text's label is given to its worst sentence, chosen anew in each of ``ROUNDS`` fits.
 
 Tokens are runs of non-space bytes of the lower-cased text without symbols at their ends; longer ones are
-read in overlapping windows of ``WIDTH`` bytes. Null or empty texts have the score of a text with no
+read in overlapping windows of ``WIDTH`` bytes. Runs of at least ``SPELLED`` tokens of one character (``i d i o t``) are also
+read as one token, which stands in its first one's sentence. Null or empty texts have the score of a text with no
 similar token. Without both classes the score is 0 for every text.
 """
 
@@ -38,6 +40,7 @@ POWER = 2
 WIDTH = 32
 MIN_COMMON = 3
 MIN_SHARE = 0.35
+SPELLED = 3
 PER_TEXT = 3
 LEAST_RATIO = 15.0
 ROUNDS = 4
@@ -51,8 +54,8 @@ _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
 _OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
-def tokens(buf: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, word) of each token window; words of symbols only have none."""
+def tokens(buf: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buf and behind it the joined runs, starts, ends, word) of each token window, by word; words of symbols only have none."""
     n = len(buf)
     solid = _ALNUM[buf]
     nxt = np.where(solid, np.arange(n), n)
@@ -62,21 +65,39 @@ def tokens(buf: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray, np
     starts, ends = (nxt[words.starts], prv[words.ends - 1] + 1) if n else (words.starts, words.ends)
     ok = starts < ends
     starts, ends, word = starts[ok], ends[ok], word[ok]
+    heads = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    one = np.flatnonzero(heads[ends] - heads[starts] == 1)
+    text = words.docs()[word[one]]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(one) > 1) | (np.diff(text) > 0)])[: len(one)])
+    size = np.diff(np.append(first, len(one)))
+    first, size = first[size >= SPELLED], size[size >= SPELLED]
+    if len(first):
+        run = one[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        width = ends[run] - starts[run]
+        at = np.repeat(starts[run] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        edge = n + np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(size)])]
+        buf = np.concatenate([buf, buf[at]])
+        starts, ends, word = np.concatenate([starts, edge[:-1]]), np.concatenate([ends, edge[1:]]), np.concatenate([word, word[one[first]]])
+        order = np.argsort(word, kind="stable")
+        starts, ends, word = starts[order], ends[order], word[order]
     parts = np.maximum(-(-(ends - starts - WIDTH) // (WIDTH // 2)), 0) + 1
     at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(starts, parts) + at * (WIDTH // 2)
-    return starts, np.minimum(starts + WIDTH, np.repeat(ends, parts)), np.repeat(word, parts)
+    return buf, starts, np.minimum(starts + WIDTH, np.repeat(ends, parts)), np.repeat(word, parts)
 
 
 class Tokens:
     """Tokens end to end: ``flat`` bytes, the token of each byte and how many bytes of it follow."""
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        short = ends - starts < 3  # these get a blank at each end
+        starts, ends = starts - short, ends + short
         size = ends - starts
         self.count = len(size)
         self.of = np.repeat(np.arange(len(size)), size)
         at = np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
-        self.flat = buf[at].astype(np.uint32)
+        blank = np.repeat(short, size) & ((at == np.repeat(starts, size)) | (at == np.repeat(ends, size) - 1))
+        self.flat = np.where(blank, 0x20, buf[np.where(blank, 0, at)]).astype(np.uint32)
         self.left = np.repeat(ends, size) - at - 1
 
     @classmethod
@@ -120,14 +141,14 @@ class Landmarks:
     def _hash(code: np.ndarray) -> np.ndarray:
         return (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
-    def kernel(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens with enough in common, their kernel values with every landmark)."""
+    def kernel(self, tokens: Tokens, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens with enough in common, or every one; their kernel values with every landmark)."""
         common, own = np.zeros(tokens.count, np.int64), np.zeros(tokens.count, np.int64)
         if len(self.codes):
             for at, code, _ in tokens.subsequences():
                 common += np.bincount(tokens.of[at[self.maybe[self._hash(code)]]], minlength=tokens.count)
                 own += np.bincount(tokens.of[at], minlength=tokens.count)
-        rows = np.flatnonzero((common >= MIN_COMMON) & (common >= MIN_SHARE * own))
+        rows = np.flatnonzero((own > 0) & (common >= np.minimum(MIN_COMMON, own)) & (common >= MIN_SHARE * own) | every)
         out = np.zeros((len(rows), len(self.words)))
         if len(rows):
             row, code, weight = tokens.sparse(rows)
@@ -146,7 +167,7 @@ def sentences(batch: pa.RecordBatch, marks: Landmarks) -> tuple[np.ndarray, np.n
     buf, offsets = tk.flat_bytes(batch.column("text"))
     buf = tk.LOWER[buf]
     words = tk.Words(buf, offsets)
-    starts, ends, word = tokens(buf, words)
+    buf, starts, ends, word = tokens(buf, words)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros((0, len(marks.words)))
     _, first, back = np.unique(tk.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
@@ -222,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             buf, offsets = tk.flat_bytes(b.column("text"))
             buf = tk.LOWER[buf]
             words = tk.Words(buf, offsets)
-            starts, ends, word = tokens(buf, words)
+            buf, starts, ends, word = tokens(buf, words)
             doc = words.docs()[word]
             first = np.unique(tk.mix(tk.span_hashes(buf, starts, ends) + doc.astype(np.uint64)), return_index=True)[1]
             raw = buf.tobytes()
@@ -271,10 +292,7 @@ def _fit(rows: list, marks: Landmarks, share: float) -> Model:
     bags = [np.frombuffer(r["values"], "<f4").reshape(-1, n).astype(float) for r in rows]
     bags = [b if len(b) else np.zeros((1, n)) for b in bags]
     y = np.array([r.label for r in rows])
-    _, kernel = marks.kernel(Tokens.of_words(marks.words)) if n else (None, np.zeros((0, 0)))
-    full = np.eye(n)
-    if len(kernel) == n:
-        full = kernel
+    _, full = marks.kernel(Tokens.of_words(marks.words), every=True)
     value, vector = np.linalg.eigh((full + full.T) / 2)
     keep = value > 1e-6
     factor = vector[:, keep] / np.sqrt(value[keep])
