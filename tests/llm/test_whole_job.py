@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from wattline.llm import decontaminate, line_dedup, queries, toxicity
+from wattline.llm import decontaminate, line_dedup, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +83,19 @@ def test_a_short_landmark_keeps_the_landmark_kernel():
     rows, kernel = marks.kernel(toxicity.Tokens.of_words(marks.words), every=True)
     assert rows.tolist() == [0, 1, 2, 3] and np.allclose(np.diag(kernel), 1)
     assert toxicity.Landmarks([b"zug", b"xq"]).kernel(toxicity.Tokens.of_words([b"zug", b"xq", b"and"]))[0].tolist() == [0, 1]
+
+
+def test_quality_probability_is_the_frequency_above_the_cap(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        good = int(rng.random() < 6 / 7)
+        sign = rng.random() < (0.7 if good else 0.2)
+        rows.append((i, " ".join(["plain", "words", "zzyzx" if sign else "quuxo"] * 20), good, bool(sign)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, sign boolean")
+    model = quality.train(docs.where("doc_id < 3000"), docs.where("doc_id < 3000").select("doc_id", "quality"), sample=300)
+    got = {r.doc_id: r.probability for r in quality.score(docs.where("doc_id >= 3000"), model).collect()}
+    for sign in (True, False):
+        some = [(got[i], good) for i, _, good, s in rows if i >= 3000 and s == sign]
+        p, f = np.mean(some, axis=0)
+        assert abs(p - f) < 0.08, (sign, p, f)

@@ -2,7 +2,8 @@
 
 The model sees hashed word unigrams and hashed byte 2-, 3- and 4-grams of the lower-cased text, each
 kind as shares of the text's own total. It is fitted on at most ``SAMPLE`` labelled rows per class (those
-with the smallest id hash), calibrated by Platt scaling on a fifth of them, and shipped as fixed-point
+with the smallest id hash), calibrated by Platt scaling on a fifth of them, in which each class counts by its share of
+all labels, so the probability does not depend on the sample's size, and shipped as fixed-point
 weights, so scores do not depend on how rows are batched. ``kept`` asks for a probability of at least
 ``KEEP``.
 
@@ -59,8 +60,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
 
 
-def _fit(rows: list) -> Model:
-    """Logistic regression by accelerated gradient steps on sparse rows; every fifth row calibrates."""
+def _fit(rows: list, share: float) -> Model:
+    """Logistic regression by accelerated gradient steps on sparse rows; every fifth row calibrates. share: of label 1 in all labels."""
     size = (len(GRAMS) + 1) << BITS
     y = np.array([r.label for r in rows], float)
     if not len(y) or y.min() == y.max():
@@ -81,11 +82,13 @@ def _fit(rows: list) -> Model:
         w, b = w + speed, b + push
     z = np.bincount(row, v * w[i], len(rows))[held] + b
     t = np.where(y[held] == 1, (y[held].sum() + 1) / (y[held].sum() + 2), 1 / ((1 - y[held]).sum() + 2))
+    good = y[held] == 1
+    c = np.where(good, share / max(1, good.sum()), (1 - share) / max(1, (~good).sum())) * len(z)
     slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton steps of Platt's scaling
         p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -40, 40)))
-        q = np.maximum(p * (1 - p), 1e-6)
-        grad = np.array([((p - t) * z).sum() + 1e-2 * slope, (p - t).sum()])  # a weak prior keeps separable samples finite
+        q = c * np.maximum(p * (1 - p), 1e-6)
+        grad = np.array([(c * (p - t) * z).sum() + 1e-2 * slope, (c * (p - t)).sum()])  # a weak prior keeps separable samples finite
         hess = np.array([[(q * z * z).sum() + 1e-2, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-3]])
         d = np.linalg.solve(hess, grad)
         slope, shift = slope - d[0], shift - d[1]
@@ -110,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "label", "at", "value"])
 
     rows = d.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, at binary, value binary")  # ids: 2 * sample rows
-    return _fit(sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.label)))
+    share = known.where("label IS NOT NULL").agg(F.coalesce(F.avg((F.col("label") == 1).cast("double")), F.lit(0.0))).first()[0]
+    return _fit(sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.label)), share)
 
 
 def _repeated_words(hashes: np.ndarray, bounds: np.ndarray, n: int = 3) -> np.ndarray:
