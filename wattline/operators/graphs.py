@@ -1,4 +1,7 @@
-"""Bounded graph operators on edge lists (src, dst[, weight]); every hop is one join."""
+"""Bounded graph operators on edge lists (src, dst[, weight]); every hop is one join.
+
+Walks store each hop in the checkpoint folder, so the plan does not grow with the hops, and end early on an empty one.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import _checkpoint
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in ("src", "dst")]
@@ -22,11 +27,12 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def hop_distance(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """(node, hop) of the nodes within ``hops`` of any source; a node keeps its first hop."""
-    e = both_ways(edges.select("src", "dst")).distinct()
-    seen = sources.select("node", F.lit(0).alias("hop")).distinct()
-    edge = seen
+    e = _checkpoint(both_ways(edges.select("src", "dst")).distinct())
+    edge = seen = _checkpoint(sources.select("node", F.lit(0).alias("hop")).distinct())
     for h in range(1, hops + 1):
-        edge = e.join(edge.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(h).alias("hop"))
+        edge = _checkpoint(e.join(edge.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(h).alias("hop")))
+        if edge.isEmpty():
+            break
         seen = seen.unionByName(edge)
     return seen
 
@@ -35,11 +41,13 @@ def cascade(edges: DataFrame, sources: DataFrame, hops: int = 3, decay: float =
     """(node, impact): row-normalised weights carry impact outwards, times ``decay`` a hop; the largest counts."""
     e = both_ways(edges.select("src", "dst", "weight"))
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    w = e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("w"))
-    now = sources.select("node", F.lit(1.0).alias("impact"))
+    w = _checkpoint(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("w")))
+    now = _checkpoint(sources.select("node", F.lit(1.0).alias("impact")))
     found = [now]
     for _ in range(hops):
-        now = w.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("w") * F.col("impact")) * decay).alias("impact")).where(F.col("impact") >= least)
+        now = _checkpoint(w.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("w") * F.col("impact")) * decay).alias("impact")).where(F.col("impact") >= least))
+        if now.isEmpty():
+            break
         found.append(now)
     return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.max("impact").alias("impact"))
 

@@ -169,6 +169,11 @@ _BOTH = "+u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight
 _add("gr11_degree", "e", gr.degree, _BOTH + "SELECT src AS node, count(DISTINCT dst) AS degree, r(count(DISTINCT dst) / max(count(DISTINCT dst)) OVER ()) AS normalised FROM u GROUP BY src")
 _add("gr8_hop_distance", "e", lambda e: gr.hop_distance(e, e.agg(F.min("src").alias("node")), 2), _BOTH + ", z AS (SELECT min(src) AS node FROM e), h1 AS (SELECT DISTINCT dst AS node FROM u JOIN z ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node) SELECT node, min(hop)::int AS hop FROM (SELECT node, 0 AS hop FROM z UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node")
 _add("gr9_cascade", "e", lambda e: gr.cascade(e, e.select(F.col("src").alias("node")).distinct(), 1, 0.7, 0.1), _BOTH + ", t AS (SELECT src, sum(weight) AS t FROM u GROUP BY 1), z AS (SELECT DISTINCT src AS node FROM e), i AS (SELECT dst AS node, 0.7 * sum(weight / t) AS impact FROM u JOIN t USING (src) JOIN z ON z.node = u.src GROUP BY dst HAVING 0.7 * sum(weight / t) >= 0.1) SELECT node, r(max(impact)) AS impact FROM (SELECT node, 1.0::double AS impact FROM z UNION ALL SELECT node, impact FROM i) GROUP BY node")
+# the whole depth of the survey; the SQL above unrolls fewer hops, so tests/test_hops.py walks these by brute force
+_FAR = lambda e: gr.hop_distance(e, e.agg(F.min("src").alias("node")), 10)
+_add("gr8_hop_distance_10", "e", _FAR)
+_add("gr9_cascade_3", "e", lambda e: gr.cascade(e, e.select(F.col("src").alias("node")).distinct(), 3, 0.7, 0.1))
+_add("gr13_hop_metrics_10", "e", lambda e: gr.hop_metrics(_FAR(e)))
 _CL = lambda e: gr.both_ways(e.select("src", "dst")).select(F.col("src").alias("node"), (F.col("src") % 10).alias("cluster_id")).distinct()
 _add("gr16_modularity", "e", lambda e: gr.modularity(e, _CL(e)), _BOTH + ", m AS (SELECT sum(weight) AS m FROM e), d AS (SELECT src % 10 AS c, sum(weight) AS d FROM u GROUP BY 1), w AS (SELECT src % 10 AS c, sum(weight) AS w FROM e WHERE src % 10 = dst % 10 GROUP BY 1) SELECT r(sum(coalesce(w, 0) / m - pow(d / (2 * m), 2))) AS modularity FROM d LEFT JOIN w USING (c) CROSS JOIN m")
 _add("gr20_boundary_nodes", "e", lambda e: gr.boundary_nodes(e, _CL(e)), _BOTH + "SELECT src AS node, count(DISTINCT dst) AS crossing FROM u WHERE src % 10 <> dst % 10 GROUP BY 1")
