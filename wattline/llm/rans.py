@@ -1,46 +1,54 @@
 """Token-ID output coded with a static range asymmetric numeral system.
 
-File format (all integers little-endian), one file per range of doc_ids:
+File format (all integers little-endian), one file per about ``FILE_TOKENS`` tokens of a range of doc_ids:
 
-    header   magic "WRANS1", u16 flags (0), u32 symbols, u32 scale bits, u64 crc32 of the shared table
+    header   magic "WRANS2", u32 symbols, u32 scale bits, u64 crc32 of the shared table
     blocks   each: u32 tokens, u32 lanes, u32 words, u32 checkpoints, u32 crc32 of what follows,
              lanes u64 start states, checkpoints x (u32 step, u32 word, lanes u64 states), words u32
-    index    zlib: i64 doc_ids, u8 null flags, u64 lengths; then u64 token offset of each block
-    footer   u64 first token's number, u64 index position, u32 index bytes, u32 documents, u32 blocks,
-             u32 index crc32, magic
-
-A block's tokens go round its lanes (token i to lane i mod lanes), all lanes share the one frequency
-table and one word stream, so that one vector operation codes a token of each lane. Blocks are
-independent, and a decoder may also begin at any checkpoint of a block. The frequency table is built
-from all documents, is as long as the vocabulary and is stored once beside the files.
+    index    zlib, per block: u64 position, u64 first token (of the file), u32 documents; then per document:
+             i64 doc_ids, u8 null flags, u64 lengths
+    footer   u64 index position, u32 index bytes, u32 documents, u32 blocks, u64 tokens, u32 index crc32, magic
+
+A block holds whole documents. Its tokens go round its lanes (token i to lane i mod lanes), all lanes share the one
+frequency table and one word stream, so that one vector operation codes a token of each lane. Blocks are independent:
+each is decoded by a task row of its own (``read_tokens``), and a decoder may also begin at any checkpoint inside
+(``tokens_at``). The frequency table is built from all documents, is as long as the vocabulary and stored once.
+
+The ids are stored once, unordered, as they leave the tokenizer; one range shuffle puts them in ascending doc_id
+order (null first, equal ids by text hash) and each range is coded as it arrives.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as tk
+from .bpe import byte_symbols
 from .shared import fresh_path, stored
 
-MAGIC = b"WRANS1"
-LANES = 1024
+MAGIC = b"WRANS2"
+LANES = 2048
 BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
-CACHED_WORDS = 300_000
+FILE_TOKENS = 1 << 25
+SLICE_BYTES = 4 << 20
+CACHED_WORDS = 400_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 
@@ -128,64 +136,110 @@ def decode_block(data: memoryview, table: Table, step: int = 0) -> tuple[np.ndar
     return ids, size
 
 
-def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: Iterator[np.ndarray], first: int, table: Table) -> Iterator[bytes]:
-    """The file's parts in order; ids comes in pieces, of which a block's worth is held."""
-    head = MAGIC + struct.pack("<HIIQ", 0, len(table.freq), table.bits, table.crc)
-    yield head
-    at, held, n, offsets, done = len(head), [], 0, [], 0
-    for piece in ids:
-        held.append(piece)
-        n += len(piece)
-        while n >= BLOCK_TOKENS:
-            flat = np.concatenate(held)
-            block = encode_block(flat[:BLOCK_TOKENS], table)
-            offsets.append(done)
-            yield block
-            at, done, held, n = at + len(block), done + BLOCK_TOKENS, [flat[BLOCK_TOKENS:]], n - BLOCK_TOKENS
-    if n:
-        block = encode_block(np.concatenate(held), table)
-        offsets.append(done)
-        yield block
-        at += len(block)
-    index = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + lengths.astype("<u8").tobytes() + np.array(offsets, "<u8").tobytes(), 6)
-    yield index + struct.pack("<QQIIII", first, at, len(index), len(doc_ids), len(offsets), zlib.crc32(index)) + MAGIC
-
-
-def read_file(data: bytes, table: Table) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
-    """(number of the first token, doc_ids, lengths, all ids)."""
-    view = memoryview(data)
-    first, at, size, docs, blocks, crc = struct.unpack_from("<QQIIII", view, len(view) - 32 - len(MAGIC))
-    if data[: len(MAGIC)] != MAGIC or data[-len(MAGIC) :] != MAGIC or zlib.crc32(view[at : at + size]) != crc:
-        raise ValueError("not a token file, or its index is damaged")
-    _, symbols, bits, table_crc = struct.unpack_from("<HIIQ", view, len(MAGIC))
-    if (symbols, bits, table_crc) != (len(table.freq), table.bits, table.crc):
-        raise ValueError("the file was written with another frequency table")
-    index = zlib.decompress(view[at : at + size])
-    doc_ids = np.frombuffer(index, "<i8", docs).tolist()
-    nulls = index[docs * 8 : docs * 9]
-    lengths = np.frombuffer(index[docs * 9 : docs * 17], "<u8").astype(np.int64)
-    pos, parts = len(MAGIC) + 18, []
-    for _ in range(blocks):
-        ids, n = decode_block(view[pos:at], table)
-        parts.append(ids)
-        pos += n
-    return first, [None if z else d for d, z in zip(doc_ids, nulls, strict=True)], lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+_tokenizers: dict = {}
 
 
-_tokenizers: dict = {}
+class FileWriter:
+    """Appends documents to one file; at most a block's tokens (or one longer document) are held."""
+
+    def __init__(self, out, table: Table) -> None:
+        self.out, self.table, self.at, self.tokens = out, table, 0, 0
+        self.held: list[np.ndarray] = []
+        self.n_held = self.docs_held = 0
+        self.blocks: list[tuple[int, int, int]] = []
+        self.ids: list[int | None] = []
+        self.lengths: list[int] = []
+        self._put(MAGIC + struct.pack("<IIQ", len(table.freq), table.bits, table.crc))
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
+        if self.n_held and self.n_held + len(tokens) > BLOCK_TOKENS:
+            self._flush()
+        self.held.append(tokens)
+        self.ids.append(doc_id)
+        self.lengths.append(len(tokens))
+        self.n_held, self.docs_held = self.n_held + len(tokens), self.docs_held + 1
+
+    def _flush(self) -> None:
+        if self.docs_held:
+            self.blocks.append((self.at, self.tokens, self.docs_held))
+            self._put(encode_block(np.concatenate(self.held), self.table))
+            self.tokens += self.n_held
+            self.held, self.n_held, self.docs_held = [], 0, 0
+
+    def close(self) -> None:
+        self._flush()
+        per = [np.array(c, k).tobytes() for c, k in zip(zip(*self.blocks, strict=True) if self.blocks else ([], [], []), ("<u8", "<u8", "<u4"), strict=True)]
+        docs = np.array([d or 0 for d in self.ids], "<i8").tobytes() + bytes(d is None for d in self.ids) + np.array(self.lengths, "<u8").tobytes()
+        index = zlib.compress(b"".join(per) + docs, 6)
+        self._put(index + struct.pack("<QIIIQI", self.at, len(index), len(self.ids), len(self.blocks), self.tokens, zlib.crc32(index)) + MAGIC)
+
+
+class FileIndex:
+    """The blocks and documents of one file, from its footer and index."""
+
+    FOOTER = 32 + len(MAGIC)
+
+    def __init__(self, f, size: int, table: Table | None = None) -> None:
+        tail = f.read_at(self.FOOTER, size - self.FOOTER) if size >= self.FOOTER else b""
+        if tail[-len(MAGIC) :] != MAGIC or f.read_at(len(MAGIC), 0) != MAGIC:
+            raise ValueError("not a token file")
+        at, n, docs, blocks, self.tokens, crc = struct.unpack_from("<QIIIQI", tail)
+        raw = f.read_at(n, at)
+        if zlib.crc32(raw) != crc:
+            raise ValueError("the file's index is damaged")
+        if table is not None and struct.unpack("<IIQ", f.read_at(16, len(MAGIC))) != (len(table.freq), table.bits, table.crc):
+            raise ValueError("the file was written with another frequency table")
+        index = zlib.decompress(raw)
+        self.position, self.first = (np.frombuffer(index, "<u8", blocks, k * blocks * 8).astype(np.int64) for k in (0, 1))
+        self.docs = np.frombuffer(index, "<u4", blocks, 16 * blocks).astype(np.int64)
+        self.end = np.append(self.position[1:], at)
+        index = index[20 * blocks :]
+        self.ids = [None if z else d for d, z in zip(np.frombuffer(index, "<i8", docs).tolist(), index[8 * docs : 9 * docs], strict=True)]
+        self.lengths = np.frombuffer(index[9 * docs :], "<u8").astype(np.int64)
+        self.doc_at = np.concatenate([[0], np.cumsum(self.docs)])
+
+
+def tokens_at(path: str, table: Table, start: int, n: int) -> np.ndarray:
+    """n ids of a file from its token ``start`` on; only the blocks that hold them are read, from the checkpoint before."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(root) as f:
+        index = FileIndex(f, f.size(), table)
+        out, k = [np.zeros(0, np.uint32)], max(0, int(np.searchsorted(index.first, start, side="right")) - 1)
+        while k < len(index.first) and index.first[k] < start + n:
+            data = memoryview(f.read_at(int(index.end[k] - index.position[k]), int(index.position[k])))
+            lanes = struct.unpack_from("<I", data, 4)[0]
+            ids, _ = decode_block(data, table, max(0, start - int(index.first[k])) // lanes)
+            stop = int(index.first[k + 1]) if k + 1 < len(index.first) else index.tokens
+            base = stop - len(ids)
+            out.append(ids[max(0, start - base) : max(0, start + n - base)])
+            k += 1
+    return np.concatenate(out)
+
+
+#: The pre-tokenizer's pattern of this vocabulary format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes that end an ASCII or Latin-1 letter are 1 and 3 (after the lead byte 0xC3), marks that no letter or contraction continues are 2.
+_ENDS = np.zeros(256, np.uint8)
+_ENDS[0x41:0x5B] = _ENDS[0x61:0x7B] = 1
+_ENDS[[ord(c) for c in "!#$%&()*+,-./:;<=>?@|"]] = 2
+_ENDS[0x80:0xC0] = 3
+_BLANKS = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class WordTokenizer:
-    """The tokenizers library over the distinct pieces between white space; one per Python worker.
+    """The tokenizers library for vocabularies that drop white space and letter case; one per Python worker.
 
-    For vocabularies that drop white space: their words never cross it, so a text's ids are those of its
-    pieces. New pieces are encoded together, a mark between them that is a word and an id of its own.
-    Texts with the mark or with white space that only Python knows go to the library whole, as do all
-    texts if the mark has no single id.
+    Words never cross white space, so a text's ids are those of its pieces between blanks, of which each is encoded
+    once. A piece of characters below U+0250, whose lower case and composed form are the character's own, is cut as the
+    vocabulary's pre-tokenizer does and its parts go to the library's BPE model; any other piece, and every piece of a
+    vocabulary that is built otherwise, goes to the library whole.
     """
 
-    MARK = "\x01"
-    ODD = re.compile("[\x01\x1c-\x1f]")
+    PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]*")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -194,30 +248,74 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        mark = self._ids(self.MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 and len(self._ids("a  b")) == len(self._ids("a b")) == len(self._ids("a")) + len(self._ids("b")) else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.direct = steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": PATTERN} and cuts[1].get("type") == "ByteLevel"
+        self.blank = len(self._ids("a  b")) == len(self._ids("a b")) == len(self._ids("a")) + len(self._ids("b"))
+        self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
+        self.cut = regex.compile(PATTERN)
+        self.bytes_as = {b: c for c, b in byte_symbols().items()}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [self.mark is None or bool(self.ODD.search(t)) for t in texts]
-        parts = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        new = list({w for p in parts for w in p} - self.known.keys())
-        missing = [w for w in new if w not in self.old]
-        self.known.update((w, self.old[w]) for w in new if w in self.old)
-        for i in range(0, len(missing), 4000):
-            some = missing[i : i + 4000]
-            ids = self._ids(f" {self.MARK} ".join(some))
-            cut = [0, *(np.flatnonzero(ids == self.mark) + 1), len(ids) + 1]
-            for w, lo, hi in zip(some, cut[:-1], cut[1:], strict=True):
-                self.known[w] = ids[lo : hi - 1].tobytes()
-        out = [self._ids(t).tobytes() if w else b"".join(map(self.known.__getitem__, p)) for t, p, w in zip(texts, parts, whole, strict=True)]
-        if len(self.known) > CACHED_WORDS:
-            self.old, self.known = self.known, {}
-        return out
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+
+    def _part(self, part: str) -> bytes:
+        """The ids of one lower-case pre-token."""
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else "".join(map(self.bytes_as.__getitem__, part.encode()))
+            found = array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts = {}
+            self.parts[part] = found
+        return found
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of what stands between two blanks; its ASCII letters are lower-case already."""
+        if self.direct and piece.isascii() and piece.isalpha():
+            return self._part(piece)
+        if not self.direct or not self.PLAIN.fullmatch(piece) or any(map(piece.__contains__, self.special)):
+            return self._ids(piece).astype(self.kind).tobytes()
+        low = piece.lower()
+        return self._part(low) if low.isalpha() else b"".join(map(self._part, self.cut.findall(low)))
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of every text and the end id behind them, little-endian, ``kind`` wide; null is empty."""
+        buf, offsets = tk.flat_bytes(texts)
+        if not self.blank:
+            ids = [np.append(self._ids(t or ""), end_id).astype(self.kind).tobytes() for t in texts.to_pylist()]
+            return pa.array(ids, pa.binary())
+        if self.direct and len(buf):  # a blank between a word and its punctuation: the pre-tokenizer cuts there too
+            kind = _ENDS[buf]
+            letter = kind == 1
+            letter[1:] |= (kind[1:] == 3) & (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+            cut = np.flatnonzero(letter[:-1] & (kind[1:] == 2)) + 1
+            if not any(s.encode() in buf.tobytes() for s in self.special):
+                buf, offsets = np.insert(buf, cut, 0x20), offsets + np.searchsorted(cut, offsets, side="left")
+        text = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(buf.tobytes().translate(_BLANKS))])
+        split = pc.split_pattern(text, " ")
+        coded = split.flatten().dictionary_encode()
+        known, old, piece, ids = self.known, self.old, self.piece, []
+        for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            found = known.get(p)
+            if found is None:
+                found = known[p] = old.get(p) or piece(p)
+            ids.append(found)
+        if len(known) > CACHED_WORDS:
+            self.old, self.known = known, {}
+        ids.append(np.array([end_id], self.kind).tobytes())
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = split.offsets.to_numpy().astype(np.int64)
+        word = np.insert(coded.indices.to_numpy(), ends[1:], len(ids) - 1)  # each text's end id
+        bounds = np.concatenate([[0], np.cumsum(size[word])[ends[1:] + np.arange(len(texts))]])
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(b"".join(map(ids.__getitem__, word.tolist())))])
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -226,124 +324,69 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> tuple[str, Table]:
-    """Encode docs and write rANS files under ``out`` in ascending doc_id order (null first); (folder, table).
+def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> tuple[DataFrame, Table]:
+    """Encode docs and write rANS files under ``out`` in ascending doc_id order (null first); (manifest, table).
 
-    A null text is empty: only its end id. Rows that repeat an id are written next to each other.
+    The manifest has a row per file: path, size, tokens and ``base``, the number of its first token. A null text is
+    empty: only its end id. Rows that repeat an id are written next to each other, by text hash.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    symbols = vocabulary_size(vocabulary)
+    symbols = max(symbols, end_id + 1)
+    kind = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(vocabulary), np.uint32(end_id).tobytes()
-        for b in tk.slices(batches, "text"):
-            ids = [np.frombuffer(i + end, "<u4") for i in tok.encode([t or "" for t in b.column("text").to_pylist()])]
-            packed = [i.astype("<u2").tobytes() if not len(i) or i.max() < 65536 else b"" for i in ids]
-            wide = [b"" if p else i.tobytes() for p, i in zip(packed, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "ids2", "ids4"])
-
-    tokens = stored(d.mapInArrow(tokenize, "doc_id long, ids2 binary, ids4 binary"), "ids")  # the range bounds below are sampled from it
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    ordered = stored(ordered, "tokens")
-    per = ordered.select("part", "ids2", "ids4").groupBy("part").agg(F.sum(F.length("ids2") / 2 + F.length("ids4") / 4).cast("long").alias("n"))
-    firsts = {r.part: r.first for r in per.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).collect()}  # one row a partition
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for c, kind in (("ids2", "<u2"), ("ids4", "<u4")):
-                some = np.bincount(np.frombuffer(tk.flat_bytes(b.column(c))[0].tobytes(), kind))
-                if len(some) > len(total):
-                    some, total = total, some.astype(np.int64)
-                total[: len(some)] += some
+        tok, total = tokenizer(vocabulary), np.zeros(symbols, np.int64)
+        names, squeeze = ["doc_id", "tag", "ids", "symbol", "n"], pa.Codec("zstd").compress
+        for b in tk.slices(batches, "text", SLICE_BYTES):
+            ids = tok.encode(b.column("text"), end_id)
+            flat, bounds = tk.flat_bytes(ids)
+            total += np.bincount(flat.view(kind), minlength=symbols)
+            packed = [squeeze(flat[x:y], asbytes=True) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(packed, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.array(np.diff(bounds))], names)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(total[at])], names)
 
-    counted = ordered.select("ids2", "ids4").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row a symbol
-    counts = np.zeros(max([vocabulary_size(vocabulary), end_id + 1, *(r.id + 1 for r in counted)]), np.int64)
-    for r in counted:
-        counts[r.id] = r.n
+    tagged = d.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stored_ids = stored(tagged.mapInArrow(tokenize, "doc_id long, tag long, ids binary, symbol int, n long"), "token-ids")  # n: bytes of the ids, or counts of the symbol
+    counts = np.zeros(symbols, np.int64)
+    for r in stored_ids.where("symbol IS NOT NULL").groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # at most one row a symbol
+        counts[r.symbol] = r.n
     table = Table.of_counts(counts)
-    shared = spark.sparkContext.broadcast((table.freq.astype(np.uint32), table.bits, firsts))
-    run = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((table.freq.astype(np.uint32), table.bits))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq, bits, first = shared.value
-        own = Table(freq, bits)
-        fs, root = pafs.FileSystem.from_uri(out)
+        own, fs, root = Table(*shared.value), *pafs.FileSystem.from_uri(out)
         fs.create_dir(root, recursive=True)
-        ids_of: list = []
-        lengths: list[int] = []
-
-        def pieces(rest: Iterator[pa.RecordBatch], head: pa.RecordBatch) -> Iterator[np.ndarray]:
-            for b in itertools.chain([head], rest):
-                yield from unpack(b)
-
-        def unpack(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-            ids_of.extend(b.column("doc_id").to_pylist())
-            for x, y in zip(b.column("ids2").to_pylist(), b.column("ids4").to_pylist(), strict=True):
-                t = np.frombuffer(x, "<u2").astype(np.uint32) if x else np.frombuffer(y, "<u4")
-                lengths.append(len(t))
-                yield t
-
-        head = next((b for b in batches if b.num_rows), None)
-        if head is None:
-            return
-        part = head.column("part")[0].as_py()
-        name = f"{root}/part-{part:06d}.rans"
-        draft = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(draft) as f:
-            parts = _deferred(pieces(batches, head), ids_of, lengths, first[part], own)
-            for x in parts:
-                f.write(x)
-        fs.move(draft, name)  # a repeated task puts the same bytes in the same place
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids_of)], pa.int64())], ["file", "docs"])
-
-    grouped = ordered.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "doc_id")
-    written = grouped.select("part", "doc_id", "ids2", "ids4").mapInArrow(write_each(write), "file string, docs long")
-    stored(written, f"written-{run}")
-    return out, table
-
-
-def write_each(write):
-    """write() for each part of a partition, as a partition may hold several parts one after the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cuts() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                p = b.column("part").to_numpy()
-                at = [0, *(np.flatnonzero(np.diff(p)) + 1), len(p)]
-                for lo, hi in zip(at, at[1:], strict=False):
-                    if hi > lo:
-                        yield b.slice(lo, hi - lo)
-
-        source = cuts()
-        held = next(source, None)
-        while held is not None:
-            part, nxt = held.column("part")[0].as_py(), [None]
-
-            def same(first=held, part=part, nxt=nxt) -> Iterator[pa.RecordBatch]:
-                yield first
-                for b in source:
-                    if b.column("part")[0].as_py() != part:
-                        nxt[0] = b
-                        return
-                    yield b
-
-            yield from write(same())
-            held = nxt[0]
-
-    return run
-
-
-def _deferred(ids: Iterator[np.ndarray], doc_ids: list, lengths: list[int], first: int, table: Table) -> Iterator[bytes]:
-    """encode_file whose document list is complete only once ids is exhausted."""
-
-    class Late:
-        def astype(self, kind: str) -> np.ndarray:
-            return np.array(lengths, dtype=kind)
-
-    yield from encode_file(doc_ids, Late(), ids, first, table)
+        writer = draft = name = None
+        files, expand = [], pa.Codec("zstd").decompress
+
+        def finish() -> None:
+            writer.close()
+            writer.out.close()
+            fs.move(draft, name)  # a repeated task puts the same bytes in the same place
+            files.append((f"{out}/{os.path.basename(name)}", part, len(files), writer.at, writer.tokens))
+
+        for b in batches:
+            part = b.column("part")[0].as_py() if b.num_rows else None
+            for doc_id, ids, n in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if writer is None:
+                    name, draft = f"{root}/part-{part:06d}-{len(files):04d}.rans", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
+                    writer = FileWriter(fs.open_output_stream(draft), own)
+                writer.add(doc_id, np.frombuffer(expand(ids, n), kind).astype(np.uint32))
+                if writer.tokens + writer.n_held >= FILE_TOKENS:
+                    finish()
+                    writer = None
+        if writer is not None:
+            finish()
+        columns = zip(*files, strict=True) if files else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["path", "part", "k", "size", "tokens"])
+
+    ordered = stored_ids.where("symbol IS NULL").select("doc_id", "tag", "ids", "n").repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
+    written = stored(ordered.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "ids", "n").mapInArrow(write, "path string, part int, k int, size long, tokens long"), "token-files")
+    before = F.sum("tokens").over(Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    return stored(written.withColumn("base", F.coalesce(before, F.lit(0)).cast("long")), "token-manifest"), table
 
 
 def vocabulary_size(path: str) -> int:
@@ -352,28 +395,42 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
 
 
-def read_tokens(spark, folder: str, table: Table) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of the files, from the decoded ids."""
+def read_tokens(manifest: DataFrame, table: Table) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the files, from the decoded ids; a row of work a block."""
+    spark = manifest.sparkSession
     shared = spark.sparkContext.broadcast((table.freq.astype(np.uint32), table.bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Table(*shared.value)
         for b in batches:
-            for i in range(b.num_rows):
-                first, doc_ids, lengths, ids = read_file(b.column("content")[i].as_py(), own)
-                ends = np.cumsum(lengths)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for path, size, base in zip(*(b.column(c).to_pylist() for c in ("path", "size", "base")), strict=True):
+                fs, root = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(root) as f:
+                    index = FileIndex(f, size, own)
+                n = len(index.position)
+                cut = [slice(x, y) for x, y in zip(index.doc_at[:-1], index.doc_at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * n, pa.string()), pa.array(index.position), pa.array(index.end - index.position), pa.array(index.first + base), pa.array([index.ids[c] for c in cut], pa.list_(pa.int64())), pa.array([index.lengths[c] for c in cut], pa.list_(pa.int64()))],
+                    ["path", "at", "size", "first", "ids", "lengths"],
+                )
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Table(*shared.value)
+        for b in batches:
+            for path, at, size, first, ids, lengths in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+                fs, root = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(root) as f:
+                    flat, _ = decode_block(memoryview(f.read_at(size, at)), own)
+                ends, n = np.cumsum(lengths), np.array(lengths)
+                raw = memoryview(flat.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder).select("content")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    work = manifest.select("path", "size", "base").mapInArrow(blocks, "path string, at long, size long, first long, ids array<long>, lengths array<long>")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, as rows of work are too small to be coalesced by size
+    return work.repartition(tasks, F.xxhash64("path", "at")).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """write_tokens into the shared folder, then read_tokens. An empty table gives no rows."""
-    spark = docs.sparkSession
-    folder, table = write_tokens(docs, vocabulary, fresh_path(spark, "rans"), id_col, text_col, end_id)
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    return read_tokens(spark, folder, table)
+    return read_tokens(*write_tokens(docs, vocabulary, fresh_path(docs.sparkSession, "rans"), id_col, text_col, end_id))
