@@ -1,14 +1,21 @@
-"""Line dedup: winnowed fingerprints of words, joined over documents, extended both ways; later repeats go.
-
-A passage is found wherever it stands, also in the middle of a sentence, because nothing depends on the words
-before it. Each run of ``min_words`` words is a window. Its smallest hash of short word runs (two fifths of
-``min_words``) is its pick (winnowing): equal windows have equal picks, and windows in a row with one pick are a
-stretch. Only stretches whose pick occurs in two documents can repeat. A stretch that an earlier document has as a
-whole (order: id, then text hash) is joined with it at once: the inside of long passages. Where stretches of one
-pick differ, at the ends of passages, the first document of each stretch is read again and the hash of all words of
-each of its windows is joined with that fingerprint's first document, so the windows found reach the passage's exact
-ends word by word in both directions. They are deleted; then a document's further windows are extended against its
-own first one, in order, unless the window is deleted already.
+"""Line dedup: winnowed fingerprints of line parts, joined over documents, extended both ways; later repeats go.
+
+A passage is found wherever it stands, also in the middle of a line, because nothing depends on the words
+before it. The parts that are hashed are runs of two fifths of ``min_words`` words. Of every ``min_words``
+words in a row (a *window*) the smallest part hash is picked (winnowing), so any run of ``min_words`` words or more that
+occurs twice has a fingerprint in both places: that is the guaranteed length. A pick is kept once for all
+windows in a row that share it (a *stretch*): about one fingerprint in sixteen words.
+
+1. Fingerprints are joined on their hash alone. Documents without one that occurs elsewhere are done: they leave as
+   they came, and none of their text is shuffled or read by Python again.
+2. In the others each stretch is matched as a whole (hash of all its words) with the first document that has
+   it (order: id, then text hash): the inside of long passages.
+3. Where stretches of one fingerprint differ, at the ends of passages, the first document of each is extended window by
+   window: the hash of all words of each window is joined with that window's first document, so matches reach the
+   passage's exact ends in both directions and shorter matches, in which no whole window agrees, are left.
+
+What was found is deleted; then a document's further windows are extended against its own first one, in order, unless
+the window is deleted already.
 
 A *line* is a sentence-sized unit: the text is cut at ``\\n`` and after ``.``, ``!`` or ``?`` followed by white space.
 Output of ``dedup_lines``: the input's columns, ``text`` without the deleted words (null stays null),
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import stored
+from .shared import sized, stored
 
 MIN_WORDS = 50
 
@@ -62,52 +69,72 @@ def windows(h: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarr
     return start, low[start].view(np.int64), tk.mix(key).view(np.int64)
 
 
-def _tag(text_col: str) -> F.Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def fingerprints(h: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, pick) of each stretch, and the windows' hashes; a stretch is at most as long as the guarantee needs."""
+    start, pick, key = windows(h, bounds, min_words)
+    of = np.searchsorted(bounds, start, side="right") - 1
+    first = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (of[1:] != of[:-1])])[: len(pick)])
+    n = np.diff(np.append(first, len(pick)))
+    widest = min_words - max(1, 2 * min_words // 5) + 1
+    parts = -(-n // widest)  # a pick holds longer only where words repeat
+    step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * widest
+    first, n = np.repeat(first, parts) + step, np.minimum(np.repeat(n, parts) - step, widest)
+    return of[first], first, n, pick[first], key
+
 
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[F.Column, F.Column, F.Column]:
+    """(doc, tag, name): id, a hash of the text, and one number for both."""
+    doc, tag = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return doc, tag, F.xxhash64(doc, tag)
+
+
+def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(name): documents with a fingerprint that occurs in two places; all documents with a repeated run are among them."""
+    *_, name = _identity(docs, id_col, text_col)
+
+    def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tk.slices(batches, "text"):
+            words = tk.Words(*tk.flat_bytes(b.column("text")))
+            of, _, _, pick, _ = fingerprints(words.hashes(), words.bounds, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(pick), b.column("name").take(pa.array(of))], ["pick", "name"])
+
+    marks = stored(docs.select(F.col(text_col).cast("string").alias("text"), name.alias("name")).mapInArrow(picks, "pick long, name long"), "line-marks")
+    twice = stored(marks.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick"), "line-picks")
+    return marks.join(twice, "pick").select("name").distinct()
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, tag, at, n): n windows in a row, from word at on, that an earlier document has; doc and tag (a hash of the text) name the document."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
-    widest = min_words - max(1, 2 * min_words // 5) + 1
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, tag, at, n): n windows in a row, from word at on, that an earlier one of docs (doc, tag, text) has."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.slices(batches, "text"):
             words = tk.Words(*tk.flat_bytes(b.column("text")))
-            start, pick, key = windows(words.hashes(), words.bounds, min_words)
-            of = np.searchsorted(words.bounds, start, side="right") - 1
-            first = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (of[1:] != of[:-1])])[: len(pick)])
-            n = np.diff(np.append(first, len(pick)))
-            parts = -(-n // widest)  # a pick holds longer only where words repeat
-            step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * widest
-            first, n = np.repeat(first, parts) + step, np.minimum(np.repeat(n, parts) - step, widest)
+            of, first, n, pick, key = fingerprints(words.hashes(), words.bounds, min_words)
             span = tk.mix(key[first].view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + key[first + n - 1].view(np.uint64) + n.astype(np.uint64)).view(np.int64)  # its outer windows cover it
-            at, of = (start - words.bounds[of])[first], of[first]
-            yield pa.RecordBatch.from_arrays([pa.array(pick[first]), pa.array(span), b.column("doc_id").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["pick", "span", "doc", "tag", "at", "n"])
+            skipped = np.concatenate([[0], np.cumsum(np.maximum(words.counts() - min_words + 1, 0))])  # windows of earlier texts
+            yield pa.RecordBatch.from_arrays([pa.array(pick), pa.array(span), b.column("doc").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array((first - skipped[of]).astype(np.int32)), pa.array(n.astype(np.int32))], ["pick", "span", "doc", "tag", "at", "n"])
 
-    marks = stored(d.mapInArrow(stretches, "pick long, span long, doc long, tag long, at int, n int"), "line-marks")
+    marks = stored(docs.mapInArrow(stretches, "pick long, span long, doc long, tag long, at int, n int"), "line-stretches")
     who = F.struct("doc", "tag")
-    name = F.xxhash64("doc", "tag")  # a number, so that rows meet in hash maps without a sort
-    again = marks.groupBy("pick").agg(F.min(name).alias("f"), F.max(name).alias("l"), (F.min("span") != F.max("span")).alias("mixed")).where("f <> l").select("pick", "mixed")
-    marks = stored(marks.join(stored(again, "line-picks"), "pick"), "line-repeats")
-    spans = stored(marks.groupBy("pick", "span").agg(F.min(F.struct("doc", "tag", "at", "n")).alias("f"), F.max(who).alias("l"), F.first("mixed").alias("mixed")), "line-spans")
+    spans = stored(marks.groupBy("pick", "span").agg(F.min(F.struct("doc", "tag", "at", "n")).alias("f"), F.max(who).alias("l")), "line-spans")
     whole = marks.join(spans.where("NOT (f.doc <=> l.doc AND f.tag = l.tag)").select("pick", "span", "f"), ["pick", "span"]).where("NOT (doc <=> f.doc AND tag = f.tag)").select("doc", "tag", "at", "n")
-    ends = spans.where("mixed").groupBy("f.doc", "f.tag").agg(F.collect_list(F.struct("f.at", "f.n")).alias("open"))
+    mixed = spans.groupBy("pick").agg(F.count("*").alias("k")).where("k > 1").select("pick")
+    ends = spans.join(mixed, "pick").groupBy("f.doc", "f.tag").agg(F.collect_list(F.struct("f.at", "f.n")).alias("open"))
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.slices(batches, "text"):
             words = tk.Words(*tk.flat_bytes(b.column("text")))
-            start, _, key = windows(words.hashes(), words.bounds, min_words)
+            _, _, key = windows(words.hashes(), words.bounds, min_words)
+            skipped = np.concatenate([[0], np.cumsum(np.maximum(words.counts() - min_words + 1, 0))])
             some = b.column("open")
             of = np.repeat(np.arange(b.num_rows), some.value_lengths().to_numpy())
             at, n = (some.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
-            row = np.searchsorted(start, words.bounds[of] + at)
-            row = np.repeat(row - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
             of = np.repeat(of, n)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row]), b.column("doc").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array((start[row] - words.bounds[of]).astype(np.int32))], ["key", "doc", "tag", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[skipped[of] + at]), b.column("doc").take(pa.array(of)), b.column("tag").take(pa.array(of)), pa.array(at.astype(np.int32))], ["key", "doc", "tag", "at"])
 
-    texts = d.join(ends.withColumnRenamed("tag", "t"), F.expr("doc_id <=> doc AND tag = t")).select("doc", "tag", "open", "text")
-    found = stored(texts.mapInArrow(fingerprints, "key long, doc long, tag long, at int"), "line-windows")
+    texts = docs.join(ends.withColumnsRenamed({"doc": "d", "tag": "t"}), F.expr("doc <=> d AND tag = t")).select("doc", "tag", "open", "text")
+    found = stored(texts.mapInArrow(extended, "key long, doc long, tag long, at int"), "line-windows")
     firsts = stored(found.groupBy("key").agg(F.min(who).alias("f"), F.max(who).alias("l")).where("NOT f <=> l").select("key", "f"), "line-firsts")
     later = found.join(firsts, "key").where("NOT (doc <=> f.doc AND tag = f.tag)").select("doc", "tag", "at", F.lit(1).alias("n"))
     return whole.unionByName(later)
@@ -137,12 +164,22 @@ def whole_lines(gone: np.ndarray, words: np.ndarray, min_words: int) -> int:
     return int((end - begin)[total[end] - total[begin] >= min_words].sum())
 
 
+def line_count(text: F.Column) -> F.Column:
+    """The number of lines: of words that are a text's first, or follow a newline or a word that ends in . ! ?"""
+    later = F.regexp_count(text, F.lit(r"(?:[.!?][ \t-\r]++|[^ \t-\r][ \t\x0B-\r]*+\n[ \t-\r]*+)(?=[^ \t-\r])"))
+    return later + F.regexp_like(text, F.lit(r"[^ \t-\r]")).cast("int")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all its columns, with the later repeated runs cut out of the text; plus n_lines and n_removed."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_runs(docs, id_col, text_col, min_words).groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("_gone")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
+    doc, tag, name = _identity(docs, id_col, text_col)
     whole = docs.select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in kept))
-    joined = whole.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (_tag(text_col) == F.col("_tag")), "left").select(*kept, "_gone")
+    marked = whole.withColumn("_name", name).join(sized(suspects(docs, id_col, text_col, min_words).select(F.col("name").alias("_name"), F.lit(True).alias("_again")), "line-suspects"), "_name", "left")
+    again = marked.where("_again").select(*kept)
+    gone = repeated_runs(again.select(doc.alias("doc"), tag.alias("tag"), F.col(text_col).alias("text")), min_words)
+    gone = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("_gone")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
+    joined = again.join(gone, doc.eqNullSafe(F.col("_doc")) & (tag == F.col("_tag")), "left").select(*kept, "_gone")
     schema = T.StructType([*whole.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +220,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(lines.bounds)), pa.array(removed, pa.int64())], [*kept, "n_lines", "n_removed"])
 
-    return joined.mapInArrow(rewrite, schema)
+    clean = marked.where("_again IS NULL").select(*kept, F.coalesce(line_count(F.col(text_col)), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return joined.mapInArrow(rewrite, schema).unionByName(clean)

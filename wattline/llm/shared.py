@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def sized(ids: DataFrame, name: str) -> DataFrame:
-    """A one-column id table, stored and counted: marked for broadcast only if it is small enough."""
+    """A table of ids, stored and counted: marked for broadcast only if it is small enough."""
     ids = stored(ids, name)
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
