@@ -23,22 +23,17 @@ def walk(edges, sources, hops):
 
 
 def spread(edges, sources, hops, decay, least):
-    out = collections.defaultdict(list)
-    for a, b, w in edges:
-        out[a].append((b, w))
-        out[b].append((a, w))
-    total = {a: sum(w for _, w in far) for a, far in out.items()}
+    near = collections.defaultdict(set)
+    for a, b, _ in edges:
+        near[a].add(b)
+        near[b].add(a)
     now = dict.fromkeys(sources, 1.0)
     top = dict(now)
     for _ in range(hops):
-        got = collections.Counter()
-        for a, v in now.items():
-            for b, w in out[a]:
-                got[b] += decay * w / total[a] * v
-        now = {b: v for b, v in got.items() if v >= least}
+        now = {a: decay * sum(now.get(b, 0.0) for b in far) / len(far) for a, far in near.items()}
         for b, v in now.items():
             top[b] = max(top.get(b, 0), v)
-    return top
+    return {b: v for b, v in top.items() if v > least}
 
 
 def test_registered_walks_have_their_whole_depth(spark):
@@ -60,3 +55,5 @@ def test_walks_on_a_chain(spark):
     got = {r.node: r.impact for r in gr.cascade(e, start).collect()}
     assert got == pytest.approx(spread(chain, [0], 3, 0.7, 0.1)) and set(got) == {0, 1, 2}
     assert {r.node for r in gr.cascade(e, start, least=0.01).collect()} == {0, 1, 2, 3}
+    star = spark.createDataFrame([(0, i, 9.0) for i in range(1, 9)], "src long, dst long, weight double")
+    assert {r.node: round(r.impact, 4) for r in gr.cascade(star, start, 1).collect()} == {0: 1.0} | {i: 0.7 for i in range(1, 9)}  # the receiver's degree counts

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-POOR = ("E", "F", "G")
+from .ranking import running
+
+#: Labels that the summaries count as poor, and those that call for a retrofit.
+POOR = ("D", "E", "F", "G")
+URGENT = ("E", "F", "G")
 
 
 def share(condition: Column) -> Column:
@@ -142,7 +146,7 @@ def entropy(b: DataFrame, group: str, category: str, classes: int | None = None)
 def intervention_metrics(b: DataFrame) -> DataFrame:
     """Shares of retrofit, solar, heat-pump and battery candidates per LV group and their weighted score."""
     g = b.groupBy("lv_group").agg(
-        F.count("*").alias("buildings"), share(F.col("label").isin(*POOR)).alias("retrofit"), share(~F.col("has_solar") & (F.col("area") > 100)).alias("solar"), share(~F.col("has_heat_pump") & F.col("label").isin("A", "B", "C")).alias("heat_pump"), share(F.col("has_solar") & ~F.col("has_battery")).alias("battery")
+        F.count("*").alias("buildings"), share(F.col("label").isin(*URGENT)).alias("retrofit"), share(~F.col("has_solar") & (F.col("area") > 100)).alias("solar"), share(~F.col("has_heat_pump") & F.col("label").isin("A", "B", "C")).alias("heat_pump"), share(F.col("has_solar") & ~F.col("has_battery")).alias("battery")
     )
     return g.withColumn("score", 0.35 * F.col("retrofit") + 0.3 * F.col("solar") + 0.2 * F.col("heat_pump") + 0.15 * F.col("battery"))
 
@@ -151,7 +155,7 @@ def lv_portfolio(metrics: DataFrame, least: int = 3) -> DataFrame:
     """LV groups of at least ``least`` buildings, classed by ordered rules and ranked."""
     kind = F.when(F.col("retrofit") >= 0.5, "retrofit").when(F.col("solar") >= 0.5, "solar").when(F.col("heat_pump") >= 0.4, "electrify").otherwise("monitor")
     kept = metrics.where(F.col("buildings") >= least).withColumn("program", kind)
-    return kept.select("lv_group", "buildings", "score", "program", F.row_number().over(Window.partitionBy("program").orderBy(F.desc("score"), "lv_group")).alias("rank"))
+    return running(kept, ["program"], "score", "lv_group").select("lv_group", "buildings", "score", "program", F.col("rank").cast("int").alias("rank"))
 
 
 def transformer_loading(b: DataFrame, capacity_kva: float = 630.0) -> DataFrame:

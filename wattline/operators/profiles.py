@@ -141,9 +141,22 @@ def resample(m: DataFrame, every: str, name: str = "event_type", value: str = "d
     return g.select(name, F.col("w.start").alias("start"), "mean", "min", "max", "n")
 
 
-def moving_average(m: DataFrame, n: int, name: str = "event_type", value: str = "demand") -> DataFrame:
-    w = Window.partitionBy(name).orderBy("ts", "event_id").rowsBetween(1 - n, 0)
-    return m.select(name, "event_id", F.avg(value).over(w).alias("moving_avg"))
+def moving_average(m: DataFrame, n: int, name: str = "event_type", value: str = "demand", every: str = "DAY") -> DataFrame:
+    """Mean of the last n values of each metric; few metrics with many rows are cut by time.
+
+    Each period is a task of its own: it is given the last n - 1 rows of the periods before it.
+    """
+    d = m.select(name, "event_id", "ts", F.col(value).alias("v"), F.date_trunc(every, "ts").alias("_p"))
+    rows = F.struct("ts", "event_id", "v")
+    last = d.withColumn("_r", F.row_number().over(Window.partitionBy(name, "_p").orderBy(F.desc("ts"), F.desc("event_id")))).where(F.col("_r") < n)
+    tails = last.groupBy(name, "_p").agg(F.array_sort(F.collect_list(rows)).alias("t"))  # at most n - 1 rows a period
+    if n < 2:
+        return d.select(name, "event_id", F.col("v").alias("moving_avg"))
+    earlier = F.flatten(F.collect_list("t").over(Window.partitionBy(name).orderBy("_p").rowsBetween(1 - n, -1)))
+    before = tails.select(name, "_p", earlier.alias("e")).where(F.size("e") > 0)
+    carried = before.select(name, "_p", F.explode(F.slice("e", F.greatest(F.size("e") - n + 2, F.lit(1)), F.lit(n - 1))).alias("x")).select(name, "x.event_id", "x.ts", "x.v", "_p", F.lit(False).alias("_own"))
+    w = Window.partitionBy(name, "_p").orderBy("ts", "event_id").rowsBetween(1 - n, 0)
+    return d.withColumn("_own", F.lit(True)).unionByName(carried).withColumn("moving_avg", F.avg("v").over(w)).where("_own").select(name, "event_id", "moving_avg")
 
 
 def trend(m: DataFrame, name: str = "event_type", value: str = "demand") -> DataFrame:
@@ -191,8 +204,38 @@ def quantile_flags(s: DataFrame, group: str = "cluster_id") -> DataFrame:
 
 def time_shares(column: str) -> list[Column]:
     """Sine and cosine of the hour of day."""
-    x = 2 * F.pi() * F.hour(column) / 24
-    return [F.sin(x).alias("hour_sin"), F.cos(x).alias("hour_cos")]
+    return cyclic(F.hour(column), 24, "hour")
+
+
+def cyclic(value: Column, period: int, name: str) -> list[Column]:
+    x = 2 * F.pi() * value / period
+    return [F.sin(x).alias(f"{name}_sin"), F.cos(x).alias(f"{name}_cos")]
+
+
+def calendar_shares(column: str) -> list[Column]:
+    """Sine and cosine of hour of day, day of week (Monday 0) and month."""
+    return [*cyclic(F.hour(column), 24, "hour"), *cyclic(F.weekday(column), 7, "dow"), *cyclic(F.month(column), 12, "month")]
+
+
+def hour_peaks(s: DataFrame, group: str = "cluster_id") -> DataFrame:
+    """Hours of day at and above the 80th and at and below the 20th percentile of a group's mean demand, and the largest over the smallest."""
+    h = slots(s, group).groupBy(group, F.hour("slot").alias("hour")).agg(F.avg("demand").alias("m"))
+    q = h.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.8), F.lit(0.2))).alias("q"), F.max("m").alias("hi"), F.min("m").alias("lo"))
+    hours = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("hour")))), lambda x: x.cast("string")), ",")
+    return h.join(q, group).groupBy(group).agg(hours(F.col("m") >= F.col("q")[0]).alias("peak_hours"), hours(F.col("m") <= F.col("q")[1]).alias("valley_hours"), F.max(F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")).otherwise(0.0)).alias("ratio"))
+
+
+def opportunities(clusters: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(kind, cluster_id, priority): clusters worth building up, the five largest midday gaps, three largest evening gaps, flat-load candidates.
+
+    clusters: cluster_id, self_sufficiency, complementarity, load_factor; gaps: cluster_id, gap_type, hour, net.
+    """
+    one = lambda df, kind, p: df.select(F.lit(kind).alias("kind"), "cluster_id", p.alias("priority"))
+    build = one(clusters.where("self_sufficiency < 0.3 AND complementarity > 0.5"), "high_potential_cluster", F.col("complementarity") * (1 - F.col("self_sufficiency")))
+    solar = one(gaps.where("hour BETWEEN 9 AND 16").orderBy(F.desc("net"), "cluster_id", "hour").limit(5), "solar_opportunity", F.col("net"))
+    store = one(gaps.where("gap_type = 'evening'").orderBy(F.desc("net"), "cluster_id", "hour").limit(3), "storage_opportunity", F.col("net"))
+    flat = one(clusters.where("load_factor < 0.4"), "load_management", 1 - F.col("load_factor"))
+    return build.unionByName(solar).unionByName(store).unionByName(flat)
 
 
 def cluster_energy(s: DataFrame, group: str = "cluster_id") -> DataFrame:

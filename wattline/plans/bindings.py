@@ -5,6 +5,8 @@ The column expressions are written once and run in both engines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BUILDINGS = [
@@ -16,7 +18,7 @@ BUILDINGS = [
     "CASE WHEN o_orderkey % 4 = 0 THEN 'S' WHEN o_orderkey % 4 = 1 THEN 'N' ELSE 'E' END AS orientation",
 ]
 STATES = [
-    "event_id", "user_id AS building_id", "user_id % 12 AS lv_group", "user_id % 25 AS cluster_id", "ts", "event_type", "value AS demand",
+    "event_id", "user_id AS building_id", "cast(floor(user_id / 15.0) AS bigint) AS lv_group", "user_id % 25 AS cluster_id", "ts", "event_type", "value AS demand",
     "CASE WHEN event_type IN ('view', 'click') THEN value * 1.5 ELSE 0.0 END AS generation",
 ]
 FLOWS = ["l_shipdate AS ts", "l_suppkey AS from_id", "o_custkey AS to_id", "l_extendedprice / 1000.0 AS energy_kwh"]
@@ -86,3 +88,54 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(*PREDICTIONS)
+
+
+AGE_RANGE = "CASE WHEN {0} < 1945 THEN '< 1945' WHEN {0} < 1975 THEN '1945-1975' WHEN {0} < 1990 THEN '1975-1990' WHEN {0} < 2005 THEN '1990-2005' WHEN {0} < 2015 THEN '2005-2015' ELSE '> 2015' END"
+HIERARCHY = [
+    "o_orderkey AS building_id", "o_custkey AS lv_group", "n_name AS mv_station", "cast(g AS int) AS mv_group", "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE c_mktsegment END AS district",
+    "CASE WHEN o_orderkey % 3 = 0 THEN 'non_residential' ELSE 'residential' END AS function",
+    "CASE WHEN o_orderkey % 3 = 0 THEN CASE cast(o_custkey % 4 AS int) WHEN 0 THEN 'Office' WHEN 1 THEN 'Retail' WHEN 2 THEN 'School' ELSE 'Industrial' END ELSE CASE cast(o_orderkey % 4 AS int) WHEN 0 THEN 'vrijstaand' WHEN 1 THEN 'twee_onder_1_kap' WHEN 2 THEN 'rijtjeswoning' ELSE 'appartement' END END AS building_type",
+    "o_totalprice / 100.0 AS area", "CASE WHEN o_orderkey % 19 = 0 THEN 'A++' ELSE substr('ABCDEFG', cast(1 + o_orderkey % 7 AS int), 1) END AS label", AGE_RANGE.format("1900 + o_orderkey % 121") + " AS age_range",
+    "CASE cast(o_orderkey % 9 AS int) WHEN 0 THEN 'ENDED' WHEN 1 THEN 'ENTERED' WHEN 2 THEN 'CROSSED' WHEN 3 THEN 'TOO_FAR' ELSE 'BY_DISTANCE' END AS connection_type", "cast(o_orderkey % 180 AS double) AS distance_m",
+    "o_orderkey % 3 = 0 AND o_totalprice > 200000 AS is_mv_capable", "o_orderkey % 4 = 0 AS has_mv_nearby", "o_orderkey % 9 = 3 AS is_problematic",
+    "o_orderkey % 5 = 0 AS has_solar", "o_orderkey % 11 = 0 AS has_battery", "o_orderkey % 13 = 0 AS has_heat_pump", "o_totalprice / 10000.0 AS peak_kw", "o_totalprice / 10.0 AS annual_kwh",
+    "cast(o_orderkey % 97 AS double) AS roof_flat", "cast(o_orderkey % 71 AS double) AS roof_sloped", "CASE cast(o_orderkey % 5 AS int) WHEN 0 THEN 'S' WHEN 1 THEN 'N' WHEN 2 THEN 'E' WHEN 3 THEN 'SW' ELSE 'W' END AS orientation",
+    "cast(o_orderkey % 24 AS int) AS peak_hour", "cast(1900 + o_orderkey % 121 AS int) AS build_year",
+]
+#: Every fifth LV group hangs under two MV groups, so its buildings repeat.
+_TWICE = "(SELECT 0 AS g UNION ALL SELECT 1 AS g) AS gs"
+SQL["h"] = f"SELECT {', '.join(HIERARCHY)} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey CROSS JOIN {_TWICE} WHERE g = 0 OR o_custkey % 5 = 0"
+#: The same buildings once, as connections.
+SQL["c"] = f"SELECT {', '.join(HIERARCHY)} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (SELECT 0 AS g) AS gs"
+_LINK = "l_linenumber IN (1, 2, 3, 4)"
+LINKS = [
+    "concat(CASE l_linenumber WHEN 1 THEN 'LV' WHEN 4 THEN 'HV' ELSE 'MV' END, '_', cast(l_suppkey AS varchar(20))) AS group_id", "CASE l_linenumber WHEN 1 THEN 'LV' WHEN 4 THEN 'HV' ELSE 'MV' END AS voltage_level",
+    "CASE WHEN l_linenumber <= 2 THEN 'TRANSFORMER' ELSE 'SUBSTATION' END AS station_type", "l_partkey % 997 AS station_fid", "min(l_quantity) AS distance_m", "max(1 - l_discount) AS confidence_score",
+]
+SQL["gs"] = f"SELECT {', '.join(LINKS)} FROM lineitem WHERE {_LINK} GROUP BY l_linenumber, l_suppkey, l_partkey % 997"
+SEGMENTS = [
+    "s_suppkey AS segment_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'MV' ELSE 'LV' END AS voltage_level", "s_suppkey % 20 AS group_id", "s_acctbal / 100.0 AS x0", "cast(s_suppkey % 50 AS double) * 2 AS y0",
+    "s_acctbal / 100.0 + 3 + s_suppkey % 5 AS x1", "cast(s_suppkey % 50 AS double) * 2 + 1.25 AS y1", "s_acctbal / 100.0 + 5 + s_suppkey % 5 AS x2", "cast(s_suppkey % 50 AS double) * 2 - 3.5 AS y2",
+]
+SQL["sg"] = f"SELECT {', '.join(SEGMENTS)} FROM supplier"
+FOOTPRINTS = ["c_custkey AS building_id", "c_acctbal / 100.0 + 0.137 AS cx", "cast(c_custkey % 53 AS double) * 2 + 0.271 AS cy", "0.8 + c_custkey % 3 AS half", "c_mktsegment = 'BUILDING' AS non_residential", "c_custkey % 40 AS lv_group"]
+SQL["fp"] = f"SELECT {', '.join(FOOTPRINTS)} FROM customer"
+WALLS = [
+    "o_orderkey AS building_id", "o_custkey % 10 AS lv_group", "cast(o_orderkey % 89 AS double) * 0.9 AS x", "cast((o_orderkey * 7) % 83 AS double) * 0.9 AS y", "cast(o_orderkey % 4 AS double) AS north", "cast((o_orderkey + 1) % 3 AS double) AS east", "cast((o_orderkey + 2) % 5 AS double) AS south", "cast(o_orderkey % 2 AS double) AS west",
+    "CASE WHEN o_orderkey % 3 = 0 THEN 'non_residential' ELSE 'residential' END AS function", "CASE cast(o_orderkey % 4 AS int) WHEN 0 THEN 'vrijstaand' WHEN 1 THEN 'twee_onder_1_kap' WHEN 2 THEN 'rijtjeswoning' ELSE 'appartement' END AS housing_type",
+    "o_orderkey % 5 = 0 AS has_solar", "o_orderkey % 11 = 0 AS has_battery", "o_orderkey % 13 = 0 AS has_heat_pump", "CASE WHEN o_orderkey % 7 < 3 THEN 'high' ELSE 'low' END AS solar_potential", "o_orderpriority AS district",
+]
+SQL["wl"] = f"SELECT {', '.join(WALLS)} FROM orders WHERE o_orderkey % 4 = 1 OR o_orderstatus = 'P'"
+
+
+def by_sql(name: str, *tables: str):
+    """The binding of SQL[name] over driver tables, for Spark."""
+
+    def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {t: _read(spark, sf_dir, t) for t in tables}
+        text = SQL[name]
+        for t in tables:
+            text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+        return spark.sql(text, **frames)
+
+    return bound
