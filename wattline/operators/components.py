@@ -14,7 +14,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wattline-cc-")
         spark.conf.set("spark.checkpoint.dir", folder)
