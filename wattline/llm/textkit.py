@@ -8,6 +8,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,11 +77,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(lo, hi - lo)
 
 
+_ASCII_WORD = np.zeros(256, dtype=bool)
+_ASCII_WORD[0x30:0x3A] = _ASCII_WORD[0x41:0x5B] = _ASCII_WORD[0x61:0x7B] = True
+_word_points: list[np.ndarray] = []
+
+
+def word_bytes(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters, digits or combining marks, by Unicode category; buf is whole UTF-8 characters."""
+    out = _ASCII_WORD[buf]
+    wide = np.flatnonzero(buf >= 0x80)
+    if len(wide):
+        if not _word_points:
+            _word_points.append(np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)), bool, 0x110000))
+        lead = np.flatnonzero(buf[wide] >= 0xC0)
+        at, padded = wide[lead], np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
+        size = np.where(buf[at] >= 0xF0, 4, np.where(buf[at] >= 0xE0, 3, 2))
+        point = padded[at] & (0xFF >> (size + 1))
+        for k in (1, 2, 3):
+            point = np.where(size > k, point << 6 | padded[at + k] & 0x3F, point)
+        owner = np.cumsum(buf[wide] >= 0xC0) - 1
+        out[wide] = _word_points[0][point][owner]
+    return out
+
+
 class Words:
     """The words of a slice: ``starts``/``ends`` are byte positions, ``bounds[d]:bounds[d+1]`` are text d's words."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> None:
-        inside = ~space[buf]
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, inside: np.ndarray | None = None) -> None:
+        """``inside``, if given, marks the bytes of words; else they are those outside ``space``."""
+        inside = ~space[buf] if inside is None else inside
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
