@@ -4,13 +4,15 @@ Compilation applies one *merge gadget* per merge, in rank order, to an automaton
 first has one state with a loop for every byte. The gadget of (u, v) -> w cuts the arc v out of the
 state that u leads to and adds an arc w, into the state v leads to, wherever u may be read. After the
 last merge exactly the sequences that the merge procedure yields are accepted, so the automaton is
-deterministic: a word has one accepted path.
-
-A state is (token, version); a cut makes a new version and a token born from (u, v) shares v's state as
-it was. Only cuts are stored; whether the arc b leaves a's state is read from these tables (``arc``)
-and remembered. ``encode`` follows arcs over the bytes of a pre-split word, longest label first; as the
-accepted path up to a position is unique, a position that proves dead is never entered again.
-``decode`` emits the labels of the arcs.
+deterministic: a word has one accepted path, and so has each of its prefixes.
+
+The compiled tables are plain arrays. Tokens are numbered so that a token, followed by the tokens that later merges
+built upon it, is one run of numbers; what a gadget cuts is then an interval. ``cut_lo`` and ``cut_hi`` hold each state's
+cut intervals, disjoint and in order (``first[a]`` to ``first[a + 1]``), and an arc is there unless its number is in one.
+``step`` is the table of the byte automaton that spells the arcs' labels from their ends. ``encode`` finds the one arc by
+which the accepted path of a word ends, then that of the part before it, and so on: the arcs that end at a position
+are read from ``step``, and whether one may follow the path before it from the cut intervals. What a position's arc is
+is settled once. ``decode`` emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,89 +47,126 @@ class MergeAutomaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], singles: dict[int, int]) -> None:
         """labels: bytes of each token id; merges: (left, right, merged) in rank order; singles: byte -> id."""
         self.labels = labels
-        self.never = len(merges)
-        self.birth: dict[int, int] = {}
-        self.spine: dict[int, tuple[tuple[int, int], ...]] = {t: ((t, self.never),) for t in singles.values()}
-        self.cuts: dict[int, dict[int, int]] = {}
-        self.origin: dict[int, int] = {}
+        n, never, born = len(labels), len(merges), {}
         for time, (u, v, w) in enumerate(merges):
-            self._gadget(u, v, w, time)
+            if w not in born:
+                born[w] = (time, u, v)
+        self._number(n, singles, born)
+        self._cut(n, never, born)
+        self._spell([*singles.values(), *born])
         self.known: dict[int, bool] = {}
-        self.sizes = [len(x) for x in labels]
-        self.trie: dict = {-1: ()}
-        self.along: dict[int, tuple[int, ...]] = {}  # the arcs whose labels begin a token's label, shortest first
-        for t in sorted([*singles.values(), *self.birth], key=self.sizes.__getitem__):
-            node = self.trie
-            for b in labels[t]:
-                node = node.setdefault(b, {-1: node[-1]})
-            node[-1] = self.along[t] = (*node[-1], t)
-
-    def _gadget(self, u: int, v: int, w: int, time: int) -> None:
-        if w in self.birth or w in self.spine:
-            return
-        self.birth[w], self.origin[w] = time, v  # w leads to v's state as of this time
-        self.spine[w] = ((w, self.never), *((t, min(limit, time)) for t, limit in self.spine[u]))  # readable where u is
-        self.cuts.setdefault(u, {}).setdefault(v, time)
+
+    def _number(self, n: int, singles: dict[int, int], born: dict) -> None:
+        """place[t] and end[t]: t and all tokens that begin with it as their left part are place[t] .. end[t]; later merges come first."""
+        above: dict[int, list[int]] = {}
+        for w, (_, u, _) in born.items():
+            above.setdefault(u, []).append(w)
+        self.place, self.end = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.built = {u: sorted(ws, key=lambda w: -born[w][0]) for u, ws in above.items()}
+        at, todo = 0, [(t, False) for t in dict.fromkeys(singles.values())]
+        while todo:
+            t, left = todo.pop()
+            if left:
+                self.end[t] = at - 1
+                continue
+            self.place[t] = at
+            at += 1
+            todo.append((t, True))
+            todo += [(w, False) for w in reversed(self.built.get(t, ()))]
+
+    def _cut(self, n: int, never: int, born: dict) -> None:
+        """Each state's cut intervals: those of its own token's gadgets, of its right part's before it was born, and so on."""
+        order = sorted(born.values(), key=lambda g: (g[1], g[0]))  # gadgets by left token, then time
+        time, left, right = (np.array(c, np.int64) for c in zip(*order, strict=True)) if order else (np.zeros(0, np.int64),) * 3
+        hi = self.place[right] if len(right) else right
+        for k, (t, v) in enumerate(zip(time.tolist(), right.tolist(), strict=True)):
+            later = [w for w in self.built.get(v, ()) if born[w][0] >= t]
+            if later:
+                hi[k] = self.end[later[-1]]
+        lo, key, span = self.place[right] if len(right) else right, left * (never + 1) + time, never + 1
+        tail, since = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        for w, (t, _, v) in born.items():
+            tail[w], since[w] = v, t
+        state, token, version = np.arange(n), np.arange(n), np.full(n, never)
+        parts = []
+        while len(state):
+            a, b = np.searchsorted(key, token * span), np.searchsorted(key, token * span + version)
+            k = b - a
+            parts.append((np.repeat(state, k), np.repeat(a - (np.cumsum(k) - k), k) + np.arange(k.sum())))
+            on = tail[token] >= 0
+            state, version, token = state[on], since[token[on]], tail[token[on]]
+        of, gadget = (np.concatenate(c) for c in zip(*parts, strict=True))
+        x, y = lo[gadget], hi[gadget]
+        by = np.lexsort((-y, x, of))
+        of, x, y = of[by], x[by], y[by]
+        reach = np.maximum.accumulate(of * (n + 1) + y) if len(of) else of
+        keep = np.concatenate([[True], (of[1:] != of[:-1]) | (x[1:] > reach[:-1] - of[:-1] * (n + 1))])[: len(of)]
+        self.cut_lo, self.cut_hi = array("i", x[keep].astype(np.int32).tobytes()), array("i", y[keep].astype(np.int32).tobytes())
+        self.first = np.searchsorted(of[keep], np.arange(n + 1)).tolist()
+        self.number = self.place.tolist()
+
+    def _spell(self, tokens: list[int]) -> None:
+        """step: (node << 8 | byte) -> node, over labels from their last byte on; ends: the token that a node spells, or -1."""
+        self.step: dict[int, int] = {}
+        self.ends = [-1]
+        self.sizes = [len(x) for x in self.labels]
+        for t in tokens:
+            node = 0
+            for b in reversed(self.labels[t]):
+                nxt = self.step.get(node << 8 | b)
+                if nxt is None:
+                    nxt = self.step[node << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                node = nxt
+            self.ends[node] = t
 
     def arc(self, a: int, b: int) -> bool:
         """Whether b may be read in the state that a leads to."""
+        p, start = self.number[b], self.first[a]
+        i = bisect_right(self.cut_lo, p, start, self.first[a + 1]) - 1
+        found = i < start or self.cut_hi[i] < p
         if len(self.known) > 1_000_000:
             self.known.clear()
-        found = self.known[a << 32 | b] = self._arc(a, b)
+        self.known[a << 32 | b] = found
         return found
 
-    def _arc(self, a: int, b: int) -> bool:
-        state, version = a, self.never
-        while True:
-            cuts = self.cuts.get(state)
-            if cuts:
-                for t, limit in self.spine[b]:
-                    time = cuts.get(t)
-                    if time is not None and time < version and time <= limit:
-                        return False
-            if state not in self.origin:
-                return True
-            state, version = self.origin[state], self.birth[state]
-
     def encode(self, word: bytes) -> list[int]:
-        """The accepted path over word: arcs are tried longest first, a position that led nowhere is not entered again."""
-        n, at, last, known, sizes = len(word), 0, -1, self.known.get, self.sizes
-        path: list[int] = []
-        left: list[int] = []  # how many shorter arcs are still open at each step
-        dead: set[int] = set()
-        rest = word
-        while at < n:
-            node = self.trie
-            for c in rest:
-                step = node.get(c)
-                if step is None:
-                    break
-                node = step
-            arcs = node[-1]
-            k = len(arcs)
+        n, step, ends, sizes, known = len(word), self.step.get, self.ends, self.sizes, self.known.get
+        last: dict[int, int] = {}  # the arc that ends at a position
+        open_: dict[int, list[int]] = {}  # the arcs that may, longest last
+        todo = [n] if n else []
+        while todo:
+            at = todo[-1]
+            arcs = open_.get(at)
+            if arcs is None:
+                arcs, node = [], 0
+                for i in range(at - 1, -1, -1):
+                    node = step(node << 8 | word[i])
+                    if node is None:
+                        break
+                    if ends[node] >= 0:
+                        arcs.append(ends[node])
+                open_[at] = arcs
             while True:
-                while k:
-                    k -= 1
-                    t = arcs[k]
-                    if at + sizes[t] not in dead:
-                        if last < 0:
-                            break
-                        ok = known(last << 32 | t)
-                        if ok or ok is None and self.arc(last, t):
-                            break
-                else:
-                    dead.add(at)
-                    t, k = path.pop(), left.pop()
-                    at -= sizes[t]
-                    arcs = self.along[t]
-                    last = path[-1] if path else -1
-                    continue
+                t = arcs[-1]
+                before = at - sizes[t]
+                if before:
+                    a = last.get(before)
+                    if a is None:
+                        todo.append(before)
+                        break
+                    ok = known(a << 32 | t)
+                    if not ok and (ok is not None or not self.arc(a, t)):
+                        arcs.pop()
+                        continue
+                last[at] = t
+                todo.pop()
                 break
-            path.append(t)
-            left.append(k)
-            at += sizes[t]
-            last = t
-            rest = word[at:]
+        path, at = [], n
+        while at:
+            path.append(last[at])
+            at -= sizes[last[at]]
+        path.reverse()
         return path
 
     def decode(self, ids: list[int]) -> bytes:
@@ -183,11 +223,13 @@ class ByteBpe:
     def encode_part(self, text: str) -> bytes:
         """Ids, little-endian 32-bit, of text that no other text continues."""
         out = []
-        for k, part in enumerate(self.outer.split(text) if self.outer and "<|" in text else [text]):
+        for k, part in enumerate(self.outer.split(text) if self.outer and any(map(text.__contains__, self.special)) else [text]):
             if k % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            out += map(self.encode_word, self.pattern.findall(part))
+            for w in self.pattern.findall(part):
+                rest = w[1:]
+                out.append(self.body[rest] if w[0] == " " and rest.isalpha() else self.encode_word(w))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
