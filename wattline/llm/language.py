@@ -1,15 +1,15 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton is built over its most frequent training words (bounded sample:
-``DOCS`` documents a language, ``TEXT_BYTES`` bytes of distinct words). A word, with its borders, is
-parsed greedily into the longest pieces that occur in a language's text; a document's phrases are the
-sum over its words, and the language with the fewest phrases per byte wins (ties: the language whose
-training text is more often matched to a word's border, then the alphabetically first). The automata
-share one alphabet and one text length, so phrase counts need no further normalisation than by length.
-
-Words are runs of ASCII letters and non-ASCII bytes of the lower-cased text. ``und`` (score 0) where a
-text is null or has no letter, or where nothing was learned. score is the winner's share of
-exp(-6 * phrases / words) over all languages.
+For each language a suffix automaton is built over running labelled text: whole documents of at most ``TEXT_BYTES``, in the
+order of a hash of their ids, as many as fit into ``TEXT_BYTES`` (from a sample of ``DOCS`` documents a language). A text is
+parsed greedily into the longest phrases that occur in a language's text, across words, and the language needing the
+fewest normalised phrases wins: phrases x log2(length of its training text) per byte, the cross-parsing estimate of
+entropy, so languages with less training text are not favoured (ties: the alphabetically first).
+
+Texts and training texts are lower-cased letters with one blank for everything between words. Long texts are parsed in
+blocks of ``BLOCK`` bytes, each from the start state: the whole text is read, at a cost of at most one phrase a block that is
+the same for all languages. ``und`` (score 0) where a text is null or has no letter, or where nothing was learned. score
+is the winner's share of 2 ** (-8 x normalised phrases) over all languages.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from . import textkit as tk
 from .samples import sampled_ids
 
 DOCS = 300
-TEXT_BYTES = 24_000
-LONGEST = 24
+TEXT_BYTES = 32_000
+BLOCK = 256
 
-_SPACE = np.ones(256, dtype=bool)
-_SPACE[0x41:0x5B] = _SPACE[0x61:0x7B] = _SPACE[0x80:] = False
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -63,75 +63,83 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return step
 
 
+def running(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters of all texts, one blank before each text and between its words; offsets)."""
+    letter = _LETTER[buf]
+    keep = letter.copy()
+    keep[:-1] |= letter[1:]  # a blank stands for the byte before a word
+    full = offsets[1:] > offsets[:-1]
+    head = np.zeros(len(buf), dtype=bool)
+    head[offsets[:-1][full]] = True
+    blank = keep & ~letter & ~head
+    begin = head & letter  # a text that starts with a letter gets its blank put in
+    out = np.where(blank, 0x20, buf)
+    kept = np.concatenate([[0], np.cumsum((letter | blank) + begin.astype(np.int64))])
+    at = np.flatnonzero(letter | blank)
+    flat = np.empty(int(kept[-1]), np.uint8)
+    flat[kept[at] + begin[at]] = out[at]
+    flat[kept[np.flatnonzero(begin)]] = 0x20
+    return flat, kept[offsets]
+
+
 class Parser:
     def __init__(self, texts: dict[str, bytes]) -> None:
         self.langs = sorted(texts)
         used = sorted({c for t in texts.values() for c in t})
         self.code = np.zeros(256, np.int64)  # 0: a byte no language has
         self.code[used] = np.arange(1, len(used) + 1)
+        self.bits = np.array([np.log2(max(2, len(texts[lang]))) for lang in self.langs])
         self.tables = []
         for lang in self.langs:
             step = suffix_automaton(texts[lang])
-            table = np.full((len(step), len(used) + 1), -1, np.int32)
+            table = np.full((len(step) + 1, len(used) + 1), -1, np.int32)  # the last row: behind a byte that the language has not
             for s, arcs in enumerate(step):
                 for c, t in arcs.items():
                     table[s, self.code[c]] = t
             self.tables.append(table)
 
-    def phrases(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[words, languages]: greedy longest-match phrases of each padded row, borders included."""
-        n = len(words)
-        coded = np.concatenate([np.full((n, 1), 0x20, np.uint8), words, np.zeros((n, 1), np.uint8)], axis=1)
-        coded[np.arange(n), lengths + 1] = 0x20
-        coded = self.code[coded]
+    def phrases(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """[blocks, languages]: greedy longest-match phrases of each block of bytes."""
+        n, longest = len(starts), int(lengths.max(initial=0))
         order = np.argsort(-lengths, kind="stable")
-        alive = np.searchsorted(-lengths[order], -np.arange(coded.shape[1]) + 1, side="right")  # rows still running at each position
-        out = np.empty((n, len(self.langs)), np.int64)
-        coded = coded[order]
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(n, np.int32), np.ones(n, np.int64)
-            for i in range(coded.shape[1]):
-                m = alive[i]
-                if not m:
-                    break
-                c = coded[:m, i]
+        alive = np.searchsorted(-lengths[order], -np.arange(longest), side="left")  # blocks still running at each position
+        coded, first = self.code[flat], starts[order]
+        out = np.zeros((n, len(self.langs)), np.int64)
+        states = [np.zeros(n, np.int32) for _ in self.tables]
+        counts = [np.ones(n, np.int64) for _ in self.tables]
+        for i in range(longest):
+            m = alive[i]
+            c = coded[first[:m] + i]
+            for table, state, count in zip(self.tables, states, counts, strict=True):
                 to = table[state[:m], c]
-                stop = to < 0
-                count[:m] += stop
-                to[stop] = np.maximum(table[0, c[stop]], 0)
+                stop = np.flatnonzero(to < 0)
+                count[stop] += 1
+                again = table[0, c[stop]]
+                to[stop] = np.where(again < 0, len(table) - 1, again)
                 state[:m] = to
+        for k, count in enumerate(counts):
             out[order, k] = count
         return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS, text_bytes: int = TEXT_BYTES) -> dict[str, bytes]:
-    """Training text of each language: its most frequent words, one space between, from rows with a language."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
-    ids = sampled_ids(d, "lang", docs_per_language)
-    texts = d.join(F.broadcast(ids), ["doc_id", "lang"])  # docs_per_language rows a language
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.slices(batches, "text"):
-            buf, offsets = tk.flat_bytes(b.column("text"))
-            w = tk.Words(buf, offsets, _SPACE)
-            w_ends = np.minimum(w.ends, w.starts + LONGEST)
-            h = tk.span_hashes(buf, w.starts, w_ends)
-            key = tk.mix(h + w.docs().astype(np.uint64))
-            first = np.unique(key, return_index=True)[1]  # once a document
-            raw = buf.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(w.docs()[first])), pa.array([raw[w.starts[i] : w_ends[i]] for i in first], pa.binary())], ["lang", "word"])
-
-    counted = texts.select("lang", F.lower("text").alias("text")).mapInArrow(words, "lang string, word binary").groupBy("lang", "word").count()
-    size = F.sum(F.length("word") + 1).over(Window.partitionBy("lang").orderBy(F.desc("count"), "word").rowsBetween(Window.unboundedPreceding, 0))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= text_bytes // 2)
+    """Running training text of each language, from rows with a language."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    ids = sampled_ids(d.where((F.octet_length("text") <= text_bytes) & F.col("text").rlike(r"\p{L}")), "lang", docs_per_language)
+    texts = d.join(F.broadcast(ids), ["doc_id", "lang"]).where(F.octet_length("text") <= text_bytes)  # docs_per_language rows a language
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
+    size = F.sum(F.octet_length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    some = texts.select("lang", F.lower("text").alias("text"), size.alias("size"), F.row_number().over(order).alias("rank")).where((F.col("size") <= text_bytes) | (F.col("rank") == 1))
     out: dict[str, list[bytes]] = {}
-    for r in top.withColumn("size", size).where(F.col("size") <= text_bytes).orderBy("lang", "rank").toLocalIterator():
-        out.setdefault(r.lang, []).append(bytes(r.word))
-    return {lang: b" " + b" ".join(w) + b" " for lang, w in out.items()}
+    for r in some.orderBy("lang", "rank").toLocalIterator():  # text_bytes a language
+        raw = r.text.encode()
+        flat, _ = running(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        out.setdefault(r.lang, []).append(flat.tobytes())
+    return {lang: b"".join(w) + b" " for lang, w in out.items()}
 
 
 def predict(docs: DataFrame, texts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row."""
+    """(doc_id, lang_pred, score) for every row; null or repeated ids and equal rows are kept as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)  # text_bytes a language
     made: list[Parser] = []
 
@@ -139,32 +147,23 @@ def predict(docs: DataFrame, texts: dict[str, bytes], id_col: str = "doc_id", te
         if not made:
             made.append(Parser(shared.value))
         parser = made[0]
-        names = np.array([*parser.langs, "und"], dtype=object)
+        und, names = len(parser.langs), np.array([*parser.langs, "und"], dtype=object)
         for b in tk.slices(batches, "text"):
-            buf, offsets = tk.flat_bytes(b.column("text"))
-            words = tk.Words(buf, offsets, _SPACE)
-            # long words are parsed in parts
-            parts = np.maximum(-(-(words.ends - words.starts) // LONGEST), 1)
-            doc = np.repeat(words.docs(), parts)
-            start = np.repeat(words.starts, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-            end = np.minimum(start + LONGEST, np.repeat(words.ends, parts))
-            _, first, back = np.unique(tk.span_hashes(buf, start, end), return_index=True, return_inverse=True)
-            lengths = end[first] - start[first]
-            n = b.num_rows
-            letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            best, score = np.full(n, len(parser.langs)), np.zeros(n)
-            if parser.langs and len(first):
-                phrases = parser.phrases(tk.span_matrix(buf, start[first], end[first], LONGEST), lengths)
-                total = np.stack([np.bincount(doc, phrases[back, k], n) for k in range(len(parser.langs))], axis=1)
-                whole = np.stack([np.bincount(doc, phrases[back, k] == 1, n) for k in range(len(parser.langs))], axis=1)
-                count = np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
-                best = np.argmin(total - whole / (count + 1), axis=1)
-                share = np.exp(-6 * (total - total.min(axis=1, keepdims=True)) / count)
+            flat, bounds = running(*tk.flat_bytes(b.column("text")))
+            n, size = b.num_rows, np.diff(bounds)
+            parts = -(-size // BLOCK)
+            doc = np.repeat(np.arange(n), parts)
+            start = np.repeat(bounds[:-1] - BLOCK * (np.cumsum(parts) - parts), parts) + BLOCK * np.arange(parts.sum())
+            best, score = np.full(n, und), np.zeros(n)
+            if und and len(start):
+                phrases = parser.phrases(flat, start, np.minimum(BLOCK, bounds[doc + 1] - start))
+                rate = np.stack([np.bincount(doc, phrases[:, k], n) * parser.bits[k] for k in range(und)], axis=1) / np.maximum(size, 1)[:, None]
+                best = np.argmin(np.round(rate, 9), axis=1)
+                share = np.exp2(-8 * (rate - rate.min(axis=1, keepdims=True)))
                 score = share[np.arange(n), best] / share.sum(axis=1)
-            elif parser.langs:
-                best = np.zeros(n, np.int64)
-            best, score = np.where(letters, best, len(parser.langs)), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.where(best == len(parser.langs), 0.0, score))], ["doc_id", "lang_pred", "score"])
+            letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+            best = np.where(letters & (size > 0), best, und)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.where(best == und, 0.0, score))], ["doc_id", "lang_pred", "score"])
 
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
