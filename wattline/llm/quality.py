@@ -1,6 +1,6 @@
 """Quality rules: fixed counting rules, then a calibrated logistic regression on hashed n-grams.
 
-The model sees hashed word unigrams and hashed byte 2-, 3- and 4-grams of the lower-cased text, each
+The model sees hashed word unigrams and hashed character (code point) 2-, 3- and 4-grams of the lower-cased text, each
 kind as shares of the text's own total. It is fitted on at most ``SAMPLE`` labelled rows per class (those
 with the smallest id hash), calibrated by Platt scaling on a fifth of them, in which each class counts by its share of
 all labels, so the probability does not depend on the sample's size, and shipped as fixed-point
@@ -37,13 +37,14 @@ _SYMBOL[list(SYMBOLS)] = True
 def features(buf: np.ndarray, offsets: np.ndarray, words: tk.Words, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature: (hashed index of every occurrence, bounds per text)."""
     out = [((hashes >> np.uint64(64 - BITS)).astype(np.int64), words.bounds)]
-    low = tk.LOWER[buf].astype(np.uint32)
+    low = np.frombuffer(tk.LOWER[buf].tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]  # in characters
     for k, n in enumerate(GRAMS, 1):
-        starts, per = tk.runs(offsets, n)
-        code = np.zeros(max(len(low) - n + 1, 0), np.uint32)
+        starts, per = tk.runs(bounds, n)
+        code = np.zeros(max(len(low) - n + 1, 0), np.uint64)
         for i in range(n):
-            code = code << np.uint32(8) | low[i : len(low) - n + 1 + i]
-        code = (code * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int64)
+            code = code * np.uint64(0x9E3779B97F4A7C15) + low[i : len(low) - n + 1 + i]
+        code = (code * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BITS)).astype(np.int64)
         out.append((code[starts] + (k << BITS), np.concatenate([[0], np.cumsum(per)])))
     return out
 
