@@ -6,15 +6,15 @@ the structure of a key, so that plain long strings are not reported:
 
 * ``jwt``    three dot-separated base64url parts whose first decodes to a JSON object with ``alg`` and
              whose second to a JSON object;
-* ``pem``    a PEM block whose base64 decodes to a DER SEQUENCE with consistent nested lengths, or to an
-             OpenSSH key;
-* ``der``    a bare base64 or hex run that decodes to such a SEQUENCE with at least two members;
+* ``pem``    a PEM block, with or without headers, whose base64 decodes to a DER SEQUENCE with consistent nested
+             lengths, to an OpenSSH key, or to whole cipher blocks where the headers name a cipher;
+* ``der``    a bare base64 or hex run, also wrapped at 64 or 76 characters, that decodes to such a SEQUENCE with at least two members;
 * ``ssh``    a base64 run that decodes to length-prefixed strings which fill it, the first naming an
              SSH key type.
 
 ``scan`` returns one row per input row: doc_id, the number of base spans of each kind, a digest of the
 base spans, all spans as text, and the number of confirmed spans. A null text is empty. Each text is
-read once, whole; matching time is linear in it.
+read once, whole; matching time is linear in it. Null or repeated ids and equal rows are kept as they are.
 """
 
 from __future__ import annotations
@@ -38,9 +38,11 @@ _NAMES = re.compile("password|passwd|secret|token|api_?key", re.ASCII)
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}(?![A-Za-z0-9+/=])")
+_SALT = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,([0-9A-Fa-f]+)")
 #: Key type names of the SSH wire format.
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
 
@@ -52,23 +54,27 @@ def _unbase64(s: str) -> bytes | None:
         return None
 
 
-def der_members(data: bytes, start: int, end: int, depth: int = 0) -> int | None:
-    """The number of elements that exactly fill data[start:end], their own constructed contents checked; else None."""
-    count = 0
-    while start < end:
-        if end - start < 2 or data[start] & 0x1F == 0x1F:
-            return None
-        tag, size, at = data[start], data[start + 1], start + 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > end:
+def der_members(data: bytes, start: int, end: int) -> int | None:
+    """The number of elements that exactly fill data[start:end], all constructed contents checked to any depth; else None."""
+    count, todo = None, [(start, end)]
+    while todo:
+        at, stop = todo.pop()
+        n = 0
+        while at < stop:
+            if stop - at < 2 or data[at] & 0x1F == 0x1F:
                 return None
-            size, at = int.from_bytes(data[at : at + n], "big"), at + n
-        if at + size > end:
-            return None
-        if tag & 0x20 and depth < 12 and der_members(data, at, at + size, depth + 1) is None:
-            return None
-        start, count = at + size, count + 1
+            tag, size, body = data[at], data[at + 1], at + 2
+            if size & 0x80:
+                k = size & 0x7F
+                if not 1 <= k <= 4 or body + k > stop:
+                    return None
+                size, body = int.from_bytes(data[body : body + k], "big"), body + k
+            if body + size > stop:
+                return None
+            if tag & 0x20 and size:
+                todo.append((body, body + size))
+            at, n = body + size, n + 1
+        count = n if count is None else count
     return count
 
 
@@ -80,22 +86,50 @@ def is_der(data: bytes | None) -> bool:
     return (der_members(data, skip, len(data)) or 0) >= 2
 
 
+def _fields(data: bytes, at: int = 0) -> list[bytes] | None:
+    """The length-prefixed strings that exactly fill data from ``at`` on; else None."""
+    out = []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or at + 4 + size > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
+
+
+def _is_container(data: bytes) -> bool:
+    """The OpenSSH container: cipher, kdf and its options, number of keys, each public key, the private part, all lengths nested."""
+    at, parts = len(b"openssh-key-v1\0"), []
+    for _ in range(3):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return False
+        parts.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    keys = int.from_bytes(data[at : at + 4], "big")
+    rest = _fields(data, at + 4) if at + 4 <= len(data) else None
+    if not parts[0].isascii() or not rest or not 1 <= keys == len(rest) - 1 or not rest[-1]:
+        return False
+    return all((f := _fields(k)) is not None and len(f) >= 2 and f[0] in _SSH_TYPES for k in rest[:-1])
+
+
 def is_ssh(data: bytes | None) -> bool:
     """Whether data is an SSH key: length-prefixed strings that fill it, first a key type, or the OpenSSH container."""
     if not data:
         return False
     if data.startswith(b"openssh-key-v1\0"):
+        return _is_container(data)
+    fields = _fields(data)
+    return fields is not None and len(fields) >= 2 and fields[0] in _SSH_TYPES
+
+
+def is_pem(headers: str, data: bytes | None) -> bool:
+    """A key by its structure, or an encrypted one: its headers name a cipher and a whole vector, its content is whole blocks."""
+    if is_der(data) or is_ssh(data):
         return True
-    at, fields = 0, []
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return len(fields) >= 2 and fields[0] in _SSH_TYPES
+    salt = _SALT.search(headers)
+    return bool(data and salt and "ENCRYPTED" in headers and len(salt[1]) in (16, 32) and len(data) % (len(salt[1]) // 2) == 0)
 
 
 def is_jwt(header: str, payload: str) -> bool:
@@ -116,16 +150,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _starts_object(part: str) -> bool:
+    """Whether base64url text begins as a JSON object does, white space before it allowed."""
+    head = _unbase64(part[:16])
+    return bool(head) and head.lstrip()[:1] in (b"{", b"")
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
+    if text.count(".") > 1:
+        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _starts_object(m[1]) and is_jwt(m[1], m[2])]
+    blocks = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _unbase64("".join(m[2].split()))
-            if is_der(data) or is_ssh(data):
+            if is_pem(m[2], _unbase64("".join(m[3].split()))):
                 out.append((m.start(), m.end(), "pem"))
-    blocks = [(a, b) for a, b, kind in out if kind == "pem"]
+                blocks.append((m.start(), m.end()))
+    kind = lambda data: "der" if is_der(data) else "ssh" if is_ssh(data) else None
+    for m in _WRAPPED.finditer(text):
+        if not any(a <= m.start() < b for a, b in blocks) and (k := kind(_unbase64("".join(m[0].split())))):
+            out.append((m.start(), m.end(), k))
+            blocks.append((m.start(), m.end()))
     for m in _RUN.finditer(text):
         run = m[0]
         if any(a <= m.start() < b for a, b in blocks):  # part of a key already reported
@@ -134,10 +179,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             data = bytes.fromhex(run)
         except ValueError:
             data = _unbase64(run)
-        if is_der(data):
-            out.append((m.start(), m.end(), "der"))
-        elif is_ssh(data):
-            out.append((m.start(), m.end(), "ssh"))
+        if k := kind(data):
+            out.append((m.start(), m.end(), k))
     return out
 
 
