@@ -13,9 +13,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, a laptop) a local folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset and Spark runs on one machine (tests, a laptop) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wattline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
