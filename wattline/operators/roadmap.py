@@ -41,7 +41,7 @@ def installation_plan(candidates: DataFrame, plan: DataFrame, smallest: float =
     bound = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
     years = plan.withColumn("until", F.sum("area").over(bound)).agg(F.array_sort(F.collect_list(F.struct("until", "year"))).alias("years"))  # a few years
     run = running(candidates, [], "score", "building_id", "roof").withColumnRenamed("upto", "end")
-    placed = run.crossJoin(F.broadcast(years)).withColumn("y", F.element_at(F.filter("years", lambda s: s["until"] >= F.col("end")), 1))  # one row
+    placed = run.crossJoin(F.broadcast(years)).withColumn("y", F.try_element_at(F.filter("years", lambda s: s["until"] >= F.col("end")), F.lit(1)))  # one row
     kwp = F.greatest(F.least(F.col("roof") * 0.15, F.lit(largest)), F.lit(smallest)) * (1 + gain * F.col("y.year"))
     return placed.where("y IS NOT NULL").select(F.col("y.year").alias("year"), "building_id", "roof", kwp.alias("kwp"))
 
