@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in tk.slices(batches, "text"):
             sets = shingle_sets(*tk.flat_bytes(b.column("text")), width)
             if any(map(len, sets)):
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
             k = len(sets)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names)
         for i in range(SKETCH_BLOCKS if counts.any() else 0):

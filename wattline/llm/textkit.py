@@ -8,6 +8,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 
@@ -75,6 +76,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
         for lo, hi in zip([0, *cut], [*cut, len(sizes)], strict=True):
             yield batch.slice(lo, hi - lo)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the machine at a task's end: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 _ASCII_WORD = np.zeros(256, dtype=bool)

@@ -131,9 +131,10 @@ class Landmarks:
         self.words = words
         row, code, weight = Tokens.of_words(words).sparse(np.arange(len(words)))
         norm = np.sqrt(np.bincount(row, weight * weight, len(words)))
-        self.codes, at = np.unique(code, return_inverse=True)
-        self.table = np.zeros((len(self.codes), len(words)), np.float32)
-        np.add.at(self.table, (at, row), (weight / np.maximum(norm[row], 1e-12)).astype(np.float32))
+        order = np.argsort(code, kind="stable")
+        self.codes, self.first = np.unique(code[order], return_index=True)
+        self.first = np.append(self.first, len(code))
+        self.mark, self.value = row[order], (weight / np.maximum(norm[row], 1e-12))[order]  # the landmarks of each code
         self.maybe = np.zeros(1 << BITS, dtype=bool)
         self.maybe[self._hash(self.codes)] = True
 
@@ -143,22 +144,24 @@ class Landmarks:
 
     def kernel(self, tokens: Tokens, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(tokens with enough in common, or every one; their kernel values with every landmark)."""
-        common, own = np.zeros(tokens.count, np.int64), np.zeros(tokens.count, np.int64)
+        common = np.zeros(tokens.count, np.int64)
+        size = np.bincount(tokens.of, minlength=tokens.count)
+        own = sum((np.maximum(size - k, 0) for _, k in _OFFSETS), np.zeros(tokens.count, np.int64))  # all subsequences of a token
         if len(self.codes):
             for at, code, _ in tokens.subsequences():
                 common += np.bincount(tokens.of[at[self.maybe[self._hash(code)]]], minlength=tokens.count)
-                own += np.bincount(tokens.of[at], minlength=tokens.count)
         rows = np.flatnonzero((own > 0) & (common >= np.minimum(MIN_COMMON, own)) & (common >= MIN_SHARE * own) | every)
-        out = np.zeros((len(rows), len(self.words)))
-        if len(rows):
+        n = len(self.words)
+        out = np.zeros((len(rows), n))
+        if len(rows) and len(self.codes):
             row, code, weight = tokens.sparse(rows)
             norm = np.sqrt(np.bincount(row, weight * weight, len(rows)))
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = np.flatnonzero(self.codes[at] == code)
-            for lo in range(0, len(hit), 50_000):  # bounds what is gathered at once
-                h = hit[lo : lo + 50_000]
-                cut = np.flatnonzero(np.diff(row[h], prepend=-1))
-                out[row[h][cut]] += np.add.reduceat(self.table[at[h]] * weight[h, None].astype(np.float32), cut, axis=0) / norm[row[h][cut], None]
+            row, at, weight = row[hit], at[hit], (weight / norm[row])[hit]
+            k = self.first[at + 1] - self.first[at]
+            each = np.repeat(self.first[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            out = np.bincount(np.repeat(row, k) * n + self.mark[each], np.repeat(weight, k) * self.value[each], len(rows) * n).reshape(len(rows), n)
         return rows, out**POWER
 
 
@@ -294,7 +297,7 @@ def _fit(rows: list, marks: Landmarks, share: float) -> Model:
     y = np.array([r.label for r in rows])
     _, full = marks.kernel(Tokens.of_words(marks.words), every=True)
     value, vector = np.linalg.eigh((full + full.T) / 2)
-    keep = value > 1e-6
+    keep = value > 1e-3 * value.max()  # smaller ones are noise that the factor would blow up
     factor = vector[:, keep] / np.sqrt(value[keep])
     mapped = [b @ factor for b in bags]
     clean = [b.max(axis=0) for b, label in zip(bags, y, strict=True) if not label]
