@@ -46,14 +46,19 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws("/", *(p.cast("string") for p in parts))
 
 
-RES, NON = F.col("function") == "residential", F.col("function") == "non_residential"
+def _res() -> Column:
+    return F.col("function") == "residential"
+
+
+def _non() -> Column:
+    return F.col("function") == "non_residential"
 
 
 def station_summary(h: DataFrame, n: int = 20) -> DataFrame:
     """The n stations with most buildings: counts by use, type, connection, age and label."""
     groups = h.groupBy("mv_station").agg(F.count_distinct("mv_group").alias("mv_groups"))
     s = per_building(h, "mv_station", "lv_group").groupBy("mv_station").agg(
-        F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"),
+        F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"),
         *(F.count_if(F.col("building_type") == t).alias(t) for t in sorted(TOP)), *(_rows(F.col("connection_type") == k).alias(k.lower()) for k in KINDS), _joined(*(_rows(F.col("age_range") == a) for a in AGES)).alias("ages"),
         F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_problematic")).alias("problematic"), F.sum(F.col("area") * F.col("n")).alias("total_area"), _mean("area").alias("avg_area"), _mean("distance_m").alias("avg_distance"),
         _joined(_rows(simple(F.col("label")) == "A"), _rows(F.col("label") == "B"), _rows(F.col("label") == "C"), _rows(F.col("label").isin(*POOR))).alias("labels"),
@@ -67,7 +72,7 @@ def group_summary(h: DataFrame, n: int = 30) -> DataFrame:
     b = h.where("building_id IS NOT NULL")
     modes = b.groupBy("mv_station", "lv_group").agg(*(F.mode(c, True).alias(f"main_{c}") for c in ("age_range", "label", "building_type", "district")))
     s = per_building(h, "mv_station", "lv_group").groupBy("mv_station", "lv_group").agg(
-        F.count("*").alias("buildings"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), _joined(*(_rows(F.col("connection_type") == k) for k in KINDS)).alias("connections"),
+        F.count("*").alias("buildings"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), _joined(*(_rows(F.col("connection_type") == k) for k in KINDS)).alias("connections"),
         F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_problematic")).alias("problematic"), F.sum(F.col("area") * F.col("n")).alias("total_area"), _mean("area").alias("avg_area"), _mean("distance_m").alias("avg_distance"), F.max("distance_m").alias("max_distance"),
     ).orderBy(F.desc("buildings"), "mv_station", "lv_group").limit(n)
     return s.join(modes, ["mv_station", "lv_group"])
@@ -77,19 +82,19 @@ def station_breakdown(h: DataFrame, n: int = 10) -> DataFrame:
     """The LV groups of the n stations with most buildings."""
     p = per_building(h, "mv_station", "lv_group")
     top = p.groupBy("mv_station").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "mv_station").limit(n).select("mv_station")
-    g = p.groupBy("mv_station", "lv_group").agg(F.count("*").alias("buildings"), _rows(RES).alias("residential"), _rows(NON).alias("non_residential"), _rows(F.col("is_mv_capable")).alias("mv_capable"), _rows(F.col("is_problematic")).alias("problematic"), _mean("area").alias("avg_area"), _mean("distance_m").alias("avg_distance"), F.array_join(F.array_sort(F.collect_set("connection_type")), ", ").alias("connections"), F.mode("age_range", True).alias("main_age"), F.mode("building_type", True).alias("main_type"))
+    g = p.groupBy("mv_station", "lv_group").agg(F.count("*").alias("buildings"), _rows(_res()).alias("residential"), _rows(_non()).alias("non_residential"), _rows(F.col("is_mv_capable")).alias("mv_capable"), _rows(F.col("is_problematic")).alias("problematic"), _mean("area").alias("avg_area"), _mean("distance_m").alias("avg_distance"), F.array_join(F.array_sort(F.collect_set("connection_type")), ", ").alias("connections"), F.mode("age_range", True).alias("main_age"), F.mode("building_type", True).alias("main_type"))
     return g.join(F.broadcast(top), "mv_station", "left_semi")  # n rows
 
 
 def station_rollup(h: DataFrame) -> DataFrame:
     """Each station and the whole grid."""
-    r = per_building(h, "mv_station", "lv_group").rollup("mv_station").agg(F.grouping("mv_station").alias("g"), F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_problematic")).alias("problematic"), _mean("area").alias("avg_area"), _mean("distance_m").alias("avg_distance"))
+    r = per_building(h, "mv_station", "lv_group").rollup("mv_station").agg(F.grouping("mv_station").alias("g"), F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_problematic")).alias("problematic"), _mean("area").alias("avg_area"), _mean("distance_m").alias("avg_distance"))
     return r.withColumn("level", F.when(F.col("g") == 1, "TOTAL GRID").otherwise(F.concat(F.lit("MV Station "), F.col("mv_station").cast("string")))).drop("g", "mv_station")
 
 
 def level_rollup(h: DataFrame) -> DataFrame:
     """Station, LV group and district subtotals by grouping id; ``level`` names the row, nulls first in order."""
-    r = per_building(h, "mv_station", "lv_group").rollup("mv_station", "lv_group", "district").agg(F.grouping_id().alias("depth"), F.count("*").alias("buildings"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), _rows(F.col("label").isin(*POOR)).alias("poor_labels"), _mean("distance_m").alias("avg_distance"))
+    r = per_building(h, "mv_station", "lv_group").rollup("mv_station", "lv_group", "district").agg(F.grouping_id().alias("depth"), F.count("*").alias("buildings"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), _rows(F.col("label").isin(*POOR)).alias("poor_labels"), _mean("distance_m").alias("avg_distance"))
     text = F.when(F.col("depth") == 7, "TOTAL GRID").when(F.col("depth") == 3, F.concat(F.lit("MV "), "mv_station")).when(F.col("depth") == 1, F.concat(F.lit("  LV "), F.col("lv_group").cast("string"))).otherwise(F.concat(F.lit("    "), "district"))
     return r.withColumn("level", text).orderBy(F.asc_nulls_first("mv_station"), F.asc_nulls_first("lv_group"), F.asc_nulls_first("district"))
 
@@ -98,13 +103,13 @@ def station_comparison(h: DataFrame, least: int = 50) -> DataFrame:
     """Percentages of stations with more than ``least`` buildings."""
     pct = lambda c: 100 * F.count_if(c) / F.count("*")
     of_rows = lambda c: 100 * _rows(c) / F.sum("n")
-    s = per_building(h, "mv_station", "lv_group").groupBy("mv_station").agg(F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), pct(RES).alias("res_pct"), pct(F.col("is_mv_capable")).alias("mv_pct"), pct(F.col("is_problematic")).alias("problem_pct"), of_rows(F.col("connection_type").isin(*DIRECT)).alias("direct_pct"), of_rows(F.col("age_range").isin(*OLD)).alias("old_pct"), of_rows(simple(F.col("label")).isin("A", "B", "C")).alias("efficient_pct"))
+    s = per_building(h, "mv_station", "lv_group").groupBy("mv_station").agg(F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), pct(_res()).alias("res_pct"), pct(F.col("is_mv_capable")).alias("mv_pct"), pct(F.col("is_problematic")).alias("problem_pct"), of_rows(F.col("connection_type").isin(*DIRECT)).alias("direct_pct"), of_rows(F.col("age_range").isin(*OLD)).alias("old_pct"), of_rows(simple(F.col("label")).isin("A", "B", "C")).alias("efficient_pct"))
     return s.where(F.col("buildings") > least)
 
 
 def groups_of_stations(h: DataFrame, least: int = 100) -> DataFrame:
     """LV groups as a share of their station, for stations with more than ``least`` buildings."""
-    g = per_building(h, "mv_station", "lv_group").groupBy("mv_station", "lv_group").agg(F.count("*").alias("buildings"), _rows(RES).alias("residential"), _rows(NON).alias("non_residential"), _rows(F.col("is_mv_capable")).alias("mv_capable"), _rows(F.col("is_problematic")).alias("problematic"), _mean("distance_m").alias("avg_distance"))
+    g = per_building(h, "mv_station", "lv_group").groupBy("mv_station", "lv_group").agg(F.count("*").alias("buildings"), _rows(_res()).alias("residential"), _rows(_non()).alias("non_residential"), _rows(F.col("is_mv_capable")).alias("mv_capable"), _rows(F.col("is_problematic")).alias("problematic"), _mean("distance_m").alias("avg_distance"))
     w = Window.partitionBy("mv_station")
     g = g.withColumns({"station_groups": F.count("*").over(w), "station_buildings": F.sum("buildings").over(w)})
     return g.where(F.col("station_buildings") > least).withColumn("pct", 100 * F.col("buildings") / F.col("station_buildings"))
@@ -114,7 +119,7 @@ def level_summary(h: DataFrame) -> DataFrame:
     """Averages of per-unit percentages for stations and for LV groups."""
     p = per_building(h, "mv_station", "lv_group")
     pct = lambda c: 100 * F.count_if(c) / F.count("*")
-    shares = [pct(RES).alias("r"), pct(F.col("is_mv_capable")).alias("m"), pct(F.col("is_problematic")).alias("p")]
+    shares = [pct(_res()).alias("r"), pct(F.col("is_mv_capable")).alias("m"), pct(F.col("is_problematic")).alias("p")]
     mv = p.groupBy("mv_station").agg(F.count_distinct("lv_group").alias("lv"), F.count("*").alias("k"), *shares)
     lv = p.drop("mv_station", "n").distinct().groupBy("lv_group").agg(F.lit(None).cast("long").alias("lv"), F.count("*").alias("k"), *shares)
     one = lambda d, name: d.agg(F.lit(name).alias("level"), F.count("*").alias("units"), F.avg("lv").alias("avg_lv_groups"), F.avg("k").alias("avg_buildings"), F.avg("r").alias("avg_res_pct"), F.avg("m").alias("avg_mv_pct"), F.avg("p").alias("avg_problem_pct"))
@@ -124,7 +129,7 @@ def level_summary(h: DataFrame) -> DataFrame:
 def grid_totals(h: DataFrame) -> DataFrame:
     ids = h.agg(F.count_distinct("mv_station").alias("stations"), F.count_distinct("mv_group").alias("mv_groups"), F.count_distinct("lv_group").alias("lv_groups"), F.avg("distance_m").alias("avg_distance"))
     b = h.where("building_id IS NOT NULL").select("building_id", "function", "is_mv_capable", "is_problematic").distinct()
-    return ids.crossJoin(b.agg(F.count("*").alias("buildings"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_problematic")).alias("problematic")))  # one-row frames
+    return ids.crossJoin(b.agg(F.count("*").alias("buildings"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_problematic")).alias("problematic")))  # one-row frames
 
 
 def _band(c: Column, *limits: tuple[float, int], other: int) -> Column:
@@ -139,7 +144,7 @@ def district_metrics(h: DataFrame) -> DataFrame:
     kind = lambda names: F.count_if(F.col("building_type").isin(*names))
     g = per_building(h.where("district IS NOT NULL"), "mv_station", "district").groupBy("mv_station", "district").agg(
         F.count_distinct("lv_group").alias("lv_groups"), F.count("*").alias("buildings"), F.sum(F.col("area") * F.col("n")).alias("total_area"), F.size(F.collect_set("function")).alias("function_types"), F.size(F.collect_set("building_type")).alias("types"),
-        F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), kind(OFFICE).alias("offices"), kind(RETAIL).alias("retail"), kind(SCHOOL).alias("schools"), kind(INDUSTRY).alias("industrial"),
+        F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), kind(OFFICE).alias("offices"), kind(RETAIL).alias("retail"), kind(SCHOOL).alias("schools"), kind(INDUSTRY).alias("industrial"),
         F.sum("n").alias("k"), F.sum(F.col("area") * F.col("area") * F.col("n")).alias("squares"), _rows(F.col("area") < 100).alias("small"), _rows(F.col("area") > 1000).alias("large"), F.size(F.collect_set("age_range")).alias("age_ranges"),
         _rows(F.col("age_range").isin(*OLD)).alias("old"), _rows(F.col("age_range").isin(*NEW)).alias("new"), _rows(simple(F.col("label")).isin(*POOR)).alias("poor_labels"), _rows(F.col("is_mv_capable")).alias("mv_capable"), _mean("distance_m").alias("avg_distance"), _rows(F.col("is_problematic")).alias("problematic"),
     )
@@ -161,7 +166,7 @@ def district_metrics(h: DataFrame) -> DataFrame:
 
 def group_district_metrics(h: DataFrame) -> DataFrame:
     """Diversity and need of each LV group in each district."""
-    g = per_building(h.where("district IS NOT NULL"), "mv_station", "lv_group", "district").groupBy("mv_station", "lv_group", "district").agg(F.count("*").alias("buildings"), F.size(F.collect_set("building_type")).alias("types"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), F.size(F.collect_set("age_range")).alias("age_ranges"), _rows(F.col("age_range").isin(*OLD)).alias("old"), _rows(simple(F.col("label")).isin(*POOR)).alias("poor_labels"), _rows(F.col("is_mv_capable")).alias("mv_capable"), F.sum("n").alias("k"))
+    g = per_building(h.where("district IS NOT NULL"), "mv_station", "lv_group", "district").groupBy("mv_station", "lv_group", "district").agg(F.count("*").alias("buildings"), F.size(F.collect_set("building_type")).alias("types"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), F.size(F.collect_set("age_range")).alias("age_ranges"), _rows(F.col("age_range").isin(*OLD)).alias("old"), _rows(simple(F.col("label")).isin(*POOR)).alias("poor_labels"), _rows(F.col("is_mv_capable")).alias("mv_capable"), F.sum("n").alias("k"))
     mixed = F.when((F.col("residential") > 0) & (F.col("non_residential") > 0), 5).otherwise(0)
     poor = F.round(100 * F.col("poor_labels") / F.col("k"), 1)
     # the cited rule divides by nullif(buildings, 1): a single building has no need score
@@ -203,7 +208,7 @@ def connection_overview(c: DataFrame, stats: DataFrame) -> DataFrame:
     """(metric, value): fifteen figures of connections and segments, from one pass over each."""
     kinds = {k.lower(): F.count_if(F.col("connection_type") == k) for k in KINDS}
     one = c.agg(
-        F.count("*").alias("total_buildings"), F.count_if(RES).alias("residential"), F.count_if(NON).alias("non_residential"), F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_mv_capable") & F.col("has_mv_nearby")).alias("mv_capable_with_mv_nearby"),
+        F.count("*").alias("total_buildings"), F.count_if(_res()).alias("residential"), F.count_if(_non()).alias("non_residential"), F.count_if(F.col("is_mv_capable")).alias("mv_capable"), F.count_if(F.col("is_mv_capable") & F.col("has_mv_nearby")).alias("mv_capable_with_mv_nearby"),
         *(v.alias(k) for k, v in kinds.items()), F.count_if(F.col("is_problematic")).alias("problematic_connections"), F.avg("distance_m").alias("avg_connection_m"), F.max("distance_m").alias("max_connection_m"),
     )
     two = stats.agg(F.count_if(F.col("buildings") > 0).alias("segments_with_buildings"), F.count_if(F.col("has_problem")).alias("segments_with_problems"))
