@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, line_dedup, ngram_join, quality, rans, secrets, surrogates, toxicity
+from . import bpe, decontaminate, language, line_dedup, ngram_join, prefix_trie, quality, rans, secrets, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,12 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymize(_table(spark, sf_dir, "documents"), key="wattline")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_head_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_rans, op3_toxicity, op4_bpe_automaton, op5_ngram_jaccard, op6_decontaminate, op7_language, op8_line_dedup, op9_quality, op10_surrogates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_rans, op3_toxicity, op4_bpe_automaton, op5_ngram_jaccard, op6_decontaminate, op7_language, op8_line_dedup, op9_quality, op10_surrogates, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
