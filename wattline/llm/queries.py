@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, line_dedup, ngram_join, packing, prefix_trie, quality, rans, secrets, surrogates, toxicity
+from . import bpe, decontaminate, language, line_dedup, ngram_join, packing, prefix_trie, quality, rans, secrets, structure_repair, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +78,12 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.audited(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_rans, op3_toxicity, op4_bpe_automaton, op5_ngram_jaccard, op6_decontaminate, op7_language, op8_line_dedup, op9_quality, op10_surrogates, op11_prefix_trie, op12_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_rans, op3_toxicity, op4_bpe_automaton, op5_ngram_jaccard, op6_decontaminate, op7_language, op8_line_dedup, op9_quality, op10_surrogates, op11_prefix_trie, op12_best_fit_packing, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
