@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .auction import assignment_matching  # noqa: F401  part of this module's surface
 from .components import _checkpoint, connected_components
 from .graphs import both_ways
+from .modularity import modularity_communities  # noqa: F401  part of this module's surface
+from .ranking import running
 
 
 def _both(pairs: DataFrame, *more: str) -> DataFrame:
@@ -73,30 +76,7 @@ def hierarchy_affinity(pairs: DataFrame, places: DataFrame, same_transformer: fl
     return j.select("a", "b", d.alias("electrical_distance"), (F.col("complementarity") * share * F.exp(-decay * d)).alias("weight"))
 
 
-def modularity_communities(pairs: DataFrame, rounds: int = 6) -> DataFrame:
-    """(building_id, cluster_id): local moves of a modularity ascent over pairs (a, b, weight).
-
-    In each round half the nodes, by a hash of node and round, move to the neighbouring community of largest gain if it is
-    better than their own (ties: smaller community), so neighbours do not swap places.
-    """
-    e = _checkpoint(_both(pairs, "weight"))
-    deg = _checkpoint(e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")))
-    total = deg.agg(F.sum("d").alias("m2"))
-    now = _checkpoint(deg.select("node", F.col("node").alias("c")))
-    for r in range(rounds):
-        vol = now.join(deg, "node").groupBy("c").agg(F.sum("d").alias("vol"))
-        links = e.join(now.select(F.col("node").alias("dst"), "c"), "dst").where("src <> dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("weight").alias("k"))
-        own = now.select("node", F.col("c").alias("own"))
-        options = links.unionByName(now.select("node", "c", F.lit(0.0).alias("k"))).groupBy("node", "c").agg(F.sum("k").alias("k"))
-        j = options.join(vol, "c").join(deg, "node").join(own, "node").crossJoin(F.broadcast(total))  # one row
-        gain = F.round(F.col("k") - F.col("d") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)) / F.col("m2"), 9)
-        best = j.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"), F.first("own").alias("own"))
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        now = _checkpoint(best.select("node", F.when(turn & (-F.col("b.g") > F.col("stay")), F.col("b.c")).otherwise(F.col("own")).alias("c")))
-    return now.select(F.col("node").alias("building_id"), F.col("c").alias("cluster_id"))
-
-
-def correlation_clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def correlation_clusters(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(building_id, cluster_id): parallel pivot over opposing pairs (a, b); nodes alone keep their own id.
 
     The free nodes whose hash is below those of all their free neighbours are pivots; neighbours join the pivot of smallest hash.
@@ -116,10 +96,12 @@ def correlation_clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         free = _checkpoint(free.join(got, "node", "left_anti"))
         if free.isEmpty():
             break
+    else:
+        raise RuntimeError("correlation_clusters did not converge")
     return done.select(F.col("node").alias("building_id"), F.col("c").alias("cluster_id"))
 
 
-def stable_matching(scores: DataFrame, capacity: int = 5, rounds: int = 50) -> DataFrame:
+def stable_matching(scores: DataFrame, capacity: int = 5, rounds: int = 1000) -> DataFrame:
     """(producer, consumer, score): deferred acceptance; consumers propose, a producer keeps its ``capacity`` best (ties: smaller ids)."""
     s = _checkpoint(scores.select("producer", "consumer", F.round("score", 9).alias("score")))
     open_, held = s, None
@@ -132,6 +114,8 @@ def stable_matching(scores: DataFrame, capacity: int = 5, rounds: int = 50) -> D
         if refused.isEmpty():
             break
         open_ = _checkpoint(open_.join(refused, ["producer", "consumer"], "left_anti"))
+    else:
+        raise RuntimeError("stable_matching did not converge")
     return held
 
 
@@ -145,21 +129,6 @@ def blocking_pairs(scores: DataFrame, matches: DataFrame, capacity: int = 5) ->
     return j.agg(F.count_if(wants & room).alias("blocking"))
 
 
-def assignment_matching(costs: DataFrame, key: list[str], rounds: int = 40) -> DataFrame:
-    """(key, a, b, cost): one-to-one pairs by rounds of mutual best, an approximation of the least total cost (``approx``)."""
-    left, out = _checkpoint(costs.select(*key, "a", "b", F.round("cost", 9).alias("cost"))), None
-    for _ in range(rounds):
-        one = left.groupBy(*key, "a").agg(F.min(F.struct("cost", "b")).alias("m")).select(*key, "a", F.col("m.b").alias("b"), F.col("m.cost").alias("cost"))
-        other = left.groupBy(*key, "b").agg(F.min(F.struct("cost", "a")).alias("m")).select(*key, F.col("m.a").alias("a"), "b")
-        got = _checkpoint(one.join(other, [*key, "a", "b"]))
-        if got.isEmpty():
-            break
-        out = got if out is None else out.unionByName(got)
-        left = _checkpoint(left.join(got.select(*key, "a"), [*key, "a"], "left_anti").join(got.select(*key, "b"), [*key, "b"], "left_anti"))
-    out = costs.limit(0).select(*key, "a", "b", "cost") if out is None else out
-    return out.withColumn("approx", F.lit(True))
-
-
 def random_walks(edges: DataFrame, length: int = 8, walks: int = 4, seed: int = 7) -> DataFrame:
     """(walk array): from every node, each step to a neighbour picked by hash in proportion to weight."""
     e = _checkpoint(both_ways(edges.select("src", "dst", "weight")))
@@ -183,33 +152,118 @@ def walk_clusters(edges: DataFrame, k: int, dims: int = 16, seed: int = 7) -> Da
     return KMeans(k=k, seed=seed).fit(v).transform(v).select(F.col("word").cast("long").alias("building_id"), F.col("prediction").cast("long").alias("cluster_id"))
 
 
+#: A group of more buildings than this is cut into parts of alike profiles before its distances are taken.
+GROUP_ROWS = 1500
+
+
+def _chain(d: np.ndarray) -> list[tuple[int, int, float]]:
+    """Average-linkage merges (i, j, distance) of a distance matrix by nearest-neighbour chains, in n squared steps; the merged cluster keeps the smaller index."""
+    d, n = d.copy(), len(d)
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        i = chain[-1]
+        j = int(np.argmin(np.where(alive, d[i], np.inf)))
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+            chain = chain[:-2]
+            lo, hi = min(i, j), max(i, j)
+            merges.append((lo, hi, float(d[i, j])))
+            mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            mean[[lo, hi]] = np.inf
+            d[lo], d[:, lo], size[lo], alive[hi] = mean, mean, size[i] + size[j], False
+        else:
+            chain.append(j)
+    return sorted(merges, key=lambda m: m[2])
+
+
+def _sized(parts: list[list[int]], d: np.ndarray, smallest: int, largest: int) -> list[list[int]]:
+    """Parts of ``smallest`` to ``largest`` members: large ones halved along their own tree, small ones joined to the nearest with room."""
+    done: list[list[int]] = []
+    queue = [sorted(p) for p in parts]
+    while queue:
+        p = queue.pop()
+        if len(p) <= largest:
+            done.append(p)
+            continue
+        halves = _cut(p, _chain(d[np.ix_(p, p)]), 2)
+        queue += halves
+    done.sort()
+    while len(done) > 1 and (small := min(done, key=lambda p: (len(p), p))) and len(small) < smallest:
+        others = [p for p in done if p is not small]
+        near = lambda p: (float(d[np.ix_(small, p)].mean()), p)  # noqa: B023, E731
+        room = [p for p in others if len(p) + len(small) <= largest]
+        if room:
+            host = min(room, key=near)
+            done = sorted([p for p in done if p is not small and p is not host] + [sorted(host + small)])
+        else:  # all others are full: one gives its nearest members
+            host = min((p for p in others if len(p) - 1 >= smallest), key=near)
+            give = min(host, key=lambda x: (float(d[x, small].mean()), x))
+            done = sorted([p for p in done if p is not small and p is not host] + [sorted([*small, give]), [x for x in host if x != give]])
+    return done
+
+
+def _cut(members: list[int], merges: list[tuple[int, int, float]], k: int) -> list[list[int]]:
+    """The k clusters that are left when the last k - 1 merges are not made."""
+    part = {i: [m] for i, m in enumerate(members)}
+    for i, j, _ in merges[: len(members) - k]:
+        part[i] = part[i] + part.pop(j)
+    return [sorted(p) for p in part.values()]
+
+
+def group_clusters(x: np.ndarray, smallest: int, largest: int) -> list[list[int]]:
+    """The clusters of one group's profiles: for every possible number of clusters the tree is cut and the sizes are mended; the best by the rule of the validity index is taken (ties: fewer).
+
+    The index is the sum over clusters of the mean opposite correlation inside, less half the squared variation of their sizes.
+    """
+    n = len(x)
+    if n <= largest:
+        return [list(range(n))]
+    x = x - x.mean(axis=1, keepdims=True)
+    norm = np.linalg.norm(x, axis=1)
+    x = x / np.where(norm > 0, norm, 1)[:, None]
+    r = np.round(x @ x.T, 9)
+    d = 1 + r  # 0: opposite, 2: alike
+    merges, best = _chain(d), None
+    for k in range(max(2, n // largest), max(2, n // smallest) + 1):
+        parts = _sized(_cut(list(range(n)), merges, min(k, n)), d, smallest, largest)
+        size = np.array([len(p) for p in parts])
+        inside = sum((len(p) - r[np.ix_(p, p)].sum()) / (len(p) * (len(p) - 1)) for p in parts if len(p) > 1)
+        score = round(float(inside - 0.5 * size.var() / size.mean() ** 2), 9)
+        if best is None or score > best[0]:
+            best = score, parts
+    return best[1]
+
+
 def lv_group_clustering(profiles: DataFrame, smallest: int = 3, largest: int = 20) -> DataFrame:
-    """(lv_group, building_id, cluster): average-linkage merging of opposing profiles inside each LV group.
+    """(lv_group, building_id, cluster_id): clusters of ``smallest`` to ``largest`` opposing profiles inside each LV group, cluster_id the smallest building.
 
-    profiles: lv_group, building_id, profile. A group is one LV group, so at most what one transformer feeds; clusters
-    grow to at most ``largest`` buildings and those below ``smallest`` join the nearest that has room.
+    profiles: lv_group, building_id, profile (arrays of one length in a group). A group of at most ``largest`` buildings is one cluster, however
+    small; in every other all clusters have a size between the two (``largest`` should be at least twice ``smallest``).
+    The number of clusters is the one whose index is best, see ``group_clusters``. An LV group is what one transformer
+    feeds; should a group have over ``GROUP_ROWS`` buildings, its order by the mean of the first less the second half of the profile
+    is cut into parts of that size first, by ranges and without gathering the group, so no task holds more.
     """
+    half = "aggregate(slice({0}, {1}, greatest(1, size({0}) div 2)), 0D, (t, x) -> t + x)"
+    p = profiles.where("profile IS NOT NULL AND building_id IS NOT NULL").select("lv_group", "building_id", F.col("profile").cast("array<double>").alias("profile"))
+    size = p.groupBy("lv_group").agg(F.count("*").alias("group_size"))
+    p = p.join(size, "lv_group").withColumn("_lean", F.expr(half.format("profile", "1") + " - " + half.format("profile", "1 + size(profile) div 2")))
+    small = p.where(F.col("group_size") <= GROUP_ROWS).withColumn("_part", F.lit(0).cast("long"))
+    ranked = running(p.where(F.col("group_size") > GROUP_ROWS), ["lv_group"], "_lean", "building_id")
+    parts = F.ceil(F.col("group_size") / GROUP_ROWS)
+    large = ranked.withColumn("_part", F.floor((F.col("rank") - 1) * parts / F.col("group_size")).cast("long")).drop("rank")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("building_id")
-        x = np.stack(rows["profile"].to_numpy()).astype(float)
-        x = x - x.mean(axis=1, keepdims=True)
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm > 0, norm, 1)[:, None]
-        d = 1 + x @ x.T  # 0: opposite, 2: alike
-        member = [[i] for i in range(len(rows))]
-        while len(member) > 1:
-            best = min(((d[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(member) for j, q in enumerate(member[:i]) if len(p) + len(q) <= largest), default=None)
-            if best is None or (best[0] > 1 and min(map(len, member)) >= smallest):
-                break
-            _, i, j = best
-            member[j] += member.pop(i)
+        ids = rows["building_id"].to_numpy()
         label = np.empty(len(rows), np.int64)
-        for c in member:
-            label[c] = int(rows["building_id"].iloc[min(c)])
-        return pd.DataFrame({"lv_group": rows["lv_group"].to_numpy(), "building_id": rows["building_id"].to_numpy(), "cluster_id": label})
+        for c in group_clusters(np.stack(rows["profile"].to_numpy()).astype(float), smallest, largest):
+            label[c] = ids[min(c)]
+        return pd.DataFrame({"lv_group": rows["lv_group"].to_numpy(), "building_id": ids, "cluster_id": label})
 
-    return profiles.select("lv_group", "building_id", "profile").groupBy("lv_group").applyInPandas(fit, "lv_group long, building_id long, cluster_id long")
+    return small.unionByName(large).groupBy("lv_group", "_part").applyInPandas(fit, "lv_group long, building_id long, cluster_id long")
 
 
 def mutual_information(s: DataFrame, bins: int = 4, group: str = "lv_group") -> DataFrame:

@@ -66,15 +66,18 @@ def intervention_mix(items: DataFrame, budget: float, group: str = "lv_group") -
     return run.withColumn("share", share).where(F.col("share") > 0.5).withColumn("phase", F.when(F.col("spent") <= budget / 3, 1).when(F.col("spent") <= 2 * budget / 3, 2).otherwise(3))
 
 
-def dependency_closure(chosen: DataFrame, needs: DataFrame, rounds: int = 10) -> DataFrame:
-    """(item_id): chosen items and what they need (item_id, needs_id), level by level."""
-    found = edge = chosen.select("item_id").distinct()
+def dependency_closure(chosen: DataFrame, needs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(item_id): chosen items and what they need (item_id, needs_id), level by level, each level stored; raises if it does not end."""
+    from .components import _checkpoint
+
+    found = edge = _checkpoint(chosen.select("item_id").where("item_id IS NOT NULL").distinct())
+    needs = _checkpoint(needs.select("item_id", "needs_id").where("needs_id IS NOT NULL").distinct())
     for _ in range(rounds):
-        edge = needs.join(edge, "item_id", "left_semi").select(F.col("needs_id").alias("item_id")).distinct().join(found, "item_id", "left_anti")
+        edge = _checkpoint(needs.join(edge, "item_id", "left_semi").select(F.col("needs_id").alias("item_id")).distinct().join(found, "item_id", "left_anti"))
         if edge.isEmpty():
-            break
-        found = found.unionByName(edge)
-    return found
+            return found
+        found = _checkpoint(found.unionByName(edge))
+    raise RuntimeError("dependency_closure did not end")
 
 
 def recommend_next(b: DataFrame, kind: str, lagging: DataFrame | None = None, n: int = 10) -> DataFrame:

@@ -139,3 +139,14 @@ def by_sql(name: str, *tables: str):
         return spark.sql(text, **frames)
 
     return bound
+
+
+#: Customers as buildings that might take solar: twelve to a cluster, with all that its rules read.
+SOLAR = [
+    "c_custkey AS building_id", "cast(floor(c_custkey / 12.0) AS bigint) AS cluster_id", "cast(5 + (c_custkey * 37) % 160 AS double) AS suitable_area", "cast(5 + c_custkey % 17 AS double) AS height",
+    "CASE cast(c_custkey % 8 AS int) WHEN 0 THEN 'North' WHEN 1 THEN 'south-east' WHEN 2 THEN 'east' WHEN 3 THEN 'flat' WHEN 4 THEN 'north-east' WHEN 5 THEN 'west' ELSE 'south' END AS orientation",
+    "CASE c_mktsegment WHEN 'MACHINERY' THEN 'light industrial' WHEN 'FURNITURE' THEN 'Commercial' WHEN 'AUTOMOBILE' THEN 'office' ELSE 'residential' END AS function",
+    "c_custkey % 7 = 0 AS has_solar", "cast(c_custkey % 23 AS double) AS solar_kw", "(c_acctbal + 1100) / 400.0 AS avg_kw", "(c_acctbal + 1100) * 1.5 AS annual_kwh", "cast(20 + (c_custkey * 29) % 110 AS double) AS roof",
+    "CASE cast(c_custkey % 9 AS int) WHEN 0 THEN 'A+' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D' WHEN 5 THEN 'E' WHEN 6 THEN 'F' WHEN 7 THEN 'G' END AS label",
+]
+SQL["so"] = f"SELECT {', '.join(SOLAR)} FROM customer"

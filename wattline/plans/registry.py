@@ -47,7 +47,7 @@ def _add(name: str, needs: str, build: Callable[..., DataFrame], sql: str | None
 
 
 def queries() -> dict[str, Query]:
-    from . import grid  # noqa: F401  adds its queries
+    from . import grid, planned  # noqa: F401  they add their queries
 
     return dict(_QUERIES)
 
@@ -64,7 +64,7 @@ def _round(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import grid  # noqa: F401
+    from . import grid, planned  # noqa: F401
 
     return {k: _round(v) for k, v in _SQL.items()}
 
