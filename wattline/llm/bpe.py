@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-CACHED_WORDS = 300_000
+#: A worker keeps the ids of so many pieces, twice over, and none of more than CACHED_CHARS characters, so both bound its bytes.
+CACHED_WORDS, CACHED_CHARS = 120_000, 64
+#: Answers that the automaton keeps of which token may follow which.
+CACHED_ARCS = 200_000
 #: The pre-tokenizer's pattern of this vocabulary format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,6 +57,7 @@ class MergeAutomaton:
         self._number(n, singles, born)
         self._cut(n, never, born)
         self._spell([*singles.values(), *born])
+        del self.place, self.end, self.built  # only compiling needs them
         self.known: dict[int, bool] = {}
 
     def _number(self, n: int, singles: dict[int, int], born: dict) -> None:
@@ -125,7 +129,7 @@ class MergeAutomaton:
         p, start = self.number[b], self.first[a]
         i = bisect_right(self.cut_lo, p, start, self.first[a + 1]) - 1
         found = i < start or self.cut_hi[i] < p
-        if len(self.known) > 1_000_000:
+        if len(self.known) >= CACHED_ARCS:
             self.known.clear()
         self.known[a << 32 | b] = found
         return found
@@ -192,10 +196,11 @@ class _Pieces(dict):
                 raise _Irregular
             else:
                 found = self.codec.encode_part(self.lead + piece)
-        if len(self) >= CACHED_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -250,6 +255,7 @@ def codec(path: str) -> ByteBpe:
     """One compiled automaton per Python worker and file."""
     if path not in _codecs:
         _codecs[path] = ByteBpe(path)
+        tk.release()  # compiling took three times what is kept
     return _codecs[path]
 
 

@@ -48,7 +48,8 @@ BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
 FILE_TOKENS = 1 << 25
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 400_000
+#: A worker keeps the ids of so many pieces, twice over, and none of more than CACHED_CHARS characters, so both bound its bytes.
+CACHED_WORDS, CACHED_CHARS = 100_000, 64
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 
@@ -272,9 +273,10 @@ class WordTokenizer:
         if found is None:
             shown = part if part.isascii() else "".join(map(self.bytes_as.__getitem__, part.encode()))
             found = array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts = {}
-            self.parts[part] = found
+            if len(part) <= CACHED_CHARS:
+                if len(self.parts) >= CACHED_WORDS:
+                    self.parts = {}
+                self.parts[part] = found
         return found
 
     def piece(self, piece: str) -> bytes:
@@ -306,7 +308,9 @@ class WordTokenizer:
         for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
             found = known.get(p)
             if found is None:
-                found = known[p] = old.get(p) or piece(p)
+                found = old.get(p) or piece(p)
+                if len(p) <= CACHED_CHARS:
+                    known[p] = found
             ids.append(found)
         if len(known) > CACHED_WORDS:
             self.old, self.known = known, {}
@@ -321,6 +325,7 @@ class WordTokenizer:
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        tk.release()
     return _tokenizers[path]
 
 

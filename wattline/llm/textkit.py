@@ -37,7 +37,7 @@ def _power_table(name: str, base: int, n: int) -> np.ndarray:
         table = np.full(n, base, dtype=np.uint64)
         table[:1] = 1
         np.cumprod(table, out=table)
-        if n <= 8 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES:
             _powers[name] = table
     return table
 
