@@ -88,3 +88,23 @@ def test_classifiers(docs, none, labels):
 
 def test_surrogates(spark, docs, none):
     assert ids(surrogates.pseudonymize(docs, "k")) == ALL and surrogates.pseudonymize(none, "k").count() == 0
+
+
+def test_columns_with_the_names_that_operators_work_with(spark):
+    import corpus_pipeline
+
+    names = ("_low", "_name", "_again", "_gone", "_doc", "_tag", "_was", "_cut")
+    rows = [(i, t, *(f"{n}{i}" for n in names), 5) for i, t in ((1, "You IDIOT. " + "w " * 60), (2, "w " * 70), (3, None))]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}, n_chars long")
+    model = toxicity.Model(toxicity.Landmarks([]), toxicity.np.zeros(0), 0.0, 0.0, -40.0)
+    for out in (toxicity.drop_toxic(df, model), line_dedup.dedup_lines(df), corpus_pipeline.drop_repeated_lines(spark, df, "")):
+        got = {r.doc_id: r for r in out.collect()}
+        assert all(r[n] == f"{n}{i}" for i, r in got.items() for n in names) and got[1].text.startswith("You IDIOT.")
+
+
+def test_labels_without_their_documents(spark):
+    docs = spark.createDataFrame([(i, f"plain text {i}") for i in range(30)], "doc_id long, text string")
+    for toxic, clean in (((100,), range(30)), (range(30), (100,)), ((100,), (101,))):
+        labels = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in clean], "doc_id long, toxic int")
+        scores = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+        assert len(scores) == 30 and not any(r.predicted for r in scores)

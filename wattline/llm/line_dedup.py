@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import sized, stored
+from .shared import free_name, sized, stored
 
 MIN_WORDS = 50
 
@@ -174,12 +174,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, all its columns, with the later repeated runs cut out of the text; plus n_lines and n_removed."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     doc, tag, name = _identity(docs, id_col, text_col)
+    key, again_, gone_, doc_, tag_ = (free_name(docs.columns, c) for c in ("_name", "_again", "_gone", "_doc", "_tag"))
     whole = docs.select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in kept))
-    marked = whole.withColumn("_name", name).join(sized(suspects(docs, id_col, text_col, min_words).select(F.col("name").alias("_name"), F.lit(True).alias("_again")), "line-suspects"), "_name", "left")
-    again = marked.where("_again").select(*kept)
+    marked = whole.withColumn(key, name).join(sized(suspects(docs, id_col, text_col, min_words).select(F.col("name").alias(key), F.lit(True).alias(again_)), "line-suspects"), key, "left")
+    again = marked.where(F.col(again_)).select(*kept)
     gone = repeated_runs(again.select(doc.alias("doc"), tag.alias("tag"), F.col(text_col).alias("text")), min_words)
-    gone = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("_gone")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
-    joined = again.join(gone, doc.eqNullSafe(F.col("_doc")) & (tag == F.col("_tag")), "left").select(*kept, "_gone")
+    gone = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias(gone_)).withColumnsRenamed({"doc": doc_, "tag": tag_})
+    joined = again.join(gone, doc.eqNullSafe(F.col(doc_)) & (tag == F.col(tag_)), "left").select(*kept, gone_)
     schema = T.StructType([*whole.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +189,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lines = Lines(buf, offsets)
             words = lines.text
             h = words.hashes()
-            start, _, key = windows(h, words.bounds, min_words)
+            start, _, hashed = windows(h, words.bounds, min_words)
             of = np.searchsorted(words.bounds, start, side="right") - 1
             cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-            mine = _in_text(key, of)
+            mine = _in_text(hashed, of)
             first = np.unique(mine, return_index=True)[1]
             twice = np.bincount(of, minlength=b.num_rows) > np.bincount(of[first], minlength=b.num_rows)
             breaks = np.concatenate([[0], np.cumsum(buf == 0x0A)])
-            texts, removed, gone = b.column(text_col).to_pylist(), [], b.column("_gone")
+            texts, removed, gone = b.column(text_col).to_pylist(), [], b.column(gone_)
             for i in range(b.num_rows):
                 at, n = (gone[i].values.field(k).to_numpy().astype(np.int64) if gone[i].is_valid else np.zeros(0, np.int64) for k in (0, 1))
                 if not len(at) and not twice[i]:
@@ -205,7 +206,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cover = np.bincount(at, minlength=hi - lo + 1) - np.bincount(at + n - 1 + min_words, minlength=hi - lo + 1)
                 drop = np.cumsum(cover)[: hi - lo] > 0
                 if twice[i]:
-                    own_repeats(h[lo:hi], start[cut[i] : cut[i + 1]] - lo, key[cut[i] : cut[i + 1]], min_words, drop)
+                    own_repeats(h[lo:hi], start[cut[i] : cut[i + 1]] - lo, hashed[cut[i] : cut[i + 1]], min_words, drop)
                 heads = slice(lines.bounds[i], lines.bounds[i + 1])
                 removed.append(whole_lines(np.logical_and.reduceat(drop, lines.heads[heads] - lo), lines.words[heads], min_words))
                 keep = np.ones(offsets[i + 1] - offsets[i], dtype=bool)
@@ -220,5 +221,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(lines.bounds)), pa.array(removed, pa.int64())], [*kept, "n_lines", "n_removed"])
 
-    clean = marked.where("_again IS NULL").select(*kept, F.coalesce(line_count(F.col(text_col)), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    clean = marked.where(F.col(again_).isNull()).select(*kept, F.coalesce(line_count(F.col(text_col)), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     return joined.mapInArrow(rewrite, schema).unionByName(clean)

@@ -41,6 +41,14 @@ def sized(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to be none of ``columns`` (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """docs but for the rows whose id is in ``gone``; null ids stay."""
     return docs.join(sized(gone.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "gone"), id_col, "left_anti").select(*docs.columns)

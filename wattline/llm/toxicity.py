@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .samples import sampled_ids
-from .shared import stored
+from .shared import free_name, stored
 
 SAMPLE = 2000
 LANDMARKS = 128
@@ -47,6 +47,8 @@ ROUNDS = 4
 COST = 5.0
 LOOK_ALIKE = 0.3
 THRESHOLD = 0.3
+#: Text bytes taken at once: a worker's memory goes with them.
+SLICE_BYTES = 1 << 19
 BITS = 18
 
 _ALNUM = np.zeros(256, dtype=bool)
@@ -234,6 +236,7 @@ def _choose(stats: list, toxic: int, clean: int) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+    """The model of the labelled texts; where a class has no text, one that finds nothing toxic. Labels without a document, or null, teach nothing."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     ids = sampled_ids(known, "label", sample)
@@ -242,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = stored(texts, "toxic-sample")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.slices(batches, "text"):
+        for b in tk.slices(batches, "text", SLICE_BYTES):
             buf, offsets = tk.flat_bytes(b.column("text"))
             buf = tk.LOWER[buf]
             words = tk.Words(buf, offsets)
@@ -253,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([raw[starts[i] : ends[i]] for i in first], pa.binary()), b.column("label").take(pa.array(doc[first]))], ["token", "label"])
 
     counted = texts.mapInArrow(split, "token binary, label int").groupBy("token").agg(F.sum("label").cast("long").alias("toxic"), F.sum(1 - F.col("label")).cast("long").alias("clean"))
-    sizes = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
+    sizes = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}  # labels may have no document
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     none = Model(Landmarks([]), np.zeros(0), 0.0, 0.0, -40.0)
     if not toxic or not clean:
@@ -266,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Landmarks(marks.value)
-        for b in tk.slices(batches, "text"):
+        for b in tk.slices(batches, "text", SLICE_BYTES):
             of, values = sentences(b, own)
             order = np.lexsort((-values.max(axis=1, initial=0.0), of))
             cut = np.searchsorted(of[order], np.arange(b.num_rows + 1))
@@ -348,7 +351,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if not made:
             words, *rest = shared.value
             made.append(Model(Landmarks(words), *rest))
-        for b in tk.slices(batches, "text"):
+        for b in tk.slices(batches, "text", SLICE_BYTES):
             p = made[0].texts(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -357,17 +360,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all its columns, without the rows that the model predicts to be toxic."""
+    """docs, all its columns whatever their names, without the rows that the model predicts to be toxic."""
     shared = docs.sparkSession.sparkContext.broadcast((model.marks.words, model.weights, model.bias, model.slope, model.shift))
     made: list[Model] = []
     columns = docs.columns
+    low = free_name(columns, "_low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             words, *rest = shared.value
             made.append(Model(Landmarks(words), *rest))
-        for b in tk.slices(batches, "_low"):
-            clean = made[0].texts(pa.RecordBatch.from_arrays([b.column("_low")], ["text"])) < THRESHOLD
+        for b in tk.slices(batches, low, SLICE_BYTES):
+            clean = made[0].texts(pa.RecordBatch.from_arrays([b.column(low)], ["text"])) < THRESHOLD
             yield b.select(columns).filter(pa.array(clean))
 
-    return docs.withColumn("_low", F.lower(F.col(text_col).cast("string"))).mapInArrow(run, docs.schema)
+    return docs.withColumn(low, F.lower(F.col(text_col).cast("string"))).mapInArrow(run, docs.schema)
