@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattline.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from wattline.llm.queries import remainder, vocabulary
-from wattline.llm.shared import stored
+from wattline.llm.shared import free_name, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages go; a document of which nothing is left goes with them."""
-    done = line_dedup.dedup_lines(docs.withColumn("_was", F.xxhash64("text"))).withColumn("_cut", F.xxhash64("text") != F.col("_was")).where("NOT _cut OR text <> ''")
-    return done.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    was = free_name(docs.columns, "_was")
+    done = line_dedup.dedup_lines(docs.withColumn(was, F.xxhash64("text")))
+    cut = F.xxhash64("text") != F.col(was)
+    return done.where(~cut | (F.col("text") != "")).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
