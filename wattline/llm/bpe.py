@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 #: A worker keeps the ids of so many pieces, twice over, and none of more than CACHED_CHARS characters, so both bound its bytes.
-CACHED_WORDS, CACHED_CHARS = 120_000, 64
+CACHED_WORDS, CACHED_CHARS = 250_000, 64
 #: Answers that the automaton keeps of which token may follow which.
 CACHED_ARCS = 200_000
 #: The pre-tokenizer's pattern of this vocabulary format.
