@@ -108,3 +108,13 @@ def test_labels_without_their_documents(spark):
         labels = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in clean], "doc_id long, toxic int")
         scores = toxicity.score(docs, toxicity.train(docs, labels)).collect()
         assert len(scores) == 30 and not any(r.predicted for r in scores)
+
+
+@pytest.mark.parametrize("line", ["a: -----BEGIN X-----\n", "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN X-----\nk: v\n", " \n\t\n", "-----END X-----\n", "x: y\n", "eyJhbGciOi.", "A" * 64 + "\n", "token = ", "-----BEGIN X----- ", "AKIA", "DEK-Info: A,"])
+def test_scanning_takes_linear_time(line):
+    from time import process_time
+
+    text = line * (1_000_000 // len(line))
+    began = process_time()
+    secrets.base_spans(text), secrets.confirmed_spans(text)
+    assert process_time() - began < 3

@@ -24,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
+_END = re.compile(r"-----END ([A-Z0-9 ]+)-----")
+_HEADER = re.compile(r"\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n")
+_CONTENT = re.compile(r"[A-Za-z0-9+/=\s]*")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}(?![A-Za-z0-9+/=])")
 _SALT = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,([0-9A-Fa-f]+)")
@@ -156,24 +160,57 @@ def _starts_object(part: str) -> bool:
     return bool(head) and head.lstrip()[:1] in (b"{", b"")
 
 
+class _Covered:
+    """Whether a place lies in one of disjoint spans in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def __contains__(self, at: int) -> bool:
+        k = bisect_right(self.starts, at) - 1
+        return k >= 0 and at < self.ends[k]
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, headers, content) of each BEGIN with its END, nothing but header lines and base64 between them.
+
+    A block reaches at most to the next BEGIN, so each BEGIN reads only up to there and the whole scan is linear; with several lines
+    of colons between, only those before the base64 are headers.
+    """
+    if "-----BEGIN " not in text:
+        return
+    begins = list(_BEGIN.finditer(text))
+    stops = [m.start() for m in begins[1:]] + [len(text)]
+    for m, stop in zip(begins, stops, strict=True):
+        at = m.end()
+        while h := _HEADER.match(text, at, stop):
+            at = h.end()
+        body = _CONTENT.match(text, at, stop)
+        end = _END.match(text, body.end(), stop)
+        if end and end[1] == m[1]:
+            yield m.start(), end.end(), text[m.end() : at], body[0]
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if text.count(".") > 1:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _starts_object(m[1]) and is_jwt(m[1], m[2])]
     blocks = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if is_pem(m[2], _unbase64("".join(m[3].split()))):
-                out.append((m.start(), m.end(), "pem"))
-                blocks.append((m.start(), m.end()))
+    for start, end, headers, content in pem_blocks(text):
+        if is_pem(headers, _unbase64("".join(content.split()))):
+            out.append((start, end, "pem"))
+            blocks.append((start, end))
     kind = lambda data: "der" if is_der(data) else "ssh" if is_ssh(data) else None
+    inside = _Covered(blocks)
+    more = []
     for m in _WRAPPED.finditer(text):
-        if not any(a <= m.start() < b for a, b in blocks) and (k := kind(_unbase64("".join(m[0].split())))):
+        if m.start() not in inside and (k := kind(_unbase64("".join(m[0].split())))):
             out.append((m.start(), m.end(), k))
-            blocks.append((m.start(), m.end()))
+            more.append((m.start(), m.end()))
+    inside = _Covered(sorted(blocks + more))
     for m in _RUN.finditer(text):
         run = m[0]
-        if any(a <= m.start() < b for a, b in blocks):  # part of a key already reported
+        if m.start() in inside:  # part of a key already reported
             continue
         try:
             data = bytes.fromhex(run)
