@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared checkpoint folder, so lineage stays short and lost executors are harmless."""
-    spark: SparkSession = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder; only where that is unset and Spark runs on one machine, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wattline-cc-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared checkpoint folder, so lineage stays short and lost executors are harmless."""
+    path = fresh_folder(df.sparkSession, "components")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 KLL = 400
 #: Items a frequency sketch tracks; counts are exact while a column has fewer distinct values.
 ITEMS = 4096
+#: Quantiles that outliers are counted by.
+GRID = 500
 
 
 def sketches(df: DataFrame, numbers: list[str], texts: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -24,7 +26,7 @@ def sketches(df: DataFrame, numbers: list[str], texts: list[str] | None = None,
     out = [F.count("*").alias("rows")]
     for c in numbers:
         x = F.col(c)
-        out += [F.count(x).alias(f"{c}__n"), F.sum(x).alias(f"{c}__s1"), F.sum(x * x).alias(f"{c}__s2"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.kll_sketch_agg_double(c, KLL).alias(f"{c}__kll"), F.hll_sketch_agg(x).alias(f"{c}__hll")]
+        out += [F.count(x).alias(f"{c}__n"), F.sum(x).alias(f"{c}__s1"), F.sum(x * x).alias(f"{c}__s2"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.kll_sketch_agg_double(c, KLL).alias(f"{c}__kll"), F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x + 0.0))).alias(f"{c}__hll")]
     for a, b in combinations(numbers, 2):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
@@ -46,17 +48,17 @@ def column_profile(sketch: DataFrame, numbers: list[str]) -> DataFrame:
     """(column, n, missing_pct, mean, std, min, max, q1, median, q3, distinct, outliers) from one row of sketches.
 
     Mean, std (of a sample), extremes and missing are exact; quartiles are within the sketch's error; outliers is about how many values
-    lie beyond 1.5 interquartile ranges of the quartiles, from the sketch's ranks of those two fences.
+    lie beyond 1.5 interquartile ranges of the quartiles, by how many of ``GRID`` of the sketch's quantiles do.
     """
 
     def one(c: str) -> F.Column:
         n, kll = F.col(f"{c}__n"), f"{c}__kll"
         q = lambda p: F.when(n > 0, F.kll_sketch_get_quantile_double(kll, F.lit(p)))
         iqr = q(0.75) - q(0.25)
-        below = F.kll_sketch_get_rank_double(F.col(kll), q(0.25) - 1.5 * iqr)
-        within = F.kll_sketch_get_rank_double(F.col(kll), q(0.75) + 1.5 * iqr)
+        grid = F.kll_sketch_get_quantile_double(kll, F.array(*(F.lit((i + 0.5) / GRID) for i in range(GRID))))
+        beyond = F.size(F.filter(grid, lambda x: (x < q(0.25) - 1.5 * iqr) | (x > q(0.75) + 1.5 * iqr))) / float(GRID)
         var = F.when(n > 1, F.greatest(F.lit(0.0), F.col(f"{c}__s2") - F.col(f"{c}__s1") * F.col(f"{c}__s1") / n) / (n - 1))
-        return F.struct(F.lit(c).alias("column"), n.alias("n"), (100 * F.try_divide(F.col("rows") - n, "rows")).alias("missing_pct"), F.try_divide(f"{c}__s1", n).alias("mean"), F.sqrt(var).alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.hll_sketch_estimate(f"{c}__hll").alias("distinct"), F.when(n > 0, F.round(n * (1 - within + below)).cast("long")).alias("outliers"))
+        return F.struct(F.lit(c).alias("column"), n.alias("n"), (100 * F.try_divide(F.col("rows") - n, "rows")).alias("missing_pct"), F.try_divide(f"{c}__s1", n).alias("mean"), F.sqrt(var).alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.hll_sketch_estimate(f"{c}__hll").alias("distinct"), F.when(n > 0, F.round(n * beyond).cast("long")).alias("outliers"))
 
     return sketch.select(F.explode(F.array(*map(one, numbers))).alias("p")).select("p.*")
 

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import auction as au
+from ..operators import budget as bu
+from ..operators import communities as co
+from ..operators import data_profile as dp
 from ..operators import graphs as gr
 from ..operators import interventions as iv
+from ..operators import modularity as md
 from ..operators import profiles as pr
 from ..operators import solar as so
+from ..operators.components import fresh_folder as fresh
+from ..sources import publication as pb
+from ..sources import star
+from ..streaming import feedback as fb
+from ..streaming import membership as mh
 from . import bindings as at
 from .registry import _BOUND, _PC, _add
 
@@ -98,3 +108,118 @@ p AS (SELECT node, v, 0.5 * (node % 7 / 6.0) + 0.5 * (node % 97) / max(node % 97
 _add("x21_rank_interventions", "e", lambda e: _RANKED(e).where("score > double('-inf')"), f"{_X21} SELECT node, r(local) AS local, r(network) AS network, r(position) AS position, r(cascade) AS cascade, r(bonus) AS bonus, r((0.3 * local + 0.7 * network + 0.2 * position + 0.3 * cascade + 0.2 * bonus) * CASE WHEN hop < 2 THEN 0.1 ELSE 1 END * keep) AS score FROM p WHERE hop > 0")
 # a walk over all nodes in one order has no SQL of use; tests/test_planning.py holds it against that walk
 _add("x21_spaced_selection", "e", lambda e: iv.spaced_selection(_RANKED(e).select("node", "score"), e, 1))
+
+
+# ---- clusterings, matching and one budget
+_OPPOSING = lambda s: pr.pairwise_complementarity(s).select("a", "b", co.opposing_weight(F.col("complementarity")).alias("weight"))
+# communities, matchings and pivots have no SQL; tests/test_planning.py and tests/test_communities.py hold them against plain Python
+_add("x8_modularity_communities", "s", lambda s: md.modularity_communities(_OPPOSING(s)))
+_add("x9_correlation_clusters", "s", lambda s: co.correlation_clusters(_OPPOSING(s).where("weight > 0.1")))
+_PROFILE = lambda s: s.groupBy(F.floor(F.col("building_id") / 50).cast("long").alias("lv_group"), "building_id").agg(_SLOTS_OF("demand").alias("profile"))  # noqa: E731  fifty buildings a group, so that groups have several clusters
+_SLOTS_OF = lambda x: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.aggregate(F.filter(F.collect_list(F.struct(F.hour("ts").alias("h"), F.col(x).alias("v"))), lambda p: p["h"] == h), F.lit(0.0), lambda t, p: t + p["v"]), F.lit(0.0)))
+_add("x12_lv_group_clusters", "s", lambda s: co.lv_group_clustering(_PROFILE(s)))
+#: Three producers and three consumers to each six neighbours; whole euros, so the slack leaves one least total.
+_COSTS = lambda b: b.where("building_id % 6 < 3").select(F.floor(F.col("building_id") / 6).alias("g"), F.col("building_id").alias("a"), F.col("avg_kw").alias("x")).join(b.where("building_id % 6 >= 3").select(F.floor(F.col("building_id") / 6).alias("g"), F.col("building_id").alias("b"), F.col("avg_kw").alias("y")), "g").select("g", "a", "b", (F.floor(F.abs(F.col("x") - F.col("y"))) + (F.col("a") * 7 + F.col("b") * 5) % 11).cast("double").alias("cost"))
+_add(
+    "x15_assignment", "so", lambda b: au.assignment_matching(_COSTS(b), ["g"], precision=0.01, step=20.0).groupBy("g").agg(F.count("*").alias("pairs"), F.sum("cost").alias("cost")),
+    "+k AS (SELECT floor(building_id / 6.0) AS g, * FROM so), c AS (SELECT x.g, x.building_id % 6 AS i, y.building_id % 6 - 3 AS j, floor(abs(x.avg_kw - y.avg_kw)) + (x.building_id * 7 + y.building_id * 5) % 11 AS cost FROM k x JOIN k y ON x.g = y.g AND x.building_id % 6 < 3 AND y.building_id % 6 >= 3) "
+    "SELECT p.g::bigint AS g, 3::bigint AS pairs, min(p.cost + q.cost + t.cost)::double AS cost FROM c p JOIN c q ON q.g = p.g AND q.i = 1 AND q.j <> p.j JOIN c t ON t.g = p.g AND t.i = 2 AND t.j <> p.j AND t.j <> q.j WHERE p.i = 0 GROUP BY p.g",
+)
+_ITEMS = lambda b: b.select(F.col("building_id").alias("item_id"), (F.col("peak_kw") * (1 + F.col("building_id") % 7)).alias("value"), F.round("area", 2).alias("cost"))
+_add(
+    "x24_regional_mix", "b", lambda b: bu.regional_mix(_ITEMS(b), 50000.0).select("item_id", "value", "cost", "rank"),
+    "+i AS (SELECT building_id AS item_id, peak_kw * (1 + building_id % 7) AS value, round(area, 2) AS cost FROM b), k AS (SELECT *, row_number() OVER w AS rank, sum(cost) OVER w AS upto FROM i WINDOW w AS (ORDER BY round(value / cost, 9) DESC, item_id ROWS UNBOUNDED PRECEDING)) SELECT item_id, r(value) AS value, cost, rank::bigint AS rank FROM k WHERE upto <= 50000.0",
+)
+
+# ---- profiles of data
+_NUMBERS = ["demand", "generation", "building_id"]
+_MOMENTS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, r(100.0::double * (count(*) - count({c})) / count(*)) AS missing_pct, r(avg({c})) AS mean, r(stddev_samp({c})) AS std, min({c})::double AS min, max({c})::double AS max FROM s" for c in _NUMBERS)
+_DAILY = lambda s: dp.merged(dp.sketches(s.withColumn("day", F.to_date("ts")), _NUMBERS, ["event_type"], ["day"]))  # noqa: E731  day by day, then merged
+_add("r74_column_moments", "s", lambda s: dp.column_profile(_DAILY(s), _NUMBERS).select("column", "n", "missing_pct", "mean", "std", "min", "max"), _MOMENTS)
+_add("r74_correlated_pairs", "s", lambda s: dp.correlated_pairs(_DAILY(s), _NUMBERS), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, r(corr({a}, {b})) AS correlation FROM s" for a, b in (("demand", "generation"), ("demand", "building_id"), ("generation", "building_id"))))
+_add("r74_frequent_values", "s", lambda s: dp.frequent_values(_DAILY(s), "event_type", 3), "SELECT event_type AS value, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC LIMIT 3")
+# quartiles, distinct counts and outliers come from sketches; tests/test_tables.py bounds their error
+_add("r74_column_profile", "s", lambda s: dp.column_profile(_DAILY(s), _NUMBERS))
+
+
+# ---- tables that are written and read again, and streams over them
+def _star(s: DataFrame, b: DataFrame) -> DataFrame:
+    path = fresh(s.sparkSession, "states")
+    star.write_states(s.select("building_id", "ts", "demand", "generation"), path)
+    slots = star.slots_of(s).where("is_weekend AND part IN ('morning', 'evening')")
+    j = star.star_join(s.sparkSession, path, slots, b.where("function = 'residential'").select("building_id", "function", "cluster_id"), since="2024-01-03 05:00:00", until="2024-01-27 20:00:00")
+    return j.groupBy("cluster_id", "part").agg(F.count("*").alias("n"), F.sum("demand").alias("demand"), F.count_distinct("building_id").alias("buildings"))
+
+
+_add("j21_star_join", "s so", _star, "SELECT cluster_id, part, count(*) AS n, r(sum(demand)) AS demand, count(DISTINCT building_id) AS buildings FROM (SELECT so.cluster_id, s.*, CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(ts) >= 18 THEN 'evening' END AS part FROM s JOIN so USING (building_id) WHERE function = 'residential' AND isodow(ts) >= 6 AND ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-27 20:00:00') WHERE part IS NOT NULL GROUP BY ALL")
+_RESULTS = lambda b: b.select("building_id", F.col("suitable_area").alias("capacity"), (F.col("avg_kw") * (1 + F.col("building_id") % 3)).alias("score"), (5 + F.col("building_id") % 9).cast("double").alias("roi_years"))
+_add("a10_publish_ranked", "so", lambda b: pb.publish_ranked(_RESULTS(b), "solar", "score")[0], "SELECT building_id, row_number() OVER (ORDER BY avg_kw * (1 + building_id % 3) DESC, building_id) AS solar_rank, suitable_area AS solar_capacity, r(avg_kw * (1 + building_id % 3)) AS solar_score, (5 + building_id % 9)::double AS solar_roi_years FROM so")
+_add("a10_program", "so", lambda b: pb.publish_ranked(_RESULTS(b), "solar", "score")[1], "SELECT 'SOLAR' AS program, count(*) AS num, r(sum(suitable_area)) AS total_capacity_kwp, r(avg(5 + building_id % 9)) AS avg_roi_years FROM so")
+
+
+def _lineage(b: DataFrame) -> DataFrame:
+    spark, path = b.sparkSession, fresh(b.sparkSession, "lineage")
+    for i, (run, kind) in enumerate((("r1", "office"), ("r2", "residential"), ("r1", "office"))):  # the first run again
+        rows = b.where(F.col("function") == kind).select(F.col("building_id").alias("id"))
+        pb.append_lineage(spark, path, run, f"plan-{kind}", {"kind": kind}, {}, rows, f"2024-01-0{2 - i % 2} 00:00:00")
+    return pb.affected_by(spark, path).groupBy("run_id", "task").agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("first"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("day"))
+
+
+_add("a7_lineage", "so", _lineage, "SELECT CASE WHEN function = 'office' THEN 'r1' ELSE 'r2' END AS run_id, 'plan-' || function AS task, count(*) AS n, min(building_id) AS first, CASE WHEN function = 'office' THEN '2024-01-02' ELSE '2024-01-01' END AS day FROM so WHERE function IN ('office', 'residential') GROUP BY function")
+
+
+def _streamed(df: DataFrame, name: str, by: str) -> tuple[str, DataFrame]:
+    """(folder, stream) of df's rows as files, a batch a value of ``by``."""
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    for i, r in enumerate(df.select(by).distinct().orderBy(by).collect()):  # a few batches
+        df.where(F.col(by) == r[0]).coalesce(1).write.parquet(f"{path}/in/batch={i}")
+    return path, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/in/*")
+
+
+def _history(m: DataFrame) -> DataFrame:
+    """The newest state of each cluster after three batches of snapshots."""
+    spark = m.sparkSession
+    spark.conf.set(*mh.STATE_STORE)
+    rows = m.select("cluster_id", F.col("snapshot").cast("timestamp").alias("snapshot"), "building_id", (F.dayofmonth("snapshot") % 3).alias("part"))
+    path, stream = _streamed(rows, "history", "part")
+    out = f"{path}/out"
+    q = mh.membership_history(stream).writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda d, i: d.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}"))
+    q.start().awaitTermination()
+    done = spark.read.schema("cluster_id long, newest timestamp, snapshots long, members long, stability double, batch int").parquet(f"{out}/*")
+    last = done.groupBy("cluster_id").agg(F.max_by(F.struct("newest", "snapshots", "members", "stability"), "batch").alias("s"))
+    return last.select("cluster_id", F.to_date("s.newest").alias("newest"), "s.snapshots", "s.members", "s.stability")
+
+
+_add(
+    "st6_membership_history", "m", _history,
+    "+n AS (SELECT cluster_id, snapshot, count(*) AS n, dense_rank() OVER (PARTITION BY cluster_id ORDER BY snapshot DESC) AS k, lag(snapshot) OVER (PARTITION BY cluster_id ORDER BY snapshot) AS was FROM m GROUP BY 1, 2), "
+    "b AS (SELECT x.cluster_id, x.snapshot, count(*) AS both_in FROM m x JOIN n USING (cluster_id, snapshot) JOIN m y ON y.cluster_id = x.cluster_id AND y.building_id = x.building_id AND y.snapshot = n.was GROUP BY 1, 2), "
+    "j AS (SELECT n.cluster_id, n.k, coalesce(both_in, 0)::double / (n.n + o.n - coalesce(both_in, 0)) AS j FROM n JOIN n o ON o.cluster_id = n.cluster_id AND o.snapshot = n.was LEFT JOIN b ON b.cluster_id = n.cluster_id AND b.snapshot = n.snapshot WHERE n.k < 10) "
+    "SELECT n.cluster_id, max(snapshot) AS newest, least(count(*), 10)::bigint AS snapshots, arg_max(n, snapshot) AS members, (SELECT r(avg(j)) FROM j WHERE j.cluster_id = n.cluster_id) AS stability FROM n GROUP BY n.cluster_id",
+)
+
+
+def _weights(b: DataFrame) -> DataFrame:
+    """The weights after three batches of deployments, the second of which is run twice."""
+    spark, n = b.sparkSession, F.col("building_id")
+    d = b.select((1000 + n % 400).cast("double").alias("predicted_generation"), (1000 + n * 7 % 900).cast("double").alias("actual_generation"), (5 + n % 6).cast("double").alias("predicted_roi_years"), (5 + n % 5).cast("double").alias("actual_roi_years"), (n % 10 / 10).alias("predicted_sufficiency"), (n % 8 / 10).alias("actual_sufficiency"), (n % 3).alias("part"))
+    path, stream = _streamed(d, "feedback", "part")
+    fb.start(spark, f"{path}/weights")
+    learn = fb.learn(f"{path}/weights", rate=0.001)
+
+    def batch(rows: DataFrame, i: int) -> None:
+        learn(rows, i)
+        if i == 1:
+            learn(rows, i)
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    return fb.weights_before(spark, f"{path}/weights").select(*so.WEIGHTS)
+
+
+_add(
+    "st8_weight_feedback", "so", _weights,
+    "+d AS (SELECT building_id AS n, (abs(1000 + n % 400 - (1000 + n * 7 % 900)) / (1000 + n * 7 % 900 + 1e-6::double) + abs(n % 6 - n % 5) / (5 + n % 5 + 1e-6::double)) / 2 AS err FROM so), "
+    "f AS (SELECT count(*) FILTER (WHERE round(err, 9) > 0.2 AND n % 8 > n % 10) AS s, count(*) FILTER (WHERE round(err, 9) > 0.2 AND n % 5 < n % 6) AS o FROM d), "
+    "w AS (SELECT 0.3 * exp(s * ln(1 - 0.0005::double)) AS energy_label, 0.2 * exp(o * ln(1.001::double)) AS roof_potential, 0.2 * exp(o * ln(1 - 0.0005::double)) AS cascade_impact, 0.2 * exp(s * ln(1.001::double)) AS demand_match, 0.1::double AS cluster_benefit FROM f), "
+    "t AS (SELECT *, energy_label + roof_potential + cascade_impact + demand_match + cluster_benefit AS a FROM w) SELECT r(energy_label / a) AS energy_label, r(roof_potential / a) AS roof_potential, r(cascade_impact / a) AS cascade_impact, r(demand_match / a) AS demand_match, r(cluster_benefit / a) AS cluster_benefit FROM t",
+)

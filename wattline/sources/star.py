@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import _checkpoint
 from ..operators.profiles import timeslots
 
 #: Up to so many ids stand in the scan's own filter; more are a table whose values reach the scan at run time.
 LISTED = 1000
+#: Up to so many slots (a century of hours has fewer) are broadcast, once stored and counted.
+SLOTS = 1_000_000
 
 
 def write_states(states: DataFrame, path: str, files_a_day: int = 1) -> None:
@@ -27,7 +30,7 @@ def star_join(spark: SparkSession, path: str, slots: DataFrame, buildings: DataF
     """The fact's rows with their slot's and building's columns.
 
     slots: slot_id (yyyyMMdd_HHmm of the full hour) and any columns, filtered as wished: their days prune the fact's partitions at run time. buildings: building_id and any
-    columns. ids: a list, or a frame with building_id. since and until (timestamps, until excluded) become a filter on the partitions and on the rows. A
+    columns. They are stored and counted first. ids: a list, or a frame with building_id. since and until (timestamps, until excluded) become a filter on the partitions and on the rows. A
     state without a building or a slot in the dimensions is left out.
     """
     f = spark.read.parquet(path)
@@ -42,7 +45,8 @@ def star_join(spark: SparkSession, path: str, slots: DataFrame, buildings: DataF
         listed = spark.createDataFrame([(i,) for i in ids], "building_id long") if isinstance(ids, list) else ids.select("building_id").distinct()
         b = b.join(listed, "building_id", "left_semi")
     f = f.withColumn("slot_id", F.date_format("ts", "yyyyMMdd_HH00"))
-    s = days_of(slots)
+    s = _checkpoint(days_of(slots)).where(F.col("slot_id") > "")  # Spark prunes by a dimension only if that is filtered
+    s = F.broadcast(s) if s.count() <= SLOTS else s  # its days then reach the scan before it starts
     return f.join(s.drop(*(c for c in s.columns if c in f.columns and c not in ("slot_id", "day"))), ["day", "slot_id"]).join(b.drop(*(c for c in b.columns if c in f.columns and c != "building_id")), "building_id")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.spatial import wkt_points
 
+#: The columns of the two network files.
 NETWORKS = "id string, component_id int, x double, y double, mv_transformer_id string, capacity_kva int, geometry string"
+TRANSFORMERS = "id string, x double, y double, capacity_kva int, substation_id string, geometry string"
 
 
 def read_energy_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -16,11 +19,18 @@ def read_energy_profiles(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("timestamp", F.timestamp_millis("timestamp")) if dict(df.dtypes).get("timestamp") in ("bigint", "int") else df
 
 
-def read_network_csv(spark: SparkSession, path: str) -> DataFrame:
-    """LV networks or transformers; x and y come from the WKT column where they are missing."""
-    df = spark.read.csv(path, header=True, schema=NETWORKS)
-    parsed = wkt_points(df.select("id", "geometry"), "geometry").select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    return df.join(parsed, F.col("id") == F.col("_id"), "left").withColumns({"x": F.coalesce("x", "_x"), "y": F.coalesce("y", "_y")}).drop("_id", "_x", "_y")
+def read_network_csv(spark: SparkSession, path: str, schema: str = NETWORKS) -> DataFrame:
+    """LV networks, or with ``TRANSFORMERS`` the transformers, with schema's columns; x and y come from the WKT column where they are missing.
+
+    Columns are found by their name in the header, whatever their order; others are ignored and missing ones are null. A value
+    that is not of its column's type is null.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False)
+    have = {c.lower(): c for c in df.columns}
+    fields = StructType.fromDDL(schema).fields
+    df = df.select(*((F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields))
+    at = wkt_points(df.withColumns({"_x": F.col("x"), "_y": F.col("y")}), "geometry")  # its x and y are those of the text
+    return at.withColumns({"x": F.coalesce("_x", "x"), "y": F.coalesce("_y", "y")}).drop("_x", "_y")
 
 
 def read_relational(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
