@@ -107,12 +107,14 @@ _TWICE = "(SELECT 0 AS g UNION ALL SELECT 1 AS g) AS gs"
 SQL["h"] = f"SELECT {', '.join(HIERARCHY)} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey CROSS JOIN {_TWICE} WHERE g = 0 OR o_custkey % 5 = 0"
 #: The same buildings once, as connections.
 SQL["c"] = f"SELECT {', '.join(HIERARCHY)} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (SELECT 0 AS g) AS gs"
-_LINK = "l_linenumber IN (1, 2, 3, 4)"
+#: Line numbers are 1 to 7; four kinds of links are dealt over all of them.
+_KIND = "(l_linenumber - 1) % 4 + 1"
+_LEVEL = f"CASE {_KIND} WHEN 1 THEN 'LV' WHEN 4 THEN 'HV' ELSE 'MV' END"
 LINKS = [
-    "concat(CASE l_linenumber WHEN 1 THEN 'LV' WHEN 4 THEN 'HV' ELSE 'MV' END, '_', cast(l_suppkey AS varchar(20))) AS group_id", "CASE l_linenumber WHEN 1 THEN 'LV' WHEN 4 THEN 'HV' ELSE 'MV' END AS voltage_level",
-    "CASE WHEN l_linenumber <= 2 THEN 'TRANSFORMER' ELSE 'SUBSTATION' END AS station_type", "l_partkey % 997 AS station_fid", "min(l_quantity) AS distance_m", "max(1 - l_discount) AS confidence_score",
-]
-SQL["gs"] = f"SELECT {', '.join(LINKS)} FROM lineitem WHERE {_LINK} GROUP BY l_linenumber, l_suppkey, l_partkey % 997"
+    f"concat({_LEVEL}, '_', cast(l_suppkey AS varchar(20))) AS group_id", f"{_LEVEL} AS voltage_level", f"CASE WHEN {_KIND} <= 2 THEN 'TRANSFORMER' ELSE 'SUBSTATION' END AS station_type",
+    "l_partkey % 997 AS station_fid", "min(l_quantity) AS distance_m", "max(1 - l_discount) AS confidence_score",
+]
+SQL["gs"] = f"SELECT {', '.join(LINKS)} FROM lineitem GROUP BY {_KIND}, l_suppkey, l_partkey % 997"
 SEGMENTS = [
     "s_suppkey AS segment_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'MV' ELSE 'LV' END AS voltage_level", "s_suppkey % 20 AS group_id", "s_acctbal / 100.0 AS x0", "cast(s_suppkey % 50 AS double) * 2 AS y0",
     "s_acctbal / 100.0 + 3 + s_suppkey % 5 AS x1", "cast(s_suppkey % 50 AS double) * 2 + 1.25 AS y1", "s_acctbal / 100.0 + 5 + s_suppkey % 5 AS x2", "cast(s_suppkey % 50 AS double) * 2 - 3.5 AS y2",
@@ -121,11 +123,11 @@ SQL["sg"] = f"SELECT {', '.join(SEGMENTS)} FROM supplier"
 FOOTPRINTS = ["c_custkey AS building_id", "c_acctbal / 100.0 + 0.137 AS cx", "cast(c_custkey % 53 AS double) * 2 + 0.271 AS cy", "0.8 + c_custkey % 3 AS half", "c_mktsegment = 'BUILDING' AS non_residential", "c_custkey % 40 AS lv_group"]
 SQL["fp"] = f"SELECT {', '.join(FOOTPRINTS)} FROM customer"
 WALLS = [
-    "o_orderkey AS building_id", "o_custkey % 10 AS lv_group", "cast(o_orderkey % 89 AS double) * 0.9 AS x", "cast((o_orderkey * 7) % 83 AS double) * 0.9 AS y", "cast(o_orderkey % 4 AS double) AS north", "cast((o_orderkey + 1) % 3 AS double) AS east", "cast((o_orderkey + 2) % 5 AS double) AS south", "cast(o_orderkey % 2 AS double) AS west",
+    "o_orderkey AS building_id", "o_custkey % 10 AS lv_group", "cast(o_orderkey % 179 AS double) * 0.9 AS x", "cast((o_orderkey * 7) % 167 AS double) * 0.9 AS y", "cast(o_orderkey % 4 AS double) AS north", "cast((o_orderkey + 1) % 3 AS double) AS east", "cast((o_orderkey + 2) % 5 AS double) AS south", "cast(o_orderkey % 2 AS double) AS west",
     "CASE WHEN o_orderkey % 3 = 0 THEN 'non_residential' ELSE 'residential' END AS function", "CASE cast(o_orderkey % 4 AS int) WHEN 0 THEN 'vrijstaand' WHEN 1 THEN 'twee_onder_1_kap' WHEN 2 THEN 'rijtjeswoning' ELSE 'appartement' END AS housing_type",
     "o_orderkey % 5 = 0 AS has_solar", "o_orderkey % 11 = 0 AS has_battery", "o_orderkey % 13 = 0 AS has_heat_pump", "CASE WHEN o_orderkey % 7 < 3 THEN 'high' ELSE 'low' END AS solar_potential", "o_orderpriority AS district",
 ]
-SQL["wl"] = f"SELECT {', '.join(WALLS)} FROM orders WHERE o_orderkey % 4 = 1 OR o_orderstatus = 'P'"
+SQL["wl"] = f"SELECT {', '.join(WALLS)} FROM orders"
 
 
 def by_sql(name: str, *tables: str):
