@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Up to so many ids (8 bytes each) are broadcast; more meet the other side in a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows a record batch of texts; the session's own setting holds where it is smaller.
+BATCH_ROWS = 1_000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,12 @@ def sized(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand texts to Python in record batches of at most ``BATCH_ROWS`` rows: a batch is held in the executor and in its worker, twice while it grows."""
+    if not 0 < int(spark.conf.get(_BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with as many underscores before it as it takes to be none of ``columns`` (names differ by more than case)."""
     taken = {c.lower() for c in columns}
