@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from wattline.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from wattline.llm.queries import remainder, vocabulary
-from wattline.llm.shared import free_name, stored
+from wattline.llm.shared import free_name, small_batches, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(4) != 2)
     return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages go; a document of which nothing is left goes with them."""
+    small_batches(spark)
     was = free_name(docs.columns, "_was")
     done = line_dedup.dedup_lines(docs.withColumn(was, F.xxhash64("text")))
     cut = F.xxhash64("text") != F.col(was)
@@ -24,14 +26,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.one_per_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
