@@ -245,6 +245,37 @@ def test_cross_parsing_counts_longest_matches():
     assert [line[x:y].tobytes() for x, y in zip(at[:-1], at[1:])] == [b" Ab cd e", b"", b" f", b" gh"]
 
 
+def test_phrases_cross_the_blocks(monkeypatch):
+    """One pass over each text, whatever the blocks."""
+    rng = np.random.default_rng(5)
+    text = b" " + bytes(rng.choice(list(b"abc d"), 900).tolist()) + b"abcdabcd" * 40
+    texts = [bytes(rng.choice(list(b"abc dx"), n).tolist()) for n in (0, 1, 5, 300, 2000)] + [b"abcdabcd" * 100, b"x" * 700, text, text[17:800] * 2]
+    flat, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+
+    def parse(w):
+        n = 0
+        while w:
+            k = 1
+            while k < len(w) and w[: k + 1] in text:
+                k += 1
+            w, n = w[k:], n + 1
+        return n
+
+    for block in (1, 3, 64, 256, 10_000):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert language.Parser({"x": text}).phrases(flat, np.cumsum(size) - size, size)[:, 0].tolist() == [parse(t) for t in texts]
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    words = {"de": "und der die nicht ein schön größe straße ".split(), "en": "and the not one house light through ".split()}
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words[lang], 9000)), lang) for i, lang in enumerate(("de", "de", "de", "de", "en", "en"))]
+    learned = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"de", "en"} and all(8_000 < len(t) <= language.TEXT_BYTES + 1 for t in learned.values())
+    asked = spark.createDataFrame([(1, "die straße und der größe"), (2, "the light through the house")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(asked, learned).collect()} == {1: "de", 2: "en"}
+
+
 def test_language_equals_brute_force(spark, texts):
     """The query's prediction is the language of fewest phrases, parsed byte by byte."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -258,12 +289,12 @@ def test_language_equals_brute_force(spark, texts):
             continue
         for lang, text in learned.items():
             n = 0
-            for block in (raw[k : k + language.BLOCK] for k in range(0, len(raw), language.BLOCK)):
-                while block:
-                    k = 1
-                    while k < len(block) and block[: k + 1] in text:
-                        k += 1
-                    block, n = block[k:], n + 1
+            block = raw
+            while block:
+                k = 1
+                while k < len(block) and block[: k + 1] in text:
+                    k += 1
+                block, n = block[k:], n + 1
             rate[lang] = round(n * bits[lang] / len(raw), 9)
         assert got[i] == min(sorted(rate), key=rate.get)
 

@@ -1,14 +1,13 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton is built over running labelled text: whole documents of at most ``TEXT_BYTES``, in the
-order of a hash of their ids, as many as fit into ``TEXT_BYTES`` (from a sample of ``DOCS`` documents a language). A text is
+For each language a suffix automaton is built over running labelled text: documents, long ones in chunks of ``CHUNK`` characters, in the
+order of a hash of id and chunk, as many as fit into ``TEXT_BYTES`` (from a sample of ``DOCS`` documents a language). A text is
 parsed greedily into the longest phrases that occur in a language's text, across words, and the language needing the
 fewest normalised phrases wins: phrases x log2(length of its training text) per byte, the cross-parsing estimate of
 entropy, so languages with less training text are not favoured (ties: the alphabetically first).
 
-Texts and training texts are lower-cased letters with one blank for everything between words. Long texts are parsed in
-blocks of ``BLOCK`` bytes, each from the start state: the whole text is read, at a cost of at most one phrase a block that is
-the same for all languages. ``und`` (score 0) where a text is null or has no letter, or where nothing was learned. score
+Texts and training texts are lower-cased letters with one blank for everything between words. Long texts are read in
+blocks of ``BLOCK`` bytes side by side, whose phrases are then joined to those of one pass over the whole text. ``und`` (score 0) where a text is null or has no letter, or where nothing was learned. score
 is the winner's share of 2 ** (-8 x normalised phrases) over all languages.
 """
 
@@ -24,9 +23,11 @@ from pyspark.sql.window import Window
 
 from . import textkit as tk
 from .samples import sampled_ids
+from .shared import stored
 
 DOCS = 300
 TEXT_BYTES = 32_000
+CHUNK = 8_000
 BLOCK = 256
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -99,37 +100,80 @@ class Parser:
             self.tables.append(table)
 
     def phrases(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[blocks, languages]: greedy longest-match phrases of each block of bytes."""
-        n, longest = len(starts), int(lengths.max(initial=0))
-        order = np.argsort(-lengths, kind="stable")
-        alive = np.searchsorted(-lengths[order], -np.arange(longest), side="left")  # blocks still running at each position
-        coded, first = self.code[flat], starts[order]
-        out = np.zeros((n, len(self.langs)), np.int64)
-        states = [np.zeros(n, np.int32) for _ in self.tables]
-        counts = [np.ones(n, np.int64) for _ in self.tables]
-        for i in range(longest):
-            m = alive[i]
-            c = coded[first[:m] + i]
-            for table, state, count in zip(self.tables, states, counts, strict=True):
-                to = table[state[:m], c]
-                stop = np.flatnonzero(to < 0)
-                count[stop] += 1
-                again = table[0, c[stop]]
-                to[stop] = np.where(again < 0, len(table) - 1, again)
-                state[:m] = to
-        for k, count in enumerate(counts):
-            out[order, k] = count
+        """[texts, languages]: greedy longest-match phrases of each text, which is flat[start:start + length]."""
+        parts = -(-lengths // BLOCK)
+        text, before = np.repeat(np.arange(len(starts)), parts), np.cumsum(parts) - parts
+        at = (starts - BLOCK * before)[text] + BLOCK * np.arange(len(text))
+        size = np.minimum(BLOCK, (starts + lengths)[text] - at)
+        follows = np.ones(len(text), dtype=bool)
+        follows[before[parts > 0]] = False
+        coded, out = self.code[flat], np.zeros((len(starts), len(self.langs)), np.int64)
+        for k, table in enumerate(self.tables):
+            total = np.concatenate([[0], np.cumsum(_begins(table, coded, at, size, follows))])
+            out[:, k] = total[starts + lengths] - total[starts]
         return out
 
 
+def _begins(table: np.ndarray, coded: np.ndarray, at: np.ndarray, size: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Where a phrase begins. Blocks (at, size) are first read side by side, each from the start state; then every block that follows
+    another of its text is read on from the state in which that one ended, until a phrase begins where one began before:
+    from there on both readings agree. A block that was read to its end so, in another state, has the next one read again.
+    """
+    begins, end = np.zeros(len(coded), dtype=bool), np.zeros(len(at), np.int32)
+    order = np.argsort(-size, kind="stable")
+    longest, first = int(size.max(initial=0)), at[order]
+    running_ = np.searchsorted(-size[order], -np.arange(longest), side="left")  # blocks that reach each position
+    state, lost = np.zeros(len(at), np.int32), len(table) - 1
+    begins[at] = True
+    for i in range(longest):
+        m = running_[i]
+        pos = first[:m] + i
+        c = coded[pos]
+        to = table[state[:m], c]
+        stop = np.flatnonzero(to < 0)
+        begins[pos[stop]] = True
+        again = table[0, c[stop]]
+        to[stop] = np.where(again < 0, lost, again)
+        state[:m] = to
+    end[order] = state
+    todo = np.flatnonzero(follows)
+    while len(todo):
+        state, live = end[todo - 1], np.arange(len(todo))
+        open_ = np.ones(len(todo), dtype=bool)
+        for i in range(longest):
+            live = live[size[todo[live]] > i]
+            if not len(live):
+                break
+            pos = at[todo[live]] + i
+            c = coded[pos]
+            to = table[state[live], c]
+            stop = to < 0
+            met = stop & begins[pos]
+            begins[pos] = stop
+            again = table[0, c]
+            state[live] = np.where(stop, np.where(again < 0, lost, again), to)
+            open_[live[met]] = False
+            live = live[~met]
+        moved = open_ & (end[todo] != state)
+        end[todo[moved]] = state[moved]
+        after = todo[moved] + 1
+        after = after[after < len(at)]
+        todo = after[follows[after]]
+    return begins
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS, text_bytes: int = TEXT_BYTES) -> dict[str, bytes]:
     """Running training text of each language, from rows with a language."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    ids = sampled_ids(d.where((F.octet_length("text") <= text_bytes) & F.col("text").rlike(r"\p{L}")), "lang", docs_per_language)
-    texts = d.join(F.broadcast(ids), ["doc_id", "lang"]).where(F.octet_length("text") <= text_bytes)  # docs_per_language rows a language
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
-    size = F.sum(F.octet_length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    some = texts.select("lang", F.lower("text").alias("text"), size.alias("size"), F.row_number().over(order).alias("rank")).where((F.col("size") <= text_bytes) | (F.col("rank") == 1))
+    d = d.where(F.col("text").rlike(r"\p{L}"))
+    ids = sampled_ids(d, "lang", docs_per_language)
+    texts = stored(d.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "language-sample")  # docs_per_language rows a language
+    chunks = texts.select("doc_id", "lang", F.posexplode(F.expr(f"transform(sequence(0, (length(text) - 1) div {CHUNK}), k -> substring(text, k * {CHUNK} + 1, {CHUNK}))")).alias("k", "chunk"))
+    sizes = chunks.where(F.col("chunk").rlike(r"\p{L}")).select("doc_id", "lang", "k", F.octet_length("chunk").alias("n"), F.when(F.col("k") == 0, F.xxhash64("doc_id", F.lit(17))).otherwise(F.xxhash64("doc_id", F.lit(17), "k")).alias("order"))
+    order = Window.partitionBy("lang").orderBy("order", "doc_id", "k")
+    size = F.sum(F.col("n") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    some = sizes.select("doc_id", "lang", "k", size.alias("size"), F.row_number().over(order).alias("rank")).where((F.col("size") <= text_bytes) | (F.col("rank") == 1))
+    some = texts.join(F.broadcast(some), ["doc_id", "lang"]).select("lang", F.lower(F.expr(f"substring(text, k * {CHUNK} + 1, {CHUNK})")).alias("text"), "rank")  # text_bytes a language
     out: dict[str, list[bytes]] = {}
     for r in some.orderBy("lang", "rank").toLocalIterator():  # text_bytes a language
         raw = r.text.encode()
@@ -151,13 +195,9 @@ def predict(docs: DataFrame, texts: dict[str, bytes], id_col: str = "doc_id", te
         for b in tk.slices(batches, "text"):
             flat, bounds = running(*tk.flat_bytes(b.column("text")))
             n, size = b.num_rows, np.diff(bounds)
-            parts = -(-size // BLOCK)
-            doc = np.repeat(np.arange(n), parts)
-            start = np.repeat(bounds[:-1] - BLOCK * (np.cumsum(parts) - parts), parts) + BLOCK * np.arange(parts.sum())
             best, score = np.full(n, und), np.zeros(n)
-            if und and len(start):
-                phrases = parser.phrases(flat, start, np.minimum(BLOCK, bounds[doc + 1] - start))
-                rate = np.stack([np.bincount(doc, phrases[:, k], n) * parser.bits[k] for k in range(und)], axis=1) / np.maximum(size, 1)[:, None]
+            if und and len(flat):
+                rate = parser.phrases(flat, bounds[:-1], size) * parser.bits / np.maximum(size, 1)[:, None]
                 best = np.argmin(np.round(rate, 9), axis=1)
                 share = np.exp2(-8 * (rate - rate.min(axis=1, keepdims=True)))
                 score = share[np.arange(n), best] / share.sum(axis=1)
