@@ -118,3 +118,13 @@ def test_scanning_takes_linear_time(line):
     began = process_time()
     secrets.base_spans(text), secrets.confirmed_spans(text)
     assert process_time() - began < 3
+
+
+def test_forms_of_names(spark):
+    said = ["Mr. McDonald came.", "Mr. O'Brien and O'Brien left.", "Mr. J. Smith met Smith.", "Mr. JOHN SMITH spoke", "Mr. de la Cruz paid, Cruz too.", "Dear Anna, hi", "Juan de la Cruz lives", "Frau von der Leyen sagte", "Mark my words, USA", "Mr. Smith saw the van in the USA."]
+    hidden = [("McDonald",), ("O'Brien",), ("Smith", "J."), ("JOHN", "SMITH"), ("Cruz",), ("Anna",), ("Juan", "Cruz"), ("Leyen",), (), ("Smith",)]
+    rows = surrogates.pseudonymize(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), "key").collect()
+    for r in rows:
+        assert not any(name in r.text for name in hidden[r.doc_id]) and (r.n_entities > 0) == bool(hidden[r.doc_id])
+    text = {r.doc_id: r.text for r in rows}
+    assert text[8] == said[8] and text[9].endswith(" saw the van in the USA.") and text[1].split()[1] == text[1].split()[3] and text[2].split()[-1][:-1] in text[2].split()[2]

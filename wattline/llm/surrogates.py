@@ -2,7 +2,8 @@ r"""PII surrogates: detected entities get keyed, type-consistent replacements. D
 
 Kinds: e-mail addresses, IPv4 addresses, IBANs, phone numbers, card numbers, US social security numbers, secrets
 (``password=...``, AKIA ids) and names. A name is found after a title, after a cue (``Dear``, ``Name:``, ``Signed``), or
-where it begins with a common given name; every other mention of a found name in the same document, full or surname
+where it begins with a common given name; it may have inner capitals, apostrophes and words like ``de la``, behind a
+title also initials and capitals only. Every other mention of a found name in the same document, full or surname
 only, is found too.
 
 An entity is its kind with its canonical value (lower-cased address, digits with the country code, value of a secret);
@@ -59,13 +60,18 @@ COMMON = "James John Robert Michael William David Richard Joseph Thomas Charles
 CUES = ("Dear", "Signed", "Name", "Sincerely", "Regards", "Liebe", "Lieber", "Cher", "Chère", "Querido", "Querida", "Estimado", "Estimada")
 _TITLE = rf"(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.? "
 _CUE = rf"(?:{'|'.join(CUES)})[:,]? "
-_WORD = r"\p{Lu}\p{Ll}+"
+#: Words in small letters that names hold.
+PARTICLES = "al bin da das de del den der di do dos du el ibn la le van von zu"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?"  # also McDonald, O'Brien
+_WITHIN = rf"(?:(?:{'|'.join(PARTICLES.split())}) ){{0,3}}"
+_ANY_WORD = rf"{_WITHIN}(?:{_WORD}|\p{{Lu}}\.(?= )|\p{{Lu}}{{2,}}(?!\p{{L}}))"  # behind a title also initials and capitals
 _LEAD = rf"(?:(?:{_CUE})?(?:{_TITLE}){{1,2}}|{_CUE}(?={_WORD}[ ,.\n-])|(?=(?:{'|'.join(COMMON.split())})[ -]))"
-_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}}){_LEAD}{_WORD}(?:[ -]{_WORD}){{0,2}}(?!\p{{L}})"
+_TITLED = rf"(?:{_CUE})?(?:{_TITLE}){{1,2}}{_ANY_WORD}(?:[ -]{_ANY_WORD}){{0,2}}(?!\p{{L}})"
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLED}|{_LEAD}{_WORD}(?:[ -]{_WITHIN}{_WORD}){{0,2}}(?!\p{{L}}))"
 KINDS = {"secret": _SECRET, "email": _EMAIL, "ip": _IP, "iban": _IBAN, "ssn": _SSN, "card": _CARD, "phone": _PHONE, "name": _NAME}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Where none of these matches, ANY matches nowhere.
-MAY = rf"[0-9@]|[:=][ \"']*[A-Za-z+/_.=-]{{6}}|AKIA|{_TITLE}\p{{Lu}}|{_CUE}\p{{Lu}}|(?:{'|'.join(COMMON.split())})[ -]\p{{Lu}}"
+MAY = rf"[0-9@]|[:=][ \"']*[A-Za-z+/_.=-]{{6}}|AKIA|{_TITLE}(?:\p{{Lu}}|{'|'.join(PARTICLES.split())})|{_CUE}\p{{Lu}}|(?:{'|'.join(COMMON.split())})[ -](?:\p{{Lu}}|(?:{'|'.join(PARTICLES.split())}) )"
 #: Given names by gender and script, and syllables of names by script.
 GIVEN = {
     "latin": {"m": "Adam Bruno Carl David Erik Felix Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul Simon", "f": "Alma Bella Clara Diana Elsa Flora Hanna Irma Julia Karla Lena Maria Nora Olga Paula Sara", "n": "Alex Andrea Chris Dominique Jamie Jordan Kim Lou Marin Nikita Robin Sam Sascha Toni Yael Zoe"},
