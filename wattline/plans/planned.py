@@ -127,8 +127,8 @@ _add(
 )
 _ITEMS = lambda b: b.select(F.col("building_id").alias("item_id"), (F.col("peak_kw") * (1 + F.col("building_id") % 7)).alias("value"), F.round("area", 2).alias("cost"))
 _add(
-    "x24_regional_mix", "b", lambda b: bu.regional_mix(_ITEMS(b), 50000.0).select("item_id", "value", "cost", "rank"),
-    "+i AS (SELECT building_id AS item_id, peak_kw * (1 + building_id % 7) AS value, round(area, 2) AS cost FROM b), k AS (SELECT *, row_number() OVER w AS rank, sum(cost) OVER w AS upto FROM i WINDOW w AS (ORDER BY round(value / cost, 9) DESC, item_id ROWS UNBOUNDED PRECEDING)) SELECT item_id, r(value) AS value, cost, rank::bigint AS rank FROM k WHERE upto <= 50000.0",
+    "x24_regional_mix", "b", lambda b: bu.regional_mix(_ITEMS(b), 50000.0).select("item_id", "value", "cost"),
+    "+i AS (SELECT building_id AS item_id, peak_kw * (1 + building_id % 7) AS value, round(area, 2) AS cost FROM b), k AS (SELECT *, row_number() OVER w AS rank, sum(cost) OVER w AS upto FROM i WINDOW w AS (ORDER BY round(value / cost, 9) DESC, item_id ROWS UNBOUNDED PRECEDING)) SELECT item_id, r(value) AS value, cost FROM k WHERE upto <= 50000.0",
 )
 
 # ---- profiles of data
