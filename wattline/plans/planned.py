@@ -125,10 +125,10 @@ _add(
     "+k AS (SELECT floor(building_id / 6.0) AS g, * FROM so), c AS (SELECT x.g, x.building_id % 6 AS i, y.building_id % 6 - 3 AS j, floor(abs(x.avg_kw - y.avg_kw)) + (x.building_id * 7 + y.building_id * 5) % 11 AS cost FROM k x JOIN k y ON x.g = y.g AND x.building_id % 6 < 3 AND y.building_id % 6 >= 3) "
     "SELECT p.g::bigint AS g, 3::bigint AS pairs, min(p.cost + q.cost + t.cost)::double AS cost FROM c p JOIN c q ON q.g = p.g AND q.i = 1 AND q.j <> p.j JOIN c t ON t.g = p.g AND t.i = 2 AND t.j <> p.j AND t.j <> q.j WHERE p.i = 0 GROUP BY p.g",
 )
-_ITEMS = lambda b: b.select(F.col("building_id").alias("item_id"), (F.col("peak_kw") * (1 + F.col("building_id") % 7)).alias("value"), F.round("area", 2).alias("cost"))
+_ITEMS = lambda b: b.select(F.col("building_id").alias("item_id"), (F.col("peak_kw") * (1 + F.col("building_id") % 7)).alias("value"), F.ceil("area").cast("double").alias("cost"))
 _add(
     "x24_regional_mix", "b", lambda b: bu.regional_mix(_ITEMS(b), 50000.0).select("item_id", "value", "cost"),
-    "+i AS (SELECT building_id AS item_id, peak_kw * (1 + building_id % 7) AS value, round(area, 2) AS cost FROM b), k AS (SELECT *, row_number() OVER w AS rank, sum(cost) OVER w AS upto FROM i WINDOW w AS (ORDER BY round(value / cost, 9) DESC, item_id ROWS UNBOUNDED PRECEDING)) SELECT item_id, r(value) AS value, cost FROM k WHERE upto <= 50000.0",
+    "+i AS (SELECT building_id AS item_id, peak_kw * (1 + building_id % 7) AS value, ceil(area)::double AS cost FROM b), k AS (SELECT *, row_number() OVER w AS rank, sum(cost) OVER w AS upto FROM i WINDOW w AS (ORDER BY round(value / cost, 9) DESC, item_id ROWS UNBOUNDED PRECEDING)) SELECT item_id, r(value) AS value, cost FROM k WHERE upto <= 50000.0",
 )
 
 # ---- profiles of data
