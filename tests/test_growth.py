@@ -2,6 +2,7 @@
 
 import random
 
+from wattline.operators import connections as cn
 from wattline.operators import topology as tp
 
 LINKS = "group_id string, voltage_level string, station_type string, station_fid long, distance_m double, confidence_score double"
@@ -22,3 +23,23 @@ def test_parents_meet_only_those_that_can_be_best(spark):
     many = spark.range(5000).selectExpr("1L AS station_fid", "cast(id AS string) AS parent_group_id", "cast(id % 50 AS double) AS pd", "0.5 + id % 11 / 100 AS pc").withColumn("pc", tp.F.col("pc").cast("double"))
     children = spark.createDataFrame([(1, "a", 3.0, 0.9)], "station_fid long, child_group_id string, cd double, cc double")
     assert tp._candidates(many, children).count() == 1
+
+
+def test_nearest_segments_are_looked_for_near_first_and_once_a_shape(spark):
+    rng = random.Random(5)
+    point = lambda: (rng.uniform(0, 20), rng.uniform(0, 20))
+    lines = [[a, (a[0] + rng.uniform(-2, 2), a[1] + rng.uniform(-2, 2))] for a in (point() for _ in range(2500))]
+    lines += [[(100.0, 100.0), (104.0, 100.0)]]
+    rows = [(i, lines[i % len(lines)]) for i in range(2 * len(lines))]
+    s = spark.createDataFrame(rows, "segment_id long, geom array<struct<x:double,y:double>>")
+    homes = [(i, *point()) for i in range(60)] + [(60, 102.0, 104.9), (61, 102.0, 105.1)]
+
+    def away(line, x, y):
+        (ax, ay), (bx, by) = line
+        t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0), 1)
+        return ((ax + t * (bx - ax) - x) ** 2 + (ay + t * (by - ay) - y) ** 2) ** 0.5
+
+    want = {i: min(range(len(lines)), key=lambda k: (away(lines[k], x, y), k)) for i, x, y in homes[:61]}
+    assert len(cn._radii(s.selectExpr("geom[0] AS a", "geom[1] AS b"), 5.0)) > 2
+    got = cn.nearest_segment(spark.createDataFrame(homes, "building_id long, x double, y double"), s, 5.0).collect()
+    assert {r.building_id: r.segment_id for r in got} == want
