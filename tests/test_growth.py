@@ -2,7 +2,9 @@
 
 import random
 
+from wattline.operators import adjacency as ad
 from wattline.operators import connections as cn
+from wattline.operators import spatial
 from wattline.operators import topology as tp
 
 LINKS = "group_id string, voltage_level string, station_type string, station_fid long, distance_m double, confidence_score double"
@@ -43,3 +45,21 @@ def test_nearest_segments_are_looked_for_near_first_and_once_a_shape(spark):
     assert len(cn._radii(s.selectExpr("geom[0] AS a", "geom[1] AS b"), 5.0)) > 2
     got = cn.nearest_segment(spark.createDataFrame(homes, "building_id long, x double, y double"), s, 5.0).collect()
     assert {r.building_id: r.segment_id for r in got} == want
+
+
+def test_places_are_compared_and_not_copies(spark):
+    copies = spark.range(30000).selectExpr("id", "cast(id % 3 AS double) AS x", "0.0D AS y")
+    apart = spark.createDataFrame([(30000, None, 1.0), (30001, float("nan"), 1.0), (30002, 2.5, 0.0), (30003, 9.0, 9.0)], "id long, x double, y double")
+    points = copies.unionByName(apart)
+    got = {r.group_id: r["count"] for r in spatial.snapped_groups(points, 0.55).groupBy("group_id").count().collect()}
+    assert got == {0: 10000, 1: 10000, 2: 10001, 30000: 1, 30001: 1, 30003: 1}
+    near = spatial.knn_within(points, points, 0.55, 2)
+    assert near.count() == 2 * 30001 + 1 and {r.right_id for r in near.where("left_id = 30002").collect()} == {30002, 2}
+
+
+def test_apartments_that_share_a_cell_are_not_paired(spark):
+    flats = spark.range(20000).selectExpr("id AS building_id", "1L AS lv_group", "'A' AS district", "'appartement' AS housing_type", "id % 30 / 1.0D AS x", "0.0D AS y")
+    lone = [(20000, 1, "A", "appartement", 78.0, 0.0), (20001, 1, "A", "appartement", 200.0, 0.0), (5, 2, "A", "appartement", 0.0, 0.0), (6, 2, "A", "appartement", 50.0, 0.0), (7, 3, "A", "appartement", 34.0, 0.0), (8, 3, "A", "appartement", 83.9, 0.0)]
+    walls = flats.unionByName(spark.createDataFrame(lone, flats.schema))
+    got = {(r.lv_group, r.cluster_id, r.members) for r in ad.apartment_clusters(walls, walls.limit(0)).collect()}
+    assert got == {(1, 0, 20001), (3, 7, 2)}
