@@ -2,10 +2,15 @@
 
 import random
 
+import duckdb
+from pyspark.sql import functions as F
+
 from wattline.operators import adjacency as ad
+from wattline.operators import communities as co
 from wattline.operators import connections as cn
 from wattline.operators import spatial
 from wattline.operators import topology as tp
+from wattline.plans import registry
 
 LINKS = "group_id string, voltage_level string, station_type string, station_fid long, distance_m double, confidence_score double"
 
@@ -63,3 +68,15 @@ def test_apartments_that_share_a_cell_are_not_paired(spark):
     walls = flats.unionByName(spark.createDataFrame(lone, flats.schema))
     got = {(r.lv_group, r.cluster_id, r.members) for r in ad.apartment_clusters(walls, walls.limit(0)).collect()}
     assert got == {(1, 0, 20001), (3, 7, 2)}
+
+
+def test_scores_round_half_way_as_in_duckdb(spark):
+    values = [0.35 * k / 256 + 0.3 * j / 256 for k in range(0, 257, 4) for j in range(0, 257, 4)]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", registry.scaled_round(F.col("v"), 9).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [r[0] for r in duckdb.connect().execute("SELECT round(v, 9) FROM (SELECT unnest(?) AS v)", [values]).fetchall()]
+
+
+def test_bins_and_their_range_come_from_one_evaluation(spark):
+    s = spark.range(240).selectExpr("1L AS lv_group", "id % 4 AS building_id", "cast(id % 24 AS int) AS slot", "id / 7.0D AS v").groupBy("lv_group", "building_id", "slot").agg(F.avg("v").alias("demand"))
+    plan = co.mutual_information(s)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(demand" in plan and all("Window" in line for line in plan.splitlines() if "min(demand" in line)
