@@ -80,3 +80,10 @@ def test_bins_and_their_range_come_from_one_evaluation(spark):
     s = spark.range(240).selectExpr("1L AS lv_group", "id % 4 AS building_id", "cast(id % 24 AS int) AS slot", "id / 7.0D AS v").groupBy("lv_group", "building_id", "slot").agg(F.avg("v").alias("demand"))
     plan = co.mutual_information(s)._jdf.queryExecution().optimizedPlan().toString()
     assert "min(demand" in plan and all("Window" in line for line in plan.splitlines() if "min(demand" in line)
+
+
+def test_a_rate_is_found_once_for_each_saving(spark):
+    b = spark.range(3000).withColumnRenamed("id", "building_id")
+    plan = registry._irr(b)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "sequence(" in line or "aggregate(" in line)
+    assert any("Aggregate [yearly" in line for line in plan[first:]) and registry._irr(b).count() == 3000
