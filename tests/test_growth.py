@@ -87,3 +87,43 @@ def test_a_rate_is_found_once_for_each_saving(spark):
     plan = registry._irr(b)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = next(i for i, line in enumerate(plan) if "sequence(" in line or "aggregate(" in line)
     assert any("Aggregate [yearly" in line for line in plan[first:]) and registry._irr(b).count() == 3000
+
+
+WALLS = "building_id long, lv_group long, x double, y double, north double, east double, south double, west double, function string, housing_type string, has_solar boolean, solar_potential string"
+
+
+def test_shared_walls_are_counted_by_kinds_of_houses(spark):
+    rng = random.Random(11)
+    length = lambda: rng.choice((0.0, 0.0, 1.0, 2.0, 3.0, 4.5))
+    rows = [(i, i % 2, rng.randrange(40) * 0.8 + 30 * (i % 3), rng.randrange(40) * 0.8, length(), length(), length(), length(), rng.choice("ab"), rng.choice(("rijtjeswoning", "vrijstaand")), rng.random() < 0.5, rng.choice("hl")) for i in range(500)]
+    rows += [(600, 0, None, 1.0, 1.0, 1.0, 1.0, 1.0, "a", "b", True, "h"), (601, 0, float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0, "a", "b", True, "h"), (602, 0, 1.0, 1.0, None, 1.0, None, 1.0, None, "b", True, "h")]
+    walls = spark.createDataFrame(rows, WALLS)
+    edges = [r for r in ad.adjacency_edges(walls.where("building_id <> 601")).collect()]
+    want = {}
+    for r in edges:
+        want.setdefault(r.src, []).append(r)
+    got = {r.building_id: r for r in ad.building_metrics(walls).collect()}
+    assert len(got) == len(rows) and sum(r.neighbours for r in got.values()) == len(edges) > 500
+    for i, r in got.items():
+        e = want.get(i, [])
+        assert r.neighbours == len(e) and r.walls == ",".join(sorted({x.my_wall for x in e})) and r.best_potential == max((x.potential for x in e), default=0.0)
+        assert abs(r.avg_strength - (sum(x.strength for x in e) / len(e) if e else 0)) < 1e-9
+    assert {r.priority: r.edges for r in ad.potential_by_priority(walls).collect()} == {p: sum(x.priority == p for x in edges) for p in {x.priority for x in edges}}
+    both = next(r for r in ad.validation(walls).collect() if r.check == "reciprocal")
+    assert both.total == both.correct == len(edges) // 2
+    ok = {r.building_id for r in ad.wall_counts(walls).where("adjacency_type IN ('MIDDLE_ROW', 'END_ROW', 'CORNER')").collect()}
+    parts = {r.node: r.component for r in ad.connected_components(spark.createDataFrame([(x.src, x.dst) for x in edges if x.src in ok and x.dst in ok], "src long, dst long")).collect()}
+    kinds = {r.building_id: r.adjacency_type for r in ad.wall_counts(walls).collect()}
+    groups = {}
+    for i, c in parts.items():
+        groups.setdefault(c, []).append(i)
+    assert len(groups) > 2
+    assert {(r.building_id, r.cluster_id) for r in ad.row_clusters(walls).collect()} == {(i, c) for c, m in groups.items() if len(m) >= 3 and any(kinds[j] != "CORNER" for j in m) for i in m}
+
+
+def test_copies_of_houses_make_no_more_bundles(spark):
+    walls = spark.range(60000).selectExpr("id AS building_id", "0L AS lv_group", "id % 3 * 2.0D AS x", "0.0D AS y", "0.0D AS north", "1.0D AS east", "0.0D AS south", "1.0D AS west")
+    bundles = ad.edge_bundles(walls)
+    assert bundles.count() == 4 and bundles.selectExpr("sum(copies * n) AS n").first().n == 6 * 20000**2
+    assert {r.neighbours for r in ad.neighbour_counts(walls, bundles).collect()} == {40000}
+    assert ad.row_clusters(walls).where("cluster_id = 0").count() == 60000
