@@ -10,6 +10,7 @@ from wattline.operators import communities as co
 from wattline.operators import connections as cn
 from wattline.operators import spatial
 from wattline.operators import topology as tp
+from wattline.plans import bindings as at
 from wattline.plans import registry
 
 LINKS = "group_id string, voltage_level string, station_type string, station_fid long, distance_m double, confidence_score double"
@@ -127,3 +128,14 @@ def test_copies_of_houses_make_no_more_bundles(spark):
     assert bundles.count() == 4 and bundles.selectExpr("sum(copies * n) AS n").first().n == 6 * 20000**2
     assert {r.neighbours for r in ad.neighbour_counts(walls, bundles).collect()} == {40000}
     assert ad.row_clusters(walls).where("cluster_id = 0").count() == 60000
+
+
+def test_edges_are_dealt_over_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(at, "TASK_ROWS", 500)
+    spark.range(20000).selectExpr("id % 100 AS l_suppkey", "id AS l_partkey", "1.0D AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    was = spark.conf.get(key, None)
+    try:
+        assert at.edges(spark, str(tmp_path)).count() == 20000 and int(spark.conf.get(key)) == 40
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
