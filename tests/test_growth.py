@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from wattline.operators import adjacency as ad
+from wattline.operators import budget
 from wattline.operators import communities as co
 from wattline.operators import connections as cn
 from wattline.operators import spatial
@@ -139,3 +140,16 @@ def test_edges_are_dealt_over_tasks_by_their_number(spark, tmp_path, monkeypatch
         assert at.edges(spark, str(tmp_path)).count() == 20000 and int(spark.conf.get(key)) == 40
     finally:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def test_prices_without_groups_are_tried_without_a_shuffle(spark, monkeypatch):
+    items = spark.range(500).selectExpr("id AS item_id", "cast(1 + id * 7 % 101 AS double) AS value", "cast(1 + id % 13 AS double) AS cost")
+    alone = budget.budgeted_mix(items, 300.0)
+    grouped = budget.budgeted_mix(items.withColumn("k", F.col("item_id")), 300.0, "k")
+    key = lambda df: sorted((r.item_id, r.value, r.cost, r.rank) for r in df.collect())
+    assert key(alone[0]) == key(grouped[0]) and abs(alone[1] - grouped[1]) < 1e-6
+    seen, frame = [], type(items)
+    was = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *c: seen.append(c) or was(self, *c))
+    budget.budgeted_mix(items, 300.0)
+    assert not [c for c in seen if c == ("g",)]
