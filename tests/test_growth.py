@@ -151,3 +151,27 @@ def test_prices_without_groups_are_tried_without_a_shuffle(spark, monkeypatch):
     assert not [c for c in seen if c == ("g",)]
     rows = got.collect()
     assert sum(r.cost for r in rows) <= 300 and abs(sum(r.value for r in rows) + gap - bound) < 1e-6 and gap < 102
+
+
+def test_houses_are_paired_by_places_that_face_each_other(spark, monkeypatch):
+    monkeypatch.setattr(ad, "CROWD", 4)
+    rng = random.Random(12)
+    length = lambda: rng.choice((0.0, None, 1.0, 2.0, 3.0))
+    rows = [(i, i % 2, rng.randrange(6) * 1.3, rng.randrange(6) * 1.3, length(), length(), length(), length(), rng.choice("ab"), "v", rng.random() < 0.5, rng.choice("hl")) for i in range(400)]
+    facing = (("north", 4, 6), ("south", 6, 4), ("east", 5, 7), ("west", 7, 5))
+
+    def match(a, b):
+        dx, dy = b[2] - a[2], b[3] - a[3]
+        for name, m, t in facing:
+            ahead = {"north": dy > 0, "south": dy < 0, "east": dx > 0, "west": dx < 0}[name]
+            if ahead and (a[m] or 0) > 0 and (b[t] or 0) > 0 and abs(dx if name in ("north", "south") else dy) < 3:
+                return (name, min(a[m], b[t]) / max(a[m], b[t])) if min(a[m], b[t]) / max(a[m], b[t]) > 0.5 else None
+
+    want = {(a[0], b[0]): match(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and ((b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2) ** 0.5 < 5 and match(a, b)}
+    walls = spark.createDataFrame(rows, WALLS)
+    got = ad.adjacent_pairs(walls).collect()
+    assert len(got) == len(want) > 1000 and {(r.a_building_id, r.b_building_id): (r.match.mine, r.match.quality) for r in got} == want
+    edges = ad.adjacency_edges(walls)
+    assert edges.count() == 2 * len(want) and edges.select("src", "dst").distinct().count() == 2 * len(want)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join") == 1  # pairs are found once
