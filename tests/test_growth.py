@@ -9,6 +9,7 @@ from wattline.operators import adjacency as ad
 from wattline.operators import budget
 from wattline.operators import communities as co
 from wattline.operators import connections as cn
+from wattline.operators import interventions as iv
 from wattline.operators import spatial
 from wattline.operators import topology as tp
 from wattline.plans import bindings as at
@@ -175,3 +176,29 @@ def test_houses_are_paired_by_places_that_face_each_other(spark, monkeypatch):
     assert edges.count() == 2 * len(want) and edges.select("src", "dst").distinct().count() == 2 * len(want)
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("Join") == 1  # pairs are found once
+
+
+def test_interventions_compare_a_pair_once_and_rounds_shrink(spark, monkeypatch):
+    pairs = [(a, b) for a in range(12) for b in range(a, 12) if (a * 7 + b * 5) % 3 == 0]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:20]], "src long, dst long")
+    vector = {n: [float(n % 3), float(n % 5), 1.0] if n else [0.0, 0.0, 0.0] for n in range(12)}
+    near = {n: {b for a, b in pairs if a == n} | {a for a, b in pairs if b == n} for n in range(12)}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)) if norm(a) and norm(b) else 0.0
+    bridge = {n: sum(1 - cosine(vector[n], vector[m]) for m in near[n]) for n in range(12)}
+    nodes = spark.createDataFrame(list(vector.items()), "node long, embedding array<double>")
+    got = {r.node: r.position for r in iv.position_value(nodes, edges).collect()}
+    most, widest = max(map(len, near.values())), max(bridge.values())
+    assert {n: round(p, 9) for n, p in got.items()} == {n: round(0.5 * len(near[n]) / most + 0.5 * bridge[n] / widest, 9) for n in range(12) if near[n]}
+    sizes, was = [], iv._between
+    monkeypatch.setattr(iv, "_between", lambda e, left, d: sizes.append(e.count()) or was(e, left, d))
+    path = spark.range(60).selectExpr("id AS src", "id + 1 AS dst")
+    scored = spark.range(61).selectExpr("id AS node", "cast(id * 11 % 61 AS double) AS score")
+    for distance in (1, 2):
+        del sizes[:]
+        want = []
+        for n in sorted(range(61), key=lambda n: -(n * 11 % 61)):
+            if all(abs(n - m) > distance for m in want):
+                want.append(n)
+        assert {r.node for r in iv.spaced_selection(scored, path, distance).collect()} == set(want)
+        assert distance > 1 or len(sizes) > 1 and sizes[-1] < sizes[0]
