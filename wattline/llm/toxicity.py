@@ -48,7 +48,7 @@ COST = 5.0
 LOOK_ALIKE = 0.3
 THRESHOLD = 0.3
 #: Text bytes taken at once: a worker's memory goes with them.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 BITS = 18
 
 _ALNUM = np.zeros(256, dtype=bool)
