@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattline.operators import adjacency as ad
 from wattline.operators import budget
 from wattline.operators import communities as co
+from wattline.operators import components as cc
 from wattline.operators import connections as cn
 from wattline.operators import interventions as iv
 from wattline.operators import spatial
@@ -202,3 +203,12 @@ def test_interventions_compare_a_pair_once_and_rounds_shrink(spark, monkeypatch)
                 want.append(n)
         assert {r.node for r in iv.spaced_selection(scored, path, distance).collect()} == set(want)
         assert distance > 1 or len(sizes) > 1 and sizes[-1] < sizes[0]
+
+
+def test_rounds_broadcast_only_small_tables(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    was = [spark.conf.get(k, None) for k in keys]
+    plan = lambda n: spark.range(10**6).join(spark.range(n), "id")._jdf.queryExecution().executedPlan().toString()
+    with cc.small_broadcasts(spark):
+        assert "BroadcastHashJoin" in plan(1000) and "BroadcastHashJoin" not in plan(100_000)
+    assert [spark.conf.get(k, None) for k in keys] == was and "BroadcastHashJoin" in plan(100_000)
