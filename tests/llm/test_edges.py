@@ -1,7 +1,11 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, for every operator."""
 
+import random
+import re
+
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from wattline.llm import bpe, decontaminate, language, line_dedup, ngram_join, quality, rans, secrets, surrogates, toxicity
 
@@ -128,3 +132,16 @@ def test_forms_of_names(spark):
         assert not any(name in r.text for name in hidden[r.doc_id]) and (r.n_entities > 0) == bool(hidden[r.doc_id])
     text = {r.doc_id: r.text for r in rows}
     assert text[8] == said[8] and text[9].endswith(" saw the van in the USA.") and text[1].split()[1] == text[1].split()[3] and text[2].split()[-1][:-1] in text[2].split()[2]
+
+
+def test_lines_are_counted_by_one_pattern(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(" \t\n\x0b\f\r.!?abé") for _ in range(rng.randrange(14))) for _ in range(3000)]
+    want = []
+    for t in texts:
+        words = list(re.finditer(r"[^ \t-\r]+", t))
+        want.append(sum(not i or "\n" in t[words[i - 1].end() : w.start()] or words[i - 1].group()[-1] in ".!?" for i, w in enumerate(words)))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", line_dedup.line_count(F.col("t")).alias("n"))
+    assert [r.n for r in df.orderBy("i").collect()] == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") == 1

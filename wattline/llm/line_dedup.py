@@ -166,8 +166,8 @@ def whole_lines(gone: np.ndarray, words: np.ndarray, min_words: int) -> int:
 
 def line_count(text: F.Column) -> F.Column:
     """The number of lines: of words that are a text's first, or follow a newline or a word that ends in . ! ?"""
-    later = F.regexp_count(text, F.lit(r"(?:[.!?][ \t-\r]++|[^ \t-\r][ \t\x0B-\r]*+\n[ \t-\r]*+)(?=[^ \t-\r])"))
-    return later + F.regexp_like(text, F.lit(r"[^ \t-\r]")).cast("int")
+    inner = F.trim(text, F.lit(" \t\n\x0b\f\r"))  # each gap that is left has words on both sides, and is matched once
+    return F.regexp_count(inner, F.lit(r"[.!?\n](?:(?<=\n)|[ \t-\r])[ \t-\r]*+")) + (inner != "").cast("int")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
