@@ -212,3 +212,24 @@ def test_rounds_broadcast_only_small_tables(spark):
     with cc.small_broadcasts(spark):
         assert "BroadcastHashJoin" in plan(1000) and "BroadcastHashJoin" not in plan(100_000)
     assert [spark.conf.get(k, None) for k in keys] == was and "BroadcastHashJoin" in plan(100_000)
+
+
+def test_dealt_edges_are_not_merged_into_few_tasks(spark, tmp_path, monkeypatch):
+    keys = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    was = [spark.conf.get(k, None) for k in keys]
+    monkeypatch.setattr(at, "TASK_ROWS", 500)
+    monkeypatch.setattr(at, "TASK_BYTES", 8 << 10, raising=False)
+    spark.conf.unset(keys[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    spark.range(40000).selectExpr("id % 100 AS l_suppkey", "id AS l_partkey", "1.0D AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    try:
+        e = at.edges(spark, str(tmp_path))
+        tasks = e.groupBy("dst").count().select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 20
+        spark.conf.set(keys[1], "64m")
+        at.edges(spark, str(tmp_path))
+        assert spark.conf.get(keys[1]) == "64m"  # the session's own stays
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        for k, v in zip(keys, was, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
