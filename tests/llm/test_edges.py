@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,14 @@ def test_lines_are_counted_by_one_pattern(spark):
     assert [r.n for r in df.orderBy("i").collect()] == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") + plan.count("RLIKE") == 1
+
+
+def test_a_tokenizer_keeps_the_pieces_of_earlier_slices():
+    tok = rans.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    tok.piece = lambda p: asked.append(p) or b"\x05\x00"
+    slices = [pa.array([" ".join(f"w{i}" for i in range(at, at + 80_000))]) for at in range(0, 320_000, 80_000)]
+    for _ in range(2):
+        for s in slices:
+            assert len(tok.encode(s, 1)[0].as_py()) == 2 * 80_001
+    assert len(asked) == 320_000  # once each

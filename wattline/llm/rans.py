@@ -48,8 +48,8 @@ BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 128
 FILE_TOKENS = 1 << 25
 SLICE_BYTES = 4 << 20
-#: A worker keeps the ids of so many pieces, twice over, and none of more than CACHED_CHARS characters, so both bound its bytes.
-CACHED_WORDS, CACHED_CHARS = 100_000, 64
+#: A worker keeps the ids of so many pieces, twice over, and none of more than CACHED_CHARS characters, so both bound its bytes; with fewer, those of one slice drive out the last one's.
+CACHED_WORDS, CACHED_CHARS = 400_000, 64
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 
