@@ -66,6 +66,29 @@ def test_places_are_compared_and_not_copies(spark):
     assert near.count() == 2 * 30001 + 1 and {r.right_id for r in near.where("left_id = 30002").collect()} == {30002, 2}
 
 
+def test_dense_segments_are_not_copied_to_small_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    start = lambda: (rng.uniform(0, 30), rng.uniform(0, 30))
+    lines = [(i, [a, (a[0] + rng.uniform(2, 6), a[1] - rng.uniform(2, 6))]) for i, a in enumerate(start() for _ in range(1500))]
+    odd = [(1500, [(80.0, 80.0), (80.0, 80.0)]), (1501, [(80.0, 80.0), (80.0, 80.0)]), (1502, [(float("nan"), 1.0), (2.0, 2.0)])]
+    homes = [(i, *start()) for i in range(400)] + [(400, 80.0, 85.0), (401, 80.0, 85.001), (402, None, 1.0), (403, float("nan"), 1.0), (404, -3.0, -4.0)]
+    sides, cells = [], cn._cells
+    monkeypatch.setattr(cn, "_cells", lambda parts, r, around=0: sides.append(r) or cells(parts, r, around))
+    monkeypatch.setattr(cn, "BLOCK", 500)
+    monkeypatch.setattr(cn, "CROWD", 7)
+    frames = spark.createDataFrame(homes, "building_id long, x double, y double"), spark.createDataFrame(lines + odd, "segment_id long, geom array<struct<x:double,y:double>>")
+    got = {r.building_id: (r.segment_id, round(r.distance, 9)) for r in cn.nearest_segment(*frames, 5.0).collect()}
+
+    def away(line, x, y):
+        (ax, ay), (bx, by) = line
+        t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0), 1)
+        return ((ax + t * (bx - ax) - x) ** 2 + (ay + t * (by - ay) - y) ** 2) ** 0.5
+
+    want = {i: min((away(line, x, y), k) for k, line in lines) for i, x, y in homes[:400] + homes[404:]}
+    assert got == {i: (k, round(d, 9)) for i, (d, k) in want.items() if d <= 5} | {400: (1500, 5.0)}
+    assert set(sides) == {5.0}  # halves of r would copy a part to ever more cells
+
+
 def test_apartments_that_share_a_cell_are_not_paired(spark):
     flats = spark.range(20000).selectExpr("id AS building_id", "1L AS lv_group", "'A' AS district", "'appartement' AS housing_type", "id % 30 / 1.0D AS x", "0.0D AS y")
     lone = [(20000, 1, "A", "appartement", 78.0, 0.0), (20001, 1, "A", "appartement", 200.0, 0.0), (5, 2, "A", "appartement", 0.0, 0.0), (6, 2, "A", "appartement", 50.0, 0.0), (7, 3, "A", "appartement", 34.0, 0.0), (8, 3, "A", "appartement", 83.9, 0.0)]
