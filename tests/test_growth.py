@@ -11,7 +11,7 @@ from wattline.operators import communities as co
 from wattline.operators import components as cc
 from wattline.operators import connections as cn
 from wattline.operators import interventions as iv
-from wattline.operators import spatial
+from wattline.operators import ranking, spatial
 from wattline.operators import topology as tp
 from wattline.plans import bindings as at
 from wattline.plans import registry
@@ -103,6 +103,18 @@ def test_scores_round_half_way_as_in_duckdb(spark):
     assert [r.r for r in got] == [r[0] for r in duckdb.connect().execute("SELECT round(v, 9) FROM (SELECT unnest(?) AS v)", [values]).fetchall()]
 
 
+def test_ranks_hold_though_quantiles_come_out_differently_each_time(spark, monkeypatch):
+    again = F.udf(lambda q: [x + 50 * random.SystemRandom().random() for x in q], "array<double>").asNondeterministic()
+    approx = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: again(approx(*a)))  # blocks of a shuffle arrive in any order
+    rows = spark.range(5000).selectExpr("id", "id % 2 AS program", "cast(id * 7919 % 701 AS double) AS score")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # the quantiles themselves are computed behind the exchange, once a use
+    got = {(r.program, r.rank): (-r.score, r.id) for r in ranking.running(rows, ["program"], "score", "id").collect()}
+    spark.conf.unset("spark.sql.exchange.reuse")
+    want = {p: sorted((-float(i * 7919 % 701), i) for i in range(p, 5000, 2)) for p in (0, 1)}
+    assert got == {(p, n): v for p, all_ in want.items() for n, v in enumerate(all_, 1)}
+
+
 def test_bins_and_their_range_come_from_one_evaluation(spark):
     s = spark.range(240).selectExpr("1L AS lv_group", "id % 4 AS building_id", "cast(id % 24 AS int) AS slot", "id / 7.0D AS v").groupBy("lv_group", "building_id", "slot").agg(F.avg("v").alias("demand"))
     plan = co.mutual_information(s)._jdf.queryExecution().optimizedPlan().toString()
