@@ -103,6 +103,14 @@ def test_scores_round_half_way_as_in_duckdb(spark):
     assert [r.r for r in got] == [r[0] for r in duckdb.connect().execute("SELECT round(v, 9) FROM (SELECT unnest(?) AS v)", [values]).fetchall()]
 
 
+def test_results_round_the_scaled_double_as_in_duckdb(spark):
+    rng = random.Random(2)
+    values = [0.17324967, 0.72324967, -0.00001, -0.25005, 1e15 + 0.3, 123456789.12345, float("inf"), float("nan"), 0.0] + [rng.uniform(-1000, 1000) for _ in range(3000)] + [k / 8e4 - registry.NUDGE for k in range(2000)]
+    got = registry.rounded(spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double")).orderBy("i").collect()
+    want = duckdb.connect().execute(f"SELECT round(v + {registry.NUDGE}, 4) FROM (SELECT unnest(?) AS v)", [[*values, None]]).fetchall()
+    assert [str(r.v) for r in got] == [str(r[0] + 0.0 if r[0] is not None else None) for r in want]
+
+
 def test_ranks_hold_though_quantiles_come_out_differently_each_time(spark, monkeypatch):
     again = F.udf(lambda q: [x + 50 * random.SystemRandom().random() for x in q], "array<double>").asNondeterministic()
     approx = F.percentile_approx
